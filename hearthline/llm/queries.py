@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .html_text import extract_main_text
 from .secrets import scan_secrets
+from .simhash import label_near_duplicates
 from .tokens import count_tokens
 from .url_filter import Rule, filter_urls
 
@@ -67,6 +68,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+@query("op6_simhash_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_near_duplicates(table(spark, sf_dir, "documents"), radius=2, size=3)
+
+
 @query("op9_secret_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
