@@ -10,6 +10,7 @@ from .html_text import extract_main_text
 from .quality import score_quality
 from .secrets import scan_secrets
 from .simhash import label_near_duplicates
+from .substrings import remove_repeated_spans
 from .tokens import count_tokens
 from .url_filter import Rule, filter_urls
 
@@ -88,3 +89,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_secret_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_spans(table(spark, sf_dir, "documents"), window=20)
