@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import search
 from .common import table
+from .decontaminate import leaks
 from .html_text import extract_main_text
+from .mixing import MIX_SQL, mix_sources
 from .quality import score_quality
 from .secrets import scan_secrets
 from .simhash import label_near_duplicates
@@ -86,6 +88,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_near_duplicates(table(spark, sf_dir, "documents"), radius=2, size=3)
 
 
+@query("op7_source_mixing", f"WITH docs AS (SELECT doc_id, text, lang, source FROM documents), {MIX_SQL} SELECT * FROM mixed")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op8_benchmark_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=8, run=6)
+
+
 @query("op9_secret_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
