@@ -14,11 +14,13 @@ import keyword
 import re
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import id_and_text, map_arrow
+from .common import id_and_text, map_arrow, ship
 
 # The patterns of the base scan and the words that make a context sensitive.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -120,3 +122,23 @@ def redact(text: str | None, spans: str) -> str | None:
             out += [text[at : int(start)], f"[{kind}]"]
         at = max(at, int(end))
     return "".join(out) + text[at:]
+
+
+def redact_secrets(docs: DataFrame, novelty: Novelty | None = None) -> DataFrame:
+    """docs, all columns, with every found secret in text replaced by [kind]; n_chars, where there is one, follows the text.
+
+    Null texts and texts without secrets stay as they are.
+    """
+    novelty = novelty or Novelty()
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        scanner = Scanner(novelty)
+        return pd.Series([redact(x, spelt(scanner.scan(x or "")[1])) for x in texts], dtype="object")
+
+    out = docs.withColumn("_clean", clean(F.col("text").cast("string")))
+    changed = {"text": F.col("_clean")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_clean") == F.col("text"), F.col("n_chars")).otherwise(F.coalesce(F.length("_clean").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return out.withColumns(changed).select(*docs.columns)
