@@ -20,3 +20,8 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return register
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import search_queries  # noqa: F401
