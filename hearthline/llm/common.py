@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -56,6 +57,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are no longer referred to, rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """One Arrow batch in, one or more out; f must be a function of the batch alone."""
 

@@ -2,10 +2,10 @@
 
 A window is WINDOW consecutive words. Its anchor is the least of its k-mers under a hash, so equal windows have equal anchors
 in equal places, and about one k-mer in eight is an anchor: these are the nodes of the graph. Only nodes that occur twice
-matter. From each of them an edge spans the words to a later node; an edge that also occurs earlier (a smaller document, or
-an earlier place of the same one) repeats there with every window inside it, so a long repeated path is settled by its few
-edges, joined by their content, and only windows outside such edges (path ends and branches, and the first occurrence of
-each path) are joined one by one. Every repeat is judged by its source coordinates: a span counts as repeated only if the
+matter. An edge spans the words of all windows anchored at such a node, and so overlaps the next node's; an edge that also
+occurs earlier (a smaller document, or an earlier place of the same one) repeats there with every window inside it, so a long
+repeated path is settled by its few edges, joined by their content, and only windows outside such edges (path ends and
+branches, and the first occurrence of each path) are joined one by one. Every repeat is judged by its source coordinates: a span counts as repeated only if the
 least coordinate of its content precedes its own. Contents are compared by two independent 64-bit hashes.
 
 Exact copies of a whole text are settled before that, by joining texts on their hashes.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_arrow
+from .common import id_and_text, map_arrow, release, staged
 
 #: Words of a k-mer; bytes of texts handled at a time (a longer text is handled alone, whole).
 KMER, SLICE = 5, 1 << 20
@@ -167,18 +167,13 @@ def _lists(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def edges_of(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
-    """(doc, sub, text, nodes) -> Spans of the edges between repeated nodes, each long enough for every window that starts between its first node and the next."""
+    """(doc, sub, text, nodes) -> Spans of the edges at repeated nodes: all words of the windows that have the node as their anchor."""
     out = Spans(batch)
     for i, j, found in slices(batch.column(2)):
         a = find_anchors(found, window)
-        repeated = np.isin(a.nodes, _lists(batch.column(3), i, j)[0].view(np.uint64))
-        reach = 2 * window - 2 * KMER + 1  # the next node is at most window - KMER + 1 words on, and a window there ends window - 1 later
-        to = np.searchsorted(a.places, a.places + reach)
-        inside = to < len(a.places)
-        here, there = np.flatnonzero(inside), to[inside]
-        text = _text_of(a.places, found)
-        good = repeated[here] & repeated[there] & (text[here] == text[there])
-        out.add(i, found, a.places[here[good]], a.places[there[good]] + KMER)
+        repeated = np.flatnonzero(np.isin(a.nodes, _lists(batch.column(3), i, j)[0].view(np.uint64)))
+        first, last = np.searchsorted(a.anchor, repeated, "left"), np.searchsorted(a.anchor, repeated, "right") - 1
+        out.add(i, found, a.starts[first], a.starts[last] + window)
     return out.done()
 
 
@@ -249,6 +244,8 @@ def remove_repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     nodes = map_arrow(rows.select("text", "text_hash"), lambda b: nodes_of(b, window), "node bigint, text_hash bigint, again boolean")
     twice = nodes.groupBy("node").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"), F.max("again").alias("again")).where("a <> b or again").select("node")
     flagged = nodes.join(twice, "node").groupBy("text_hash").agg(F.collect_set("node").alias("nodes")).join(firsts, "text_hash").groupBy("doc", "sub").agg(F.flatten(F.collect_list("nodes")).alias("nodes"))
+    flagged = staged(flagged, "repeated-nodes")
+    release(docs.sparkSession)
     texts = rows.select("doc_id", "doc", "sub", "text").repartition("doc", "sub")
     with_nodes = texts.join(flagged, ["doc", "sub"])
     edges = map_arrow(with_nodes.select("doc", "sub", "text", "nodes"), lambda b: edges_of(b, window), Spans.SCHEMA)
