@@ -24,4 +24,4 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import crawl_queries, discovery_queries, search_queries  # noqa: F401
+    from . import crawl_queries, discovery_queries, search_queries, source_queries  # noqa: F401
