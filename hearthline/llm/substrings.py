@@ -238,7 +238,7 @@ def remove_repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     if window < KMER:
         raise ValueError(f"a window has {KMER} words at least")
     rows = id_and_text(docs, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("text_hash"), F.hash("text").alias("sub"))
-    keys = rows.select("doc", "text_hash", "sub")
+    keys = staged(rows.select("doc", "text_hash", "sub"), "text-keys")
     firsts = keys.groupBy("text_hash", "sub").agg(F.min("doc").alias("doc"))
     copies = keys.join(firsts.withColumnRenamed("doc", "first"), ["text_hash", "sub"]).where("doc > first").select("doc", "sub").distinct()
     nodes = map_arrow(rows.select("text", "text_hash"), lambda b: nodes_of(b, window), "node bigint, text_hash bigint, again boolean")
@@ -248,10 +248,10 @@ def remove_repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     release(docs.sparkSession)
     texts = rows.select("doc_id", "doc", "sub", "text").repartition("doc", "sub")
     with_nodes = texts.join(flagged, ["doc", "sub"])
-    edges = map_arrow(with_nodes.select("doc", "sub", "text", "nodes"), lambda b: edges_of(b, window), Spans.SCHEMA)
+    edges = map_arrow(with_nodes.select("doc", "sub", "text", "nodes", "doc_id"), lambda b: edges_of(b, window), Spans.SCHEMA)  # doc_id only to share the exchange
     long_spans = _repeats(edges)
-    rest = with_nodes.join(long_spans, ["doc", "sub"], "left").select("doc", "sub", "text", "nodes", "starts", "ends")
+    rest = with_nodes.join(long_spans, ["doc", "sub"], "left").select("doc", "sub", "text", "nodes", "starts", "ends", "doc_id")
     short_spans = _repeats(map_arrow(rest, lambda b: windows_of(b, window), Spans.SCHEMA))
     spans = long_spans.unionByName(short_spans).groupBy("doc", "sub").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     marked = texts.join(copies.withColumn("copied", F.lit(window)), ["doc", "sub"], "left").join(spans, ["doc", "sub"], "left")
-    return map_arrow(marked.select("doc_id", "text", "copied", "starts", "ends"), digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return map_arrow(marked.select("doc_id", "text", "copied", "starts", "ends", "doc", "sub"), digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
