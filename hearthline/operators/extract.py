@@ -31,9 +31,9 @@ def json_ld_nodes(pages: DataFrame, key: str = "url", body: str = "body") -> Dat
     """key, pos, node (JSON text): the nodes of all JSON-LD scripts, arrays flattened, objects that stand one after another split."""
     blocks = pages.select(key, F.posexplode(json_ld_blocks(F.col(body))).alias("block", "raw"))
     items = F.from_json("raw", "array<string>")
-    whole = F.try_parse_json("raw")
     split = F.transform(F.split("raw", r"\}\s*\{"), lambda p: F.concat(F.when(F.startswith(F.ltrim(p), F.lit("{")), "").otherwise("{"), p, F.when(F.endswith(F.rtrim(p), F.lit("}")), "").otherwise("}")))
-    listed = F.when(F.startswith(F.ltrim("raw"), F.lit("[")), items).when(whole.isNotNull(), F.array("raw")).otherwise(split)
+    several = (F.size(split) > 1) & F.forall(split, lambda p: F.try_parse_json(p).isNotNull())  # valid JSON has no }{ but in texts
+    listed = F.when(F.startswith(F.ltrim("raw"), F.lit("[")), items).when(several, split).otherwise(F.array("raw"))
     return blocks.withColumn("nodes", listed).select(key, "block", F.posexplode("nodes").alias("at", "node")).where(F.try_parse_json("node").isNotNull()).select(key, F.struct("block", "at").alias("pos"), "node")
 
 
@@ -59,7 +59,7 @@ def next_data(body: Column) -> Column:
 def meta_tags(body: Column) -> Column:
     """map of name or property to content; the first of a name wins."""
     tags = F.regexp_extract_all(body, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1))
-    attr = lambda t, a: F.regexp_extract(t, rf"(?is)\b{a}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 1)
+    attr = lambda t, a: F.concat(F.regexp_extract(t, rf'(?is)\b{a}\s*=\s*"([^"]*)"', 1), F.regexp_extract(t, rf"(?is)\b{a}\s*=\s*'([^']*)'", 1))
     pairs = F.transform(tags, lambda t: F.struct(F.coalesce(F.nullif(attr(t, "name"), F.lit("")), F.nullif(attr(t, "property"), F.lit(""))).alias("key"), unescape(attr(t, "content")).alias("value")))
     named = F.filter(pairs, lambda p: p["key"].isNotNull())
     keys = F.array_distinct(F.transform(named, lambda p: p["key"]))

@@ -32,7 +32,7 @@ _STREET = r"(?i)\d|^(calle|carrera|cra\.?|cl\.?|av\.?|avenida|cr\.?|kr\.?|diagon
 
 def address_parts(street: Column, city: Column) -> tuple[Column, Column]:
     """(barrio, conjunto) of "[Conjunto X,] [street,] [barrio,] city, region, country"."""
-    parts = F.filter(F.transform(F.split(street, ","), F.btrim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(street, ","), lambda p: F.btrim(p)), lambda p: p != "")
     conjunto = F.get(F.filter(parts, lambda p: p.rlike(r"(?i)^conjunto\b")), F.lit(0))
     known = F.array(F.lit("colombia"), F.lit("col"), F.lit("valle del cauca"), norm(city))
     inner = F.filter(parts, lambda p: ~F.array_contains(known, norm(p)))
