@@ -3,39 +3,36 @@
 from __future__ import annotations
 
 import gc
-import os
-import shutil
 import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 #: Words everywhere in this subpackage: runs of bytes that are none of these white-space characters.
 SPACES = r"\x20\x09-\x0D"
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers, unless PYTHONPATH already leads them to it."""
-    root = Path(__file__).resolve().parents[2]
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.sparkContext.applicationId in _shipped:
-        return
-    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="spark-")) / "hearthline"), "zip", root, "hearthline")
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(spark.sparkContext.applicationId)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that df doesn't have (names are compared without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as bigint and text as string, without any other column of the input."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

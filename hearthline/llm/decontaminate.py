@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, staged
+from .common import fresh, id_and_text, staged
 
 #: Words of a window; consecutive matching windows that make a leak; words below which an item is too short to search for.
 WINDOW, RUN, SHORTEST = 8, 6, 4
@@ -130,6 +130,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """The rows of docs, all columns, whose text leaks no item."""
-    bad = find_leaks(docs, benchmark, window, run).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    own_id, own_hash = fresh(docs, "leak_id", "leak_hash")
+    bad = find_leaks(docs, benchmark, window, run).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
     text_hash = F.xxhash64(F.col("text").cast("string"))
-    return docs.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")), "left_anti")
+    return docs.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col(own_id)) & (text_hash == F.col(own_hash)), "left_anti")

@@ -179,10 +179,8 @@ def main_text(page: str | None, rules: Rules | None = None) -> str:
                 final[k] = labels[left]
             elif found[k][4] or right - k < k - left:  # a heading goes with what follows it
                 final[k] = labels[right]
-            elif k - left < right - k:
+            else:  # as near to both: it continues what stands before it
                 final[k] = labels[left]
-            else:
-                final[k] = max(labels[left], labels[right]) if found[k][3] else min(labels[left], labels[right])
     return "\n".join(b[0] for b, x in zip(found, final, strict=True) if x == 1)
 
 

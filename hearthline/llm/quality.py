@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_arrow, ship, staged
+from .common import fresh, id_and_text, map_arrow, ship, staged
 
 #: Labelled rows of each label to learn from, at most; bytes of a chunk; of a dictionary; of a dictionary's samples, and how many a row gives.
 SAMPLE, CHUNK, DICTIONARY, PIECE, PIECES = 4000, 2048, 112_640, 512, 8
@@ -138,8 +138,8 @@ class Scorer:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
 
-def score_column(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs, all columns, with the score of each whole text as a last column _score."""
+def score_column(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
+    """docs, all columns, with the score of each whole text as a last column."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -148,7 +148,7 @@ def score_column(docs: DataFrame, model: Model, text: str = "text") -> DataFrame
         scorer = Scorer(shared.value)
         return pd.Series([scorer.score(x) for x in texts], dtype="float64")
 
-    return docs.withColumn("_score", score(F.col(text).cast("string")))
+    return docs.withColumn(name, score(F.col(text).cast("string")))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
@@ -158,9 +158,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sa
     rows and other columns change nothing. The broadcast model has a fixed size.
     """
     model = fit(docs, labels, sample)
-    return score_column(id_and_text(docs), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    return score_column(id_and_text(docs), model, "score").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold."""
-    return score_column(docs, fit(docs, labels, sample)).where(F.col("_score") >= threshold).drop("_score")
+    (name,) = fresh(docs, "quality_score")
+    return score_column(docs, fit(docs, labels, sample), name).where(F.col(name) >= threshold).drop(name)

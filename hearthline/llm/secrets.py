@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_arrow, ship
+from .common import fresh, id_and_text, map_arrow, ship
 
 # The patterns of the base scan and the words that make a context sensitive.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -137,8 +137,9 @@ def redact_secrets(docs: DataFrame, novelty: Novelty | None = None) -> DataFrame
         scanner = Scanner(novelty)
         return pd.Series([redact(x, spelt(scanner.scan(x or "")[1])) for x in texts], dtype="object")
 
-    out = docs.withColumn("_clean", clean(F.col("text").cast("string")))
-    changed = {"text": F.col("_clean")}
+    (name,) = fresh(docs, "redacted_text")
+    out = docs.withColumn(name, clean(F.col("text").cast("string")))
+    changed = {"text": F.col(name)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_clean") == F.col("text"), F.col("n_chars")).otherwise(F.coalesce(F.length("_clean").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+        changed["n_chars"] = F.when(F.col(name) == F.col("text"), F.col("n_chars")).otherwise(F.coalesce(F.length(name).cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.withColumns(changed).select(*docs.columns)

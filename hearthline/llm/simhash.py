@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_arrow, ship, staged
+from .common import fresh, id_and_text, map_arrow, ship, staged
 from .graph import components
 
 #: Fingerprints of one bucket that are compared in one piece; larger buckets are cut into pieces, and all pairs of pieces compared.
@@ -229,8 +229,8 @@ def keep_one_of_each(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFra
     last; ties by the text's hash, and one of equal rows)."""
     rows = near_components(docs, radius, size)
     chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("c"))
-    chosen = chosen.select(F.coalesce("c.doc_id", F.lit(-1)).alias("_id"), F.col("c.none").alias("_none"), F.col("c.text_hash").alias("_hash")).distinct()
-    names = docs.columns
-    tagged = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_none": F.col("doc_id").isNull(), "_hash": F.xxhash64(F.col("text").cast("string"))})
-    first = Window.partitionBy("_id", "_none", "_hash").orderBy("_id")
-    return tagged.join(chosen, ["_id", "_none", "_hash"]).withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*names)
+    key, none, text_hash, row = fresh(docs, "kept_id", "kept_none", "kept_hash", "kept_row")
+    chosen = chosen.select(F.coalesce("c.doc_id", F.lit(-1)).alias(key), F.col("c.none").alias(none), F.col("c.text_hash").alias(text_hash)).distinct()
+    tagged = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), none: F.col("doc_id").isNull(), text_hash: F.xxhash64(F.col("text").cast("string"))})
+    first = Window.partitionBy(key, none, text_hash).orderBy(key)
+    return tagged.join(chosen, [key, none, text_hash]).withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).select(*docs.columns)
