@@ -27,7 +27,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|sidebar|side|aside|widget|menu|nav\w*|breadcrumbs?|toolbar|topbar|masthead|footer|foot|copyright|legal|share\w*|sharing|social|related|recommend\w*|comments?|respond|replies|disqus|pagination|pager|tags?|search)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ads?\d*|ads(?:ense|bygoogle|pace|lot)\w*|advert\w*|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|sidebar|side|aside|widget|menu\w*|nav\w*|breadcrumbs?|toolbar|topbar|masthead|footer|foot|copyright|legal|share\w*|sharing|social|related|recommend\w*|comment\w*|respond|replies|disqus|pagination|pager|privacy|contentinfo|complementary|dialog|tags?|search)(?:$|[\s_-])"
 )
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])")
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_-])")
@@ -41,7 +41,8 @@ STOP_WORDS = frozenset(
 )
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORD = re.compile(r"\w+")
 
 
@@ -126,7 +127,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             names = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3])} if m[3] else {}
             label = f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".lower()
-            dropped |= tag in SKIP_TAGS or "hidden" in names or names.get("aria-hidden") == "true"
+            dropped |= tag in SKIP_TAGS or "hidden" in names or names.get("aria-hidden") == "true" or bool(HIDDEN.search(names.get("style", "")))
             if tag in MAIN_TAGS or names.get("itemprop") == "articleBody" or (not dropped and tag != "body" and MAIN_NAMES.search(label)):
                 main = True
             if label.strip() and tag not in ("html", "body", "main", "article") and BOILERPLATE_NAMES.search(label):

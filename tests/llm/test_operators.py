@@ -45,6 +45,7 @@ ARTICLE = "It is the story of a river that runs to the sea and of the people who
     (f"<html><body><h2>Head of it</h2><p>{ARTICLE} {ARTICLE}</p><p>Yes.</p><ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul></body>", f"Head of it\n{ARTICLE} {ARTICLE}\nYes."),
     (f"<article><p>{ARTICLE}</p><aside>{ARTICLE}</aside><div class='cookie-notice'>{ARTICLE}</div><style>p{{}}</style><!-- <p>no</p> --><p>End &#x41;", f"{ARTICLE}\nEnd A"),
     ("<article><p>Thing.</p></article><footer>of the</footer>", "Thing."),
+    (f"<main data-hidden=1><p class='overflow-hidden'>{ARTICLE}</p><p style='display: none'>{ARTICLE}</p><div class=commentlist>{ARTICLE}</div><section role=complementary>{ARTICLE}</section><div class=address>{ARTICLE}</div></main>", f"{ARTICLE}\n{ARTICLE}"),
 ])
 def test_main_text(page, want):
     assert html_text.main_text(page) == want
