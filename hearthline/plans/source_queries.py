@@ -111,3 +111,82 @@ def source_arriendo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_portals.arriendo(detail_pages(rows, "arriendo", url, body)).select(*_COLUMNS, "lat", "phone", "has_whatsapp")
 
 
+
+
+_SLUG = "translate(lower({}), 'áéíóúñ ', 'aeioun-')"
+
+
+@query("source_rentola", oracle("source_listing_id, CASE barrio WHEN 'EL CANEY' THEN 'El Caney' WHEN 'Ciudad Jardín' THEN 'Ciudad Jardin' ELSE barrio END AS barrio, CASE city WHEN 'Jamundí' THEN 'Jamundi' ELSE city END AS city, area_m2, bedrooms, price, lat", "barrio IS NOT NULL AND city <> 'Palmira'"))
+def source_rentola(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = data.active(spark, sf_dir).where("barrio is not null and city <> 'Palmira'")
+    house = "named_struct('floorSize', if(area_m2 is null, null, named_struct('value', area_m2)), 'numberOfBedrooms', if(bedrooms is null, null, named_struct('value', string(bedrooms))), 'geo', named_struct('latitude', lat, 'longitude', string(lng)))"
+    body = f"concat('<script type=\"application/ld+json\">', concat('{{\"@graph\":[{{\"@type\":\"Other\"}},', to_json(named_struct('@type', array('Thing', 'RealEstateListing'), 'offers', named_struct('price', price, 'itemOffered', {house}))), ']}}'), '</script>')"
+    url = f"concat('https://rentola.co.com/x/casa-en-arriendo-en-', {_SLUG.format('city')}, '-en-', {_SLUG.format('barrio')}, '-', source_listing_id, '-1-200-000-pabc12')"
+    return html_portals.rentola(detail_pages(rows, "rentola", url, body)).select(*_COLUMNS, "lat")
+
+
+@query("source_inmoalfaguara", oracle(f"source_listing_id, {_BARRIO} AS barrio, city, area_m2, bedrooms, price, admin, estrato", "barrio IS NOT NULL"))
+def source_inmoalfaguara(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = data.active(spark, sf_dir).where("barrio is not null")
+    field = lambda label, v: f"coalesce(concat('<li class=\"col-md-8\"><strong>{label}:</strong> ', {v}, '</li>'), '')"
+    body = f"concat(coalesce(concat('<meta property=\"og:title\" content=\"Casa bonita - ', {_PRICE_TEXT}, ' COP\">'), ''), '<ul>', {field('Zona / barrio', 'barrio')}, {field('Ciudad', 'city')}, {field('Área Construida', 'string(area_m2)')}, {field('Alcobas', 'string(bedrooms)')}, {field('Administración', 'string(bigint(admin))')}, {field('Estrato', 'string(estrato)')}, '</ul>')"
+    url = "concat('https://inmoalfaguara.co/casa-alquiler-', 'centro-cali/', source_listing_id)"
+    return html_portals.inmoalfaguara(detail_pages(rows, "inmoalfaguara", url, body)).select(*_COLUMNS, "admin", "estrato")
+
+
+@query("source_properati", oracle(f"source_listing_id, {_BARRIO} AS barrio, city, area_m2, bedrooms, price, lng, conjunto", "source_listing_id <> ''").replace("conjunto FROM", "CASE WHEN conjunto IS NOT NULL THEN upper(substr(conjunto, 1, 1)) || lower(substr(conjunto, 2, 7)) || ' ' || substr(conjunto, 10, 1) || lower(substr(conjunto, 11)) END AS conjunto FROM"))
+def source_properati(spark: SparkSession, sf_dir: str) -> DataFrame:
+    street = "concat_ws(', ', conjunto, 'Calle 5 # 3', barrio, city, 'Valle del Cauca', 'Colombia')"
+    item = f"named_struct('c', concat('<div class=\"snippet__content\"><a class=\"snippet__title\" href=\"/d/', source_listing_id, '\">Casa en Arriendo en ', upper(city), '</a><span class=\"snippet__price\">', coalesce({_PRICE_TEXT}, ''), '</span></div>'), 'ld', named_struct('address', named_struct('streetAddress', {street}, 'addressLocality', city), 'numberOfBedrooms', bedrooms, 'floorSize', named_struct('value', area_m2), 'geo', named_struct('latitude', lat, 'longitude', lng)))"
+    body = "concat('<script type=\"application/ld+json\">', to_json(named_struct('@type', 'SearchResultsPage', 'about', items.ld)), '</script>', array_join(items.c, ''))"
+    return html_portals.properati(pages_of(data.active(spark, sf_dir), "properati", item, body)).select(*_COLUMNS, "lng", "conjunto")
+
+
+@query("source_naranjoduque", oracle(f"source_listing_id, {_BARRIO} AS barrio, city, area_m2, bedrooms, price, estrato", "barrio IS NOT NULL AND city <> 'Palmira' AND CAST(source_listing_id AS BIGINT) % 3 <> 0"))
+def source_naranjoduque(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = data.active(spark, sf_dir).where("barrio is not null")
+    props = "to_json(map('1 TIPO DE BÚSQUEDA', if(bigint(source_listing_id) % 3 = 0, 'Venta', 'Arriendo'), '2 TIPO DE INMUEBLE', 'Casa campestre', '3 CIUDAD', city, '5 BARRIO', barrio, '6 ALCOBAS', coalesce(string(bedrooms), '')))"
+    ficha = f"concat('id_user:\"CÓDIGO ', source_listing_id, '\",description:\"CASA <br />Baños 2\",href=\"<!--base_url_placeholder-->c-', source_listing_id, '.html\",properties:', {props}, ',schemaOrg:{{', coalesce(concat('\"@type\":\"Offer\",priceCurrency:\"COP\",price:\"', bigint(price), '\"'), ''), '}}')"
+    catalogue = pages_of(rows, "naranjoduque", ficha, "concat('var x=[', array_join(items, ','), ']')")
+    details = detail_pages(rows, "naranjoduque", "concat('https://www.inmobiliarianaranjoduque.com/c-', source_listing_id, '.html')", "concat('<b>', coalesce(concat(area_m2, 'm²'), ''), '</b> Estrato: ', coalesce(string(estrato), 'x'))")
+    return html_portals.naranjoduque(catalogue.unionByName(details)).select(*_COLUMNS, "estrato")
+
+
+@query("all_sources", oracle("'bienco' AS source, count(*) AS n, sum(price) AS total", "source_listing_id <> '0'") + " UNION ALL SELECT 'fincaraiz', count(*), sum(price) FROM active")
+def all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.registry import normalize_all, select_sources
+
+    rows = data.active(spark, sf_dir)
+    a = pages_of(rows, "bienco", "named_struct('codpro', bigint(source_listing_id), 'city', city, 'rent', price)", "to_json(named_struct('data', items))")
+    b = pages_of(rows, "fincaraiz", "named_struct('id', source_listing_id, 'link', concat('/l/', source_listing_id), 'price', named_struct('amount', price))", "concat('<script id=\"__NEXT_DATA__\">', to_json(named_struct('props', named_struct('pageProps', named_struct('fetchResult', named_struct('searchFast', named_struct('data', items)))))), '</script>')")
+    return normalize_all(a.unionByName(b), select_sources(hard=True)).groupBy("source").agg(F.count("*").alias("n"), F.sum("price").alias("total"))
+
+
+@query("user_list", f"""WITH {LISTINGS_CTE}, n AS (SELECT *, row_number() OVER (ORDER BY CAST(source_listing_id AS BIGINT)) AS k FROM active)
+SELECT CASE WHEN CAST(source_listing_id AS BIGINT) % 2 = 0 THEN url ELSE 'row-' || source_listing_id END AS source_listing_id, barrio, city, area_m2, price FROM n WHERE area_m2 IS NOT NULL OR price IS NOT NULL""")
+def user_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.userlist import listings_from_list
+
+    n = F.col("source_listing_id").cast("bigint")
+    rows = data.active(spark, sf_dir).select(n.alias("n"), F.col("barrio").alias("Sector"), F.concat(F.col("area_m2").cast("int").cast("string"), F.lit(" m2")).alias("Área (m2)"), F.expr(_PRICE_TEXT).alias("CANON"), F.when(n % 2 == 0, F.col("url")).otherwise("no link").alias("Enlace"), F.col("city").alias(" Ciudad "), F.lit("x").alias("Notas"))
+    return listings_from_list(rows).select("source_listing_id", "barrio", "city", "area_m2", "price")
+
+
+@query("json_ld_by_type", f"WITH {LISTINGS_CTE} SELECT source_listing_id, city FROM active WHERE CAST(source_listing_id AS BIGINT) % 4 < 3")
+def json_ld_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.extract import first_of_type, json_ld_nodes
+
+    node = "to_json(named_struct('@type', 'House', 'id', source_listing_id, 'city', city))"
+    body = f"concat('<script type=\"application/ld+json\">', case bigint(source_listing_id) % 4 when 0 then {node} when 1 then concat('{{\"@type\":\"A\"}} ', {node}) when 2 then concat('[{{\"@graph\":[', {node}, ']}}]') else '{{broken' end, '</script>')"
+    nodes = json_ld_nodes(detail_pages(data.active(spark, sf_dir), "x", "url", body))
+    found = first_of_type(nodes, "house")
+    return found.select(F.get_json_object("node", "$.id").alias("source_listing_id"), F.get_json_object("node", "$.city").alias("city"))
+
+
+@query("sitemap_links", f"WITH {LISTINGS_CTE} SELECT DISTINCT url AS loc FROM active WHERE city <> 'Cali'")
+def sitemap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.extract import child_sitemaps
+
+    maps = pages_of(data.active(spark, sf_dir), "x", "concat('<loc> ', url, ' </loc>')", "array_join(items, '')")
+    index = maps.groupBy(F.lit("index").alias("url")).agg(F.array_join(F.transform(F.collect_list("url"), lambda u: F.concat(F.lit("<loc>"), u, F.lit("</loc>"))), "").alias("body"))
+    return child_sitemaps(maps.select("url", "body").unionByName(index), r"/(Jamundí|Palmira)$")
