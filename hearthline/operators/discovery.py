@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm, norm_text
 from ..functions.urls import root_domain
 from .extract import json_ld_blocks
+from .merge import upsert
 
 # Domains that are excluded and why, country suffixes of foreign domains, and domains that are no portals.
 EXCLUDED = {
@@ -244,3 +245,8 @@ def discover(hits: DataFrame, homes: DataFrame, robots: DataFrame, implemented:
 def split_new(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new, evaluated) candidates."""
     return candidates.where("status = 'new'"), candidates.where("status <> 'new'")
+
+
+def set_domain_reviews(reviews: DataFrame, patches: DataFrame) -> DataFrame:
+    """Reviews of domains (domain, seen, eligible) with patches of the same columns; null fields leave what is there."""
+    return upsert(reviews, patches, "domain", keep_null=True)

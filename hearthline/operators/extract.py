@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -97,6 +98,12 @@ def links(pages: DataFrame, key: str = "url", body: str = "body", pattern: str |
     return (found.where(F.col("link").rlike(pattern)) if pattern else found).distinct()
 
 
+def union_links(*sets: DataFrame) -> DataFrame:
+    """link, hint: the distinct links of several tables (link, hint); of a link's hints the first table's that has one counts."""
+    tagged = [d.select("link", F.struct(F.lit(k).alias("k"), "hint").alias("h")) for k, d in enumerate(sets)]
+    return reduce(DataFrame.unionByName, tagged).groupBy("link").agg(F.min(F.when(F.col("h.hint").isNotNull(), F.col("h"))).alias("h")).select("link", F.col("h.hint").alias("hint"))
+
+
 def sitemap_locs(pages: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
     """key, loc: the entries of sitemaps."""
     return pages.select(key, F.explode(F.regexp_extract_all(F.col(body), F.lit(r"<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))).alias("loc"))

@@ -45,3 +45,9 @@ def mark_dead(snapshot: DataFrame, judged: DataFrame, now) -> DataFrame:
     joined = snapshot.join(dead, "url", "left")
     hit = F.col("_dead").isNotNull()
     return joined.withColumn("is_active", F.col("is_active") & ~hit).withColumn("last_verified_at", F.when(hit, now).otherwise(F.col("last_verified_at"))).select(*snapshot.columns)
+
+
+def with_verdicts(listings: DataFrame, judged: DataFrame) -> DataFrame:
+    """Listings with verdict, the reason of their URL's judgement; null where there is none."""
+    said = judged.groupBy("url").agg(F.min("reason").alias("verdict"))
+    return listings.join(said, "url", "left").select(*listings.columns, "verdict")

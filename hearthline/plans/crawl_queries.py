@@ -116,6 +116,12 @@ def verify_marked_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("is_active", F.col("last_verified_at").isNotNull().alias("verified")).agg(F.count("*").alias("n"))
 
 
+@query("listings_with_verdicts", f"WITH {_RESP_CTE}, s AS (SELECT event_id, 'https://p.example.com/l/' || CAST(event_id AS STRING) AS url FROM events) SELECT event_id, reason AS verdict FROM s LEFT JOIN judged USING (url)")
+def listings_with_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = data.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("https://p.example.com/l/"), F.col("event_id").cast("string")).alias("url"))
+    return verify.with_verdicts(s, verify.verdicts(_responses(spark, sf_dir), _MARKERS)).select("event_id", "verdict")
+
+
 # Saved searches: the adverts of a customer's orders, one entry a customer and year; links overlap through the part of the key.
 _HIST_CTE = f"""{LISTINGS_CTE}, h AS (SELECT source, source_listing_id, url, last_seen, 'e' || CAST(CAST(source_listing_id AS BIGINT) % 37 AS STRING) AS entry_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * (CAST(source_listing_id AS BIGINT) % 37) AS ts,
   'https://alias.example.com/' || CAST(CAST(source_listing_id AS BIGINT) // 10 AS STRING) AS alias, price, area_m2 FROM active),

@@ -141,3 +141,22 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_titles", r"SELECT page_id, md5(trim(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&quot;', '\"'), '&amp;', '&'))) AS digest FROM pages".replace('\\"', '"'))
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.table(spark, sf_dir, "pages").select("page_id", F.md5(extract.title(F.col("html"))).alias("digest"))
+
+
+@query("links_united", r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\s+href="/([^"]*)"', 1)) AS h FROM pages WHERE url LIKE '%://%'),
+a AS (SELECT DISTINCT h, CASE WHEN length(h) % 2 = 0 THEN 'even' END AS hint FROM l WHERE page_id % 2 = 0), b AS (SELECT DISTINCT h, 'late' AS hint FROM l WHERE page_id % 3 = 0)
+SELECT h AS link, coalesce(a.hint, b.hint) AS hint FROM a FULL JOIN b USING (h)""")
+def links_united(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = data.table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body"))
+    found = extract.links(pages.where("url like '%://%'"), "page_id").withColumn("link", F.regexp_extract("link", r"://[^/]+/(.*)$", 1))
+    a = found.where("page_id % 2 = 0").select("link", F.when(F.length("link") % 2 == 0, "even").alias("hint"))
+    return extract.union_links(a, found.where("page_id % 3 = 0").select("link", F.lit("late").alias("hint")))
+
+
+@query("domain_reviews", f"""WITH {_HITS}, d AS (SELECT domain, min(page_id) AS p FROM hits WHERE domain <> '' GROUP BY domain)
+SELECT domain, p % 2 = 0 AS seen, CASE WHEN p % 3 = 0 THEN true ELSE CASE WHEN p % 2 = 0 THEN false END END AS eligible FROM d WHERE p % 2 = 0 OR p % 3 = 0""")
+def domain_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = data.table(spark, sf_dir, "pages").select(root_domain(F.col("url")).alias("domain"), "page_id").where("domain is not null and domain <> ''").groupBy("domain").agg(F.min("page_id").alias("p"))
+    old = d.where("p % 2 = 0").select("domain", F.lit(True).alias("seen"), F.lit(False).alias("eligible"))
+    new = d.where("p % 3 = 0").select("domain", F.when(F.col("p") % 2 != 0, False).alias("seen"), F.lit(True).alias("eligible"))
+    return discovery.set_domain_reviews(old, new)
