@@ -217,8 +217,10 @@ def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _repeats(spans: DataFrame) -> DataFrame:
     """doc, sub and lists of starts and ends of the spans whose content has an earlier coordinate."""
     where = F.struct("doc", "at")
-    least = spans.groupBy("h1", "h2").agg(F.min(where).alias("source"), F.count("*").alias("times")).where("times > 1").select("h1", "h2", "source")
-    later = spans.join(least, ["h1", "h2"]).where(F.col("source") < where)
+    least = spans.groupBy("h1", "h2").agg(F.min(where).alias("source"), F.count("*").alias("times")).where("times > 1")
+    # Joined on another form of the key, so that both sides are dealt anew: Spark splits a common key only between two fresh exchanges.
+    other = F.bitwise_not(F.col("h1")).alias("k1")
+    later = spans.select("*", other).join(least.select(other, "h2", "source"), ["k1", "h2"]).where(F.col("source") < where)
     place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     return later.groupBy("doc", F.shiftright("at", 32).cast("int").alias("sub")).agg(F.sort_array(F.collect_list(F.struct(place.alias("a"), (place + F.col("n")).alias("b")))).alias("s")).select("doc", "sub", F.col("s.a").alias("starts"), F.col("s.b").alias("ends"))
 
