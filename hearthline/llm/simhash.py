@@ -220,8 +220,10 @@ def label_near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> Da
     (null where all of them are null). Other columns of the input are left out; an empty table gives an empty one.
     """
     rows = near_components(docs, radius, size)
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = rows.groupBy("fp", "root").agg(F.min("doc_id").alias("own"))  # equal fingerprints first: a component has far fewer of them
+    component = least.groupBy("root").agg(F.min("own").alias("component_id"))
+    by_fp = least.join(component, "root").select("fp", "component_id")
+    return rows.select("doc_id", "fp").join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
