@@ -135,11 +135,14 @@ def merge_candidates(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def relevance(body: Column, cities: Iterable[str] = ()) -> Column:
     """0 to 1: whole-word hits of rental words and city names over the root of the word count; 0 for texts under 20 characters."""
-    text = norm(body)
     names = [re.sub(r"([^a-z0-9 ])", r"\\\1", w) for w in (*RELEVANT_WORDS, *(norm_text(c) for c in cities if norm_text(c)))]
-    hits = sum((F.regexp_count(text, F.lit(rf"\b{w}\b")) for w in names), F.lit(0))
-    words = F.greatest(F.size(F.split(text, " ")), F.lit(1))
-    return F.when(F.length(text) < 20, 0.0).otherwise(F.least(F.lit(1.0), hits / F.sqrt(words) / 3))
+
+    def rate(text: Column) -> Column:
+        hits = sum((F.regexp_count(text, F.lit(rf"\b{w}\b")) for w in names), F.lit(0))
+        words = F.greatest(F.size(F.split(text, " ")), F.lit(1))
+        return F.when(F.length(text) < 20, 0.0).otherwise(F.least(F.lit(1.0), hits / F.sqrt(words) / 3))
+
+    return F.get(F.transform(F.array(norm(body)), rate), F.lit(0))  # a lambda's argument is worked out once, however often it is used
 
 
 
