@@ -242,10 +242,12 @@ def remove_repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     rows = id_and_text(docs, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("text_hash"), F.hash("text").alias("sub"))
     keys = staged(rows.select("doc", "text_hash", "sub"), "text-keys")
     firsts = keys.groupBy("text_hash", "sub").agg(F.min("doc").alias("doc"))
-    copies = keys.join(firsts.withColumnRenamed("doc", "first"), ["text_hash", "sub"]).where("doc > first").select("doc", "sub").distinct()
+    other = F.bitwise_not(F.col("text_hash")).alias("k")
+    copies = keys.select("doc", "sub", other).join(firsts.select(other, "sub", F.col("doc").alias("first")), ["k", "sub"]).where("doc > first").select("doc", "sub").distinct()
     nodes = map_arrow(rows.select("text", "text_hash"), lambda b: nodes_of(b, window), "node bigint, text_hash bigint, again boolean")
     twice = nodes.groupBy("node").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"), F.max("again").alias("again")).where("a <> b or again").select("node")
-    flagged = nodes.join(twice, "node").groupBy("text_hash").agg(F.collect_set("node").alias("nodes")).join(firsts, "text_hash").groupBy("doc", "sub").agg(F.flatten(F.collect_list("nodes")).alias("nodes"))
+    other = F.bitwise_not(F.col("node")).alias("k")
+    flagged = nodes.select("node", "text_hash", other).join(twice.select(other), "k").groupBy("text_hash").agg(F.collect_set("node").alias("nodes")).join(firsts, "text_hash").groupBy("doc", "sub").agg(F.flatten(F.collect_list("nodes")).alias("nodes"))
     flagged = staged(flagged, "repeated-nodes")
     release(docs.sparkSession)
     texts = rows.select("doc_id", "doc", "sub", "text").repartition("doc", "sub")
