@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, map_arrow, release, staged
 
 #: Words of a k-mer; bytes of texts handled at a time (a longer text is handled alone, whole).
-KMER, SLICE = 5, 1 << 20
+KMER, SLICE = 5, 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -39,16 +38,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(8)
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64 and of its inverse."""
-    rise = lambda b: np.multiply.accumulate(np.r_[np.uint64(1), np.full((1 << bits) - 1, b, np.uint64)])
-    return rise(np.uint64(base)), rise(np.uint64(pow(base, -1, 1 << 64)))
+_kept: dict = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd base modulo 2^64, and of its inverse; kept for the next call unless they are unusually many."""
+    if base in _kept and len(_kept[base][0]) >= n:
+        return _kept[base]
+    size = 1 << max(10, (n - 1).bit_length())
+    rise = lambda b: np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)])
+    powers = rise(np.uint64(base)), rise(np.uint64(pow(base, -1, 1 << 64)))
+    if size <= 2 * SLICE:
+        _kept[base] = powers
+    return powers
 
 
 def _rolled(values: np.ndarray, base: int):
     """A function from starts and ends to hashes of the values between them."""
-    up, down = _powers(base, max(1, int(len(values)).bit_length()))
+    up, down = _powers(base, len(values) + 1)
     sums = np.r_[np.uint64(0), np.cumsum(values * up[: len(values)], dtype=np.uint64)]
     return lambda starts, ends: _mix((sums[ends] - sums[starts]) * down[starts])
 
