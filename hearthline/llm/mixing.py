@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, staged
 
 #: Documents of a leaf that are put in order at a time, about.
-RUN = 4096
+RUN = 1024
 
 
 class Mix(NamedTuple):
