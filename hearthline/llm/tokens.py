@@ -8,23 +8,31 @@ bounded size in each worker. No pre-token is ever shuffled.
 
 from __future__ import annotations
 
-import re as plain_re
+import re
+import unicodedata
 
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_arrow
 
 #: Pre-tokens a worker keeps beside the broadcast table; a full cache is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 #: Longer pre-tokens aren't cached.
 CACHE_CHARS = 64
-# Fixed value: the pre-token pattern of this byte-level vocabulary.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts made of these characters alone are cut by PRE_TOKEN; others by the library, whose Unicode tables are its own.
-PLAIN = plain_re.compile(r"[\t\n\r -~¡-¬®-ʯ‐-‧‰-⁞€]*")
+PLAIN = re.compile(r"[\t\n\r -~\u00a1-\u00ac\u00ae-\u02af\u2010-\u2027\u2030-\u205e\u20ac]*")
+
+
+def _characters(kind: str) -> str:
+    """The letters (L) or numbers (N) among the plain characters, for a character class."""
+    return "".join(chr(c) for c in range(0x2B0) if unicodedata.category(chr(c))[0] == kind)
+
+
+# Fixed value: the pre-token pattern of this byte-level vocabulary, with its classes spelt out for plain characters.
+PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_characters('L')}]+| ?[{_characters('N')}]+| ?[^\s{_characters('L')}{_characters('N')}]+|\s+(?!\S)|\s+")
 
 _worker: dict = {}
 
@@ -37,33 +45,35 @@ class Counter:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.frequent, self.cache = frequent, {}
-        self.pattern = regex.compile(PRE_TOKEN)
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.special = plain_re.compile("|".join(map(plain_re.escape, special))) if special else None
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
     def encoded(self, pieces: list[str]) -> list[int]:
         return [len(x.ids) for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
     def plain(self, text: str) -> int:
         """Tokens of a text without special strings."""
-        found = self.pattern.findall(text)
-        frequent, cache = self.frequent, self.cache
-        n, missing = 0, []
-        for x in found:
-            k = frequent.get(x) or cache.get(x)
-            if k is None:
-                missing.append(x)
-            else:
-                n += k
-        if missing:
-            fresh = list(dict.fromkeys(missing))
-            known = dict(zip(fresh, self.encoded(fresh), strict=True))
-            n += sum(map(known.__getitem__, missing))
-            if len(cache) + len(known) > CACHE_ENTRIES:
-                cache.clear()
-            cache.update((x, k) for x, k in known.items() if len(x) <= CACHE_CHARS)
+        found = PRE_TOKEN.findall(text)
+        first = list(map(self.frequent.get, found))  # tier one
+        n = sum(filter(None, first))
+        rest = [x for x, k in zip(found, first, strict=True) if k is None]
+        if rest:
+            second = list(map(self.cache.get, rest))  # tier two
+            n += sum(filter(None, second))
+            missing = [x for x, k in zip(rest, second, strict=True) if k is None]
+            if missing:
+                n += self.learn(missing)
         return n
 
+    def learn(self, missing: list[str]) -> int:
+        """Tokens of pre-tokens that no tier has; they are kept from now on."""
+        fresh = list(dict.fromkeys(missing))
+        known = dict(zip(fresh, self.encoded(fresh), strict=True))
+        if len(self.cache) + len(known) > CACHE_ENTRIES:
+            self.cache.clear()
+        self.cache.update((x, k) for x, k in known.items() if len(x) <= CACHE_CHARS)
+        return sum(map(known.__getitem__, missing))
+
     def count(self, text: str) -> int:
         if not PLAIN.fullmatch(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -79,10 +89,9 @@ def frequent_lengths(path: str, entries: int) -> dict[str, int]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    pattern = regex.compile(PRE_TOKEN)
     ids = range(min(entries, tokenizer.get_vocab_size()))
-    texts = [x for x in (tokenizer.decode([i], skip_special_tokens=False) for i in ids) if PLAIN.fullmatch(x) and pattern.fullmatch(x)]
-    return {x: len(y.ids) for x, y in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True) if pattern.findall(x) == [x]}
+    texts = [x for x in (tokenizer.decode([i], skip_special_tokens=False) for i in ids) if PLAIN.fullmatch(x) and PRE_TOKEN.fullmatch(x)]
+    return {x: len(y.ids) for x, y in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True) if PRE_TOKEN.findall(x) == [x]}
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, frequent: int = 50_257) -> DataFrame:
@@ -99,8 +108,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, frequen
         counter = _worker.get(tokenizer_path)
         if counter is None:
             counter = _worker[tokenizer_path] = Counter(tokenizer_path, lengths.value)
-        texts = [x.as_py() or "" for x in batch.column(1)]
-        counts = [counter.count(x) for x in texts]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        counts = [counter.count(x) if x else 0 for x in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pc.fill_null(pc.binary_length(batch.column(1)).cast(pa.int64()), 0), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return map_arrow(id_and_text(docs), run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
