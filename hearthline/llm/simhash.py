@@ -229,7 +229,11 @@ def label_near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> Da
 def keep_one_of_each(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
     """The rows of docs, all columns, with one row of each near-duplicate component: that of the smallest doc_id (a null one
     last; ties by the text's hash, and one of equal rows)."""
-    rows = near_components(docs, radius, size)
+    return keep_first(docs, near_components(docs, radius, size))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that keep_one_of_each chooses; rows: doc_id, text_hash and root (of the component) of every row."""
     chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("c"))
     key, none, text_hash, row = fresh(docs, "kept_id", "kept_none", "kept_hash", "kept_row")
     chosen = chosen.select(F.coalesce("c.doc_id", F.lit(-1)).alias(key), F.col("c.none").alias(none), F.col("c.text_hash").alias(text_hash)).distinct()
