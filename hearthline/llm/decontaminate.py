@@ -4,7 +4,8 @@ Texts become templates: numbers, names (capitalised words inside a sentence) and
 placeholders, other words are lower-cased, punctuation goes. Every window of WINDOW template words is hashed and joined with
 the benchmark's windows. Where a matching window holds placeholders, what fills them on either side must correspond one to one
 all along the match, so a question asked again with other numbers and names is caught, and unrelated text of the same form
-isn't. A document is contaminated by an item if `run` windows match on one alignment (all of a shorter item's).
+isn't. Beside that, a window matches in two more forms: as one where sentence-initial capitalised words are names too, and as
+plain lower-cased words, so neither names at sentence starts nor another case hide an item. A document is contaminated by an item if `run` windows match on one alignment (all of a shorter item's).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ WINDOW, RUN, SHORTEST = 8, 6, 4
 MAX_BROADCAST = 2_000_000
 #: Documents whose slots are looked up by a broadcast of their keys at most.
 MAX_KEYS = 200_000
+#: Columns of the forms in which windows may match.
+FORMS = ("form", "named", "plain")
 NAME, NUMBER, UNIT = (chr(0xE000 + k) for k in range(3))  # private-use characters
 # Units of measurement, as they stand after a number.
 UNITS = (
@@ -37,8 +40,10 @@ def cleaned(text: Column) -> Column:
     return F.btrim(F.regexp_replace(joined, r"[^\p{L}\p{M}\p{N}.!?]+", " "), F.lit(" .!?"))
 
 
-def template(clean: Column) -> Column:
-    t = F.regexp_replace(clean, r"(?<=[\p{L}\p{M}\p{N}] )\p{Lu}[\p{Ll}\p{M}]++(?=[ .!?]|$)", NAME)
+def template(clean: Column, anywhere: bool = False) -> Column:
+    """anywhere: capitalised words at sentence starts are names too."""
+    before = r"(?<![\p{L}\p{M}\p{N}])" if anywhere else r"(?<=[\p{L}\p{M}\p{N}] )"
+    t = F.regexp_replace(clean, before + r"\p{Lu}[\p{Ll}\p{M}]++(?=[ .!?]|$)", NAME)
     t = F.regexp_replace(t, r"(?<![\p{L}\p{M}\p{N}])[\p{L}\p{M}]*+\p{N}[\p{L}\p{M}\p{N}]*+", NUMBER)
     return F.lower(F.regexp_replace(t, rf"(?<={NUMBER} )(?i:{'|'.join(UNITS)})(?=[ .!?]|$)", UNIT))
 
@@ -48,8 +53,10 @@ def _words(s: Column) -> Column:
 
 
 def with_words(df: DataFrame) -> DataFrame:
-    """Adds raw and form, arrays of one length: the words of column text as they stand, and as a template."""
-    return df.withColumn("clean", cleaned(F.col("text"))).select("*", _words(F.col("clean")).alias("raw"), _words(template(F.col("clean"))).alias("form")).drop("clean")
+    """Adds raw, form, named and plain, arrays of one length: the words of column text as they stand, as a template, as one with
+    names at sentence starts too, and lower-cased."""
+    clean = F.col("clean")
+    return df.withColumn("clean", cleaned(F.col("text"))).select("*", *(_words(x).alias(c) for x, c in ((clean, "raw"), (template(clean), "form"), (template(clean, True), "named"), (F.lower(clean), "plain")))).drop("clean")
 
 
 def window_hashes(raw: Column, form: Column, n: int) -> Column:
@@ -59,6 +66,21 @@ def window_hashes(raw: Column, form: Column, n: int) -> Column:
     return F.when(F.size(form) >= n, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
+def every_window(n: int) -> Column:
+    """kind (index into FORMS), at and h of the windows of n words in each form; once where a form's hash is the template's."""
+    hashes = [window_hashes(F.col("raw"), F.col(c), n) for c in FORMS]
+
+    def placed(kind: int) -> Column:
+        return F.transform(hashes[kind], lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), x.alias("h")))
+
+    rows = [placed(k) for k in range(len(FORMS))]
+    return F.concat(rows[0], *(F.filter(r, lambda w: w["h"] != F.get(hashes[0], w["at"])) for r in rows[1:]))
+
+
+def form_of(kind: Column) -> Column:
+    return F.when(kind == 0, F.col("form")).when(kind == 1, F.col("named")).otherwise(F.col("plain"))
+
+
 def slots(raw: Column, form: Column, at: Column, n: Column) -> Column:
     """What fills the placeholders of the window of n words at a place: the type and the lower-cased word of each."""
     held = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (F.get(form, at + k) >= NAME) & (F.get(form, at + k) <= UNIT) & ~((k == 0) & (F.get(form, at) == NAME)))
@@ -72,10 +94,10 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     items = with_words(items).withColumn("n", F.least(F.size("form"), F.lit(window))).where(F.col("n") >= SHORTEST)
-    sized = [F.when(F.col("n") == n, window_hashes(F.col("raw"), F.col("form"), n)) for n in range(SHORTEST, window + 1)]
-    items = items.withColumn("hashes", F.coalesce(*sized)).withColumn("item_windows", F.size("hashes"))
-    rows = items.select("*", F.posexplode("hashes").alias("place", "h"))
-    filled = slots(F.col("raw"), F.col("form"), F.col("place"), F.col("n"))
+    sized = [F.when(F.col("n") == n, every_window(n)) for n in range(SHORTEST, window + 1)]
+    items = items.withColumn("windows", F.coalesce(*sized)).withColumn("item_windows", F.size("form") - F.col("n") + 1)
+    rows = items.select("*", F.inline("windows").alias("kind", "place", "h"))
+    filled = slots(F.col("raw"), form_of(F.col("kind")), F.col("place"), F.col("n"))
     return rows.select("item_id", F.xxhash64("text").alias("item_hash"), "n", "item_windows", "place", "h", filled.alias("filled"), (2 * F.size(filled) > F.col("n")).alias("bare"))
 
 
@@ -95,7 +117,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run:
     spark = docs.sparkSession
     if not lengths:
         return spark.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, n_windows bigint, item_windows int")
-    parts = [rows.select("doc_id", "text_hash", F.posexplode(window_hashes(F.col("raw"), F.col("form"), n)).alias("at", "h")) for n in lengths]
+    parts = [rows.select("doc_id", "text_hash", F.inline(every_window(n)).alias("kind", "at", "h")) for n in lengths]
     small = bench.count() <= MAX_BROADCAST
     right = F.broadcast(bench) if small else bench
     hits = staged(reduce(DataFrame.unionByName, parts).join(right, "h").drop("h"), "hits")
@@ -107,7 +129,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run:
     texts = id_and_text(docs, F.xxhash64("text").alias("text_hash"))
     texts = with_words(texts.join(keys, same_row(texts, keys), "left_semi").dropDuplicates(["doc_id", "text_hash"])).drop("text").withColumnsRenamed({"doc_id": "d_id", "text_hash": "d_hash"})
     looked = asked.join(texts, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("text_hash") == F.col("d_hash")))
-    looked = looked.withColumn("found", slots(F.col("raw"), F.col("form"), F.col("at"), F.col("n"))).drop("raw", "form", "d_id", "d_hash")
+    looked = looked.withColumn("found", slots(F.col("raw"), form_of(F.col("kind")), F.col("at"), F.col("n"))).drop("raw", *FORMS, "d_id", "d_hash")
     looked = looked.where(F.size("found") == F.size("filled")).withColumn("same", F.col("found") == F.col("filled"))
     looked = looked.where(~F.col("bare") | F.col("same"))
     looked = looked.withColumn("pairs", F.zip_with("filled", "found", lambda b, d: F.struct(b.alias("b"), d.alias("d")))).drop("found")
