@@ -408,6 +408,39 @@ def test_substrings(spark, window):
     assert got(substrings.remove_repeated_spans(docs(spark, *rows, extra=True), window), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_removal(rows, window)
 
 
+def test_structured_words_are_told_apart(spark):
+    """Words whose letters cancel in polynomial hashes; only equal windows may go."""
+    rows = []
+    for k, size in enumerate((1024, 2048)):
+        bits = [bin(j).count("1") % 2 for j in range(size)]
+        one, other = ("".join("ab"[b ^ f] for b in bits) for f in (0, 1))
+        for f, middle in enumerate((one, other)):
+            rows.append((2 * k + f, " ".join([*(f"l{k}_{j}" for j in range(15)), middle, *(f"r{k}_{j}" for j in range(15))])))
+    assert got(substrings.remove_repeated_spans(docs(spark, *rows)), "doc_id", "n_removed") == [(k, 0) for k in range(4)]
+    words = ["ab"[bin(j).count("1") % 2] for j in range(2048)]
+    rows = [(1, " ".join(words)), (2, " ".join("ba"["ab".index(w)] for w in words)), (3, "x " * 9 + " ".join(words[100:900]))]
+    assert got(substrings.remove_repeated_spans(docs(spark, *rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_removal(rows, 20)
+
+
+def test_substrings_repeated_ids(spark):
+    """Rows of one id or of none are documents in the order of their texts' hashes: of one passage one stays whole."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(None, f"a{k} {passage} z{k}") for k in range(5)] + [(7, f"b {passage}"), (7, f"c {passage} d"), (9, passage)]
+    out = got(substrings.remove_repeated_spans(docs(spark, *rows)), "doc_id", "n_removed")
+    assert sorted(n for i, n in out if i == 7) == [0, 40]
+    assert [n for i, n in out if i != 7] == [40] * 6
+
+
+def test_words_are_compared_at_their_source(spark):
+    rows = docs(spark, (1, "a b c d"), (2, "x a b c")).selectExpr("doc_id as doc", "text", "doc_id as tid", "1L as check")
+    texts = substrings.Texts(rows)
+    (first,) = (r["rank"] << substrings.PLACE for r in texts.ranked.where("tid = 1").collect())
+    claims = lambda *words: spark.createDataFrame([(2, 2, 4, 3, "", [{"n": 3, "source": first + k, "digest": substrings._digest(w.encode().split())} for k, w in words])], substrings.RESULT)
+    assert substrings._all_verified(texts, claims((0, "a b c"), (1, "b c d")))
+    assert not substrings._all_verified(texts, claims((0, "a b c"), (1, "b c x")))
+    texts.drop()
+
+
 def test_substrings_odd(spark):
     text = " ".join(f"w{k}" for k in range(30))
     out = substrings.remove_repeated_spans(docs(spark, (1, text), (1, text), (2, text)))
