@@ -1,158 +1,208 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
-Texts become templates: numbers, names (capitalised words inside a sentence) and units (after a number) turn into typed
-placeholders, other words are lower-cased, punctuation goes. Every window of WINDOW template words is hashed and joined with
-the benchmark's windows. Where a matching window holds placeholders, what fills them on either side must correspond one to one
-all along the match, so a question asked again with other numbers and names is caught, and unrelated text of the same form
-isn't. Beside that, a window matches in two more forms: as one where sentence-initial capitalised words are names too, and as
-plain lower-cased words, so neither names at sentence starts nor another case hide an item. A document is contaminated by an item if `run` windows match on one alignment (all of a shorter item's).
+Texts become templates in two forms. In the plain form words are lower-cased and numbers and units (after a number) are typed
+placeholders; in the named form words with capitals are placeholders too. Every window of `window` words is hashed in either form
+and joined with the benchmark's windows of the same form: the plain one finds an item in any case, the named one an item told with
+other names, wherever in a sentence they stand. Where a matching window holds placeholders, what fills them on either side must
+correspond one to one all along an alignment, so a question asked again with other numbers and names is caught, and unrelated text
+of the same form isn't. A text leaks an item if `run` of the item's windows (all of a shorter item's) match on one alignment,
+adjoining or not.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_and_text, staged
-
-#: Words of a window; consecutive matching windows that make a leak; words below which an item is too short to search for.
-WINDOW, RUN, SHORTEST = 8, 6, 4
-#: Benchmark windows that are broadcast at most; a larger benchmark is joined by a shuffle.
-MAX_BROADCAST = 2_000_000
-#: Documents whose slots are looked up by a broadcast of their keys at most.
-MAX_KEYS = 200_000
-#: Columns of the forms in which windows may match.
-FORMS = ("form", "named", "plain")
-NAME, NUMBER, UNIT = (chr(0xE000 + k) for k in range(3))  # private-use characters
+from .common import fresh, staged
+
+#: Words of a window; windows on one alignment that make a leak.
+WINDOW, RUN = 8, 6
+#: Distinct hashes of benchmark windows that are broadcast at most (16 bytes each); a larger benchmark is joined by a shuffle.
+MAX_BROADCAST = 500_000
+#: Hashes of texts that are broadcast at most (8 bytes each), to look up or drop the few texts that have hits.
+MAX_KEYS = 500_000
+NUMBER, UNIT, NAME = "#", "%", "@"  # no letters or digits, so no words
 # Units of measurement, as they stand after a number.
 UNITS = (
     "km m cm mm kg g mg t l ml cl s min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years "
     "km2 m2 ha mile miles mi ft feet inch inches yard yards lb lbs oz pound pounds ounce ounces gallon gallons litre litres liter liters "
     "meter meters metre metres gram grams kilogram kilograms percent dollar dollars cent cents euro euros usd eur mph kmh watt watts volt volts degree degrees"
 ).split()
+_REST = 1 << 30
 
 
-def cleaned(text: Column) -> Column:
-    """Letters, digits and sentence ends of a text, separated by single spaces; separators inside numbers are gone."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\p{N})[.,](?=\p{N})", "")
-    return F.btrim(F.regexp_replace(joined, r"[^\p{L}\p{M}\p{N}.!?]+", " "), F.lit(" .!?"))
+def split_words(text: Column) -> Column:
+    """Runs of letters, marks and digits; points and commas inside numbers are gone."""
+    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.,](?<=[0-9][.,])(?=[0-9])", "")
+    return F.array_remove(F.split(joined, r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
-def template(clean: Column, anywhere: bool = False) -> Column:
-    """anywhere: capitalised words at sentence starts are names too."""
-    before = r"(?<![\p{L}\p{M}\p{N}])" if anywhere else r"(?<=[\p{L}\p{M}\p{N}] )"
-    t = F.regexp_replace(clean, before + r"\p{Lu}[\p{Ll}\p{M}]++(?=[ .!?]|$)", NAME)
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{M}\p{N}])[\p{L}\p{M}]*+\p{N}[\p{L}\p{M}\p{N}]*+", NUMBER)
-    return F.lower(F.regexp_replace(t, rf"(?<={NUMBER} )(?i:{'|'.join(UNITS)})(?=[ .!?]|$)", UNIT))
+def _digit(word: Column) -> Column:
+    return (word >= "0") & (word < ":")
 
 
-def _words(s: Column) -> Column:
-    return F.when(s != "", F.split(s, "[ .!?]+")).otherwise(F.array().cast("array<string>"))
+def kinds(low: Column) -> Column:
+    """For each lower-cased word NUMBER (it starts with a digit), UNIT (a unit after a number) or null."""
+    before = F.slice(F.concat(F.array(F.lit("")), low), F.lit(1), F.size(low))
+    return F.zip_with(low, before, lambda w, p: F.when(_digit(w), NUMBER).when(_digit(p) & w.isin(*UNITS), UNIT))
 
 
 def with_words(df: DataFrame) -> DataFrame:
-    """Adds raw, form, named and plain, arrays of one length: the words of column text as they stand, as a template, as one with
-    names at sentence starts too, and lower-cased."""
-    clean = F.col("clean")
-    return df.withColumn("clean", cleaned(F.col("text"))).select("*", *(_words(x).alias(c) for x, c in ((clean, "raw"), (template(clean), "form"), (template(clean, True), "named"), (F.lower(clean), "plain")))).drop("clean")
-
-
-def window_hashes(raw: Column, form: Column, n: int) -> Column:
-    """Hashes of the windows of n words. A window's first word counts as no name: what stands before it must not matter."""
-    first = lambda i: F.when(F.get(form, i) == NAME, F.lower(F.get(raw, i))).otherwise(F.get(form, i))
-    hashed = F.transform(F.sequence(F.lit(0), F.size(form) - n), lambda i: F.xxhash64(F.lit(n), first(i), F.slice(form, i + 2, n - 1)))
-    return F.when(F.size(form) >= n, hashed).otherwise(F.array().cast("array<bigint>"))
-
-
-def every_window(n: int) -> Column:
-    """kind (index into FORMS), at and h of the windows of n words in each form; once where a form's hash is the template's."""
-    hashes = [window_hashes(F.col("raw"), F.col(c), n) for c in FORMS]
-
-    def placed(kind: int) -> Column:
-        return F.transform(hashes[kind], lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), x.alias("h")))
-
-    rows = [placed(k) for k in range(len(FORMS))]
-    return F.concat(rows[0], *(F.filter(r, lambda w: w["h"] != F.get(hashes[0], w["at"])) for r in rows[1:]))
+    """Adds raw, low (words as they stand, and lower-cased) and kind (as kinds gives it) in place of text.
 
-
-def form_of(kind: Column) -> Column:
-    return F.when(kind == 0, F.col("form")).when(kind == 1, F.col("named")).otherwise(F.col("plain"))
-
-
-def slots(raw: Column, form: Column, at: Column, n: Column) -> Column:
-    """What fills the placeholders of the window of n words at a place: the type and the lower-cased word of each."""
-    held = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (F.get(form, at + k) >= NAME) & (F.get(form, at + k) <= UNIT) & ~((k == 0) & (F.get(form, at) == NAME)))
-    return F.transform(held, lambda k: F.concat(F.get(form, at + k), F.lower(F.get(raw, at + k))))
+    Each step is a projection of its own: what is used twice, or within a lambda, must be a column by then.
+    """
+    rest = [c for c in df.columns if c != "text"]
+    split = df.select(*rest, split_words(F.col("text")).alias("raw"))
+    lowered = split.select("*", F.transform("raw", F.lower).alias("low"))
+    return lowered.select("*", kinds(F.col("low")).alias("kind"))
+
+
+def with_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """Adds windows in place of raw, low and kind: array of (n, named, hashes), the hashes of the windows of n words from each
+    place on in the plain form and, null where they hold no name, in the named form. lengths: of windows, 1 to 2 WINDOW."""
+    rest = [c for c in df.columns if c not in ("raw", "low", "kind")]
+    plain = F.zip_with("low", "kind", lambda w, k: F.xxhash64(F.coalesce(k, w)))
+    capital = F.zip_with("raw", "low", lambda r, w: r != w)
+    df = df.select(*rest, plain.alias("p0"), F.zip_with(capital, "kind", lambda c, k: c & k.isNull()).alias("name"))
+    name_hash = F.xxhash64(F.lit(NAME))
+    df = df.select(*rest, "p0", F.zip_with("p0", "name", lambda h, c: F.when(c, name_hash).otherwise(h)).alias("n0"))
+    top = max(lengths).bit_length() - 1
+    for k in range(top):  # hashes of 2^k words, from two of half as many
+        pair = lambda c, k=k: F.zip_with(c, F.slice(c, F.lit((1 << k) + 1), F.lit(_REST)), lambda a, b: F.xxhash64(a, b))
+        df = df.select("*", pair(f"p{k}").alias(f"p{k + 1}"), pair(f"n{k}").alias(f"n{k + 1}"))
+    made = []
+    for n in lengths:  # two runs of 2^k words cover a window
+        k = n.bit_length() - 1
+        over = n - (1 << k)
+        for form in "pn":
+            c = f"{form}{k}"
+            whole = F.zip_with(c, F.slice(c, F.lit(over + 1), F.lit(_REST)), lambda a, b: F.xxhash64(a, b)) if over else F.col(c)
+            made.append(F.slice(whole, F.lit(1), F.greatest(F.lit(0), F.size("p0") - (n - 1))).alias(f"{form}_{n}"))
+    df = df.select(*rest, *made)
+    named = lambda n: F.zip_with(f"p_{n}", f"n_{n}", lambda a, b: F.when(a != b, b))
+    rows = [F.struct(F.lit(n).alias("n"), F.lit(f).alias("named"), h.alias("hashes")) for n in lengths for f, h in ((False, F.col(f"p_{n}")), (True, named(n)))]
+    return df.select(*rest, F.array(*rows).alias("windows"))
+
+
+def window_rows(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """n, named, at and h of every window in place of raw, low and kind.
+
+    inline_outer, since Spark would test inline's array for emptiness in the scan, by all the expressions that make it.
+    """
+    rest = [c for c in df.columns if c not in ("raw", "low", "kind")]
+    each = with_hashes(df, lengths).select(*rest, F.inline_outer("windows").alias("n", "named", "hashes"))
+    return each.select(*rest, "n", "named", F.posexplode("hashes").alias("at", "h")).where("h is not null")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, n (words of the window), item_windows, place, h, filled (slots) and bare (more slots than words) of every window.
+    """item_id, item_hash, item_windows, n, named, place, h, slots (places of placeholders), filled and bare of every window.
 
-    An item of fewer than `window` words is one window of its own length; one of fewer than SHORTEST words has none.
+    An item of fewer than `window` words is one window of its own length. bare: more than half of its words are placeholders.
     """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    items = with_words(items).withColumn("n", F.least(F.size("form"), F.lit(window))).where(F.col("n") >= SHORTEST)
-    sized = [F.when(F.col("n") == n, every_window(n)) for n in range(SHORTEST, window + 1)]
-    items = items.withColumn("windows", F.coalesce(*sized)).withColumn("item_windows", F.size("form") - F.col("n") + 1)
-    rows = items.select("*", F.inline("windows").alias("kind", "place", "h"))
-    filled = slots(F.col("raw"), form_of(F.col("kind")), F.col("place"), F.col("n"))
-    return rows.select("item_id", F.xxhash64("text").alias("item_hash"), "n", "item_windows", "place", "h", filled.alias("filled"), (2 * F.size(filled) > F.col("n")).alias("bare"))
+    items = staged(with_words(items.withColumn("item_hash", F.xxhash64("text"))).withColumn("size", F.least(F.size("raw"), F.lit(window))).where("size > 0"), "benchmark-words")
+    lengths = sorted(r["size"] for r in items.select("size").distinct().collect())  # `window` numbers at most
+    if not lengths:
+        return items.sparkSession.createDataFrame([], "item_id bigint, item_hash bigint, item_windows int, n int, named boolean, place int, h bigint, slots array<int>, filled array<string>, bare boolean")
+    kept = items.select("*", F.col("raw").alias("w"), F.col("low").alias("l"), F.col("kind").alias("k"))
+    rows = window_rows(kept, lengths).where("n = size").withColumnRenamed("at", "place")
+    taken = F.expr("filter(sequence(0, n - 1), j -> k[place + j] is not null or (named and w[place + j] <> l[place + j]))")
+    rows = rows.withColumn("slots", taken)
+    filled = F.expr("transform(slots, j -> concat(coalesce(k[place + j], '@'), l[place + j]))")
+    return rows.select("item_id", "item_hash", (F.size("w") - F.col("n") + 1).alias("item_windows"), "n", "named", "place", "h", "slots", filled.alias("filled"), (2 * F.size("slots") > F.col("n")).alias("bare"))
+
+
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """df, marked for broadcast if its rows are `most` at most."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """doc_id, text_hash, item_id, n_windows, item_windows of every text and item that it leaks; n_windows as on the best alignment.
+    """text_hash (xxhash64 of the text), item_id, n_windows, item_windows of every text and item that it leaks; n_windows as on the best alignment.
 
-    Null and blank texts and items match nothing; null ids are carried. Items may repeat, also under one id; each is searched
-    for. Windows that are mostly placeholders count only with equal fillings. The whole of every text is searched.
+    Null and blank texts and items match nothing. Items may repeat, also under one id; each is searched for, however short.
+    Windows that are mostly placeholders count only with equal fillings. The whole of every text is searched, once for all
+    lengths of windows.
 
-    The benchmark's windows are broadcast if they are MAX_BROADCAST at most, else both sides are shuffled by hash. The texts
-    themselves are never shuffled: a hit carries its place, and fillings are looked up in a second pass over the few texts
-    whose hits have any.
+    The benchmark's distinct hashes are broadcast if they are MAX_BROADCAST at most, else both sides are shuffled by hash. The
+    texts themselves are never shuffled: a hit carries its place, and fillings are looked up in a second pass over the few texts
+    whose hits have any. Copies of a text are one text from the hits on.
     """
     bench = staged(benchmark_windows(benchmark, window), "benchmark-windows")
-    lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # at most `window` numbers
-    rows = with_words(id_and_text(docs, F.xxhash64("text").alias("text_hash")))
     spark = docs.sparkSession
+    lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())
     if not lengths:
-        return spark.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, n_windows bigint, item_windows int")
-    parts = [rows.select("doc_id", "text_hash", F.inline(every_window(n)).alias("kind", "at", "h")) for n in lengths]
-    small = bench.count() <= MAX_BROADCAST
-    right = F.broadcast(bench) if small else bench
-    hits = staged(reduce(DataFrame.unionByName, parts).join(right, "h").drop("h"), "hits")
-    plain = hits.where(F.size("filled") == 0).select("*", F.array().cast("array<struct<b:string,d:string>>").alias("pairs"), F.lit(True).alias("same"))
-    asked = hits.where(F.size("filled") > 0)
-    keys = asked.select("doc_id", "text_hash").distinct()
-    keys = F.broadcast(keys) if keys.count() <= MAX_KEYS else keys
-    same_row = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
-    texts = id_and_text(docs, F.xxhash64("text").alias("text_hash"))
-    texts = with_words(texts.join(keys, same_row(texts, keys), "left_semi").dropDuplicates(["doc_id", "text_hash"])).drop("text").withColumnsRenamed({"doc_id": "d_id", "text_hash": "d_hash"})
-    looked = asked.join(texts, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("text_hash") == F.col("d_hash")))
-    looked = looked.withColumn("found", slots(F.col("raw"), form_of(F.col("kind")), F.col("at"), F.col("n"))).drop("raw", *FORMS, "d_id", "d_hash")
-    looked = looked.where(F.size("found") == F.size("filled")).withColumn("same", F.col("found") == F.col("filled"))
-    looked = looked.where(~F.col("bare") | F.col("same"))
-    looked = looked.withColumn("pairs", F.zip_with("filled", "found", lambda b, d: F.struct(b.alias("b"), d.alias("d")))).drop("found")
-    every = plain.unionByName(looked)
-    lines = every.groupBy("doc_id", "text_hash", "item_id", "item_hash", "item_windows", (F.col("at") - F.col("place")).alias("line")).agg(
-        F.count_distinct("place").alias("n_all"), F.count_distinct(F.when(F.col("same"), F.col("place"))).alias("n_same"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+        return spark.createDataFrame([], "text_hash bigint, item_id bigint, n_windows int, item_windows int")
+    own = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+    wanted = _few(bench.select(F.col("h").alias("wanted")).distinct(), MAX_BROADCAST)
+    rows = window_rows(with_words(own), lengths)
+    hits = staged(rows.join(wanted, F.col("h") == F.col("wanted"), "left_semi").distinct(), "hits")
+    found = hits.join(bench, ["h", "n", "named"]).select("text_hash", "at", "item_id", "item_hash", "item_windows", "place", "slots", "filled", "bare")
+    plain = found.where(F.size("slots") == 0).withColumn("found", F.array().cast("array<string>"))
+    asked = found.where(F.size("slots") > 0)
+    keys = staged(hits.select(F.col("text_hash").alias("key")).distinct(), "hit-texts")
+    texts = own.join(_few(keys, MAX_KEYS), F.col("text_hash") == F.col("key"), "left_semi").dropDuplicates(["text_hash"])
+    texts = staged(with_words(texts).select(F.col("text_hash").alias("key"), "low"), "hit-words")
+    looked = asked.join(texts, F.col("text_hash") == F.col("key"))
+    looked = looked.withColumn("found", F.expr("transform(slots, (j, i) -> concat(substr(filled[i], 1, 1), low[at + j]))")).drop("low", "key")
+    every = plain.unionByName(looked).withColumn("same", F.col("found") == F.col("filled")).where("same or not bare")
+    pairs = F.zip_with("filled", "found", lambda b, d: F.struct(b.alias("b"), d.alias("d")))
+    lines = every.groupBy("text_hash", "item_id", "item_hash", "item_windows", (F.col("at") - F.col("place")).alias("line")).agg(
+        F.size(F.collect_set("place")).alias("n_all"), F.size(F.collect_set(F.when(F.col("same"), F.col("place")))).alias("n_same"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
-    side = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k])))
-    one_to_one = (side("b") == F.size("pairs")) & (side("d") == F.size("pairs"))
+    lines = lines.withColumn("bs", F.array_distinct("pairs.b")).withColumn("ds", F.array_distinct("pairs.d"))
+    one_to_one = (F.size("bs") == F.size("pairs")) & (F.size("ds") == F.size("pairs"))
     lines = lines.withColumn("n_windows", F.when(one_to_one, F.col("n_all")).otherwise(F.col("n_same")))
     lines = lines.where(F.col("n_windows") >= F.least(F.col("item_windows"), F.lit(run)))
-    return lines.groupBy("doc_id", "text_hash", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max_by("item_windows", "n_windows").alias("item_windows"))
+    best = lines.groupBy("text_hash", "item_id").agg(F.max(F.struct("n_windows", "item_windows")).alias("b"))
+    return staged(best.select("text_hash", "item_id", "b.n_windows", "b.item_windows"), "leaks")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """doc_id, item_id, n_windows, item_windows of every document and item that it leaks (one row, also of repeated rows)."""
+    """doc_id, item_id, n_windows, item_windows of every document and item that it leaks (one row, also of repeated rows; of
+    different texts under one doc_id the most windows count). Null doc_ids are carried."""
     found = find_leaks(docs, benchmark, window, run)
-    return found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max_by("item_windows", "n_windows").alias("item_windows"))
+    key = found.select("text_hash").distinct().withColumnRenamed("text_hash", "key")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    own = own.join(_few(key, MAX_KEYS), F.col("text_hash") == F.col("key"), "left_semi")
+    best = own.join(found, "text_hash").groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "item_windows")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_windows", "b.item_windows")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """The rows of docs, all columns, whose text leaks no item."""
-    own_id, own_hash = fresh(docs, "leak_id", "leak_hash")
-    bad = find_leaks(docs, benchmark, window, run).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
-    text_hash = F.xxhash64(F.col("text").cast("string"))
-    return docs.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col(own_id)) & (text_hash == F.col(own_hash)), "left_anti")
+    """The rows of docs, all columns, whose text leaks no item (rows with a null text stay)."""
+    (key,) = fresh(docs, "leak_hash")
+    bad = find_leaks(docs, benchmark, window, run).select(F.col("text_hash").alias(key)).distinct()
+    text = F.col("text").cast("string")
+    return docs.join(_few(bad, MAX_KEYS), text.isNotNull() & (F.xxhash64(text) == F.col(key)), "left_anti")
+
+
+#: The same in DuckDB's SQL, with the default window and run.
+LEAK_SQL = r"""
+WITH units AS (SELECT unnest(string_split('UNITS', ' ')) AS u),
+texts AS (SELECT DISTINCT 'd' AS side, text FROM documents UNION ALL SELECT DISTINCT 'b', text FROM benchmark),
+split AS (SELECT side, text, list_filter(string_split_regex(regexp_replace(regexp_replace(text, '([0-9])[.,]([0-9])', '\1\2', 'g'), '([0-9])[.,]([0-9])', '\1\2', 'g'), '[^\pL\pM\pN]+'), lambda x: x <> '') AS raw FROM texts WHERE text IS NOT NULL),
+flat AS (SELECT side, text, len(raw) AS size, unnest(range(len(raw))) AS pos, unnest(raw) AS w FROM split),
+low AS (SELECT *, lower(w) AS l, lower(w) >= '0' AND lower(w) < ':' AS digit FROM flat),
+typed AS (SELECT side, text, size, pos, l, CASE WHEN digit THEN '#' WHEN lag(digit) OVER s AND l IN (SELECT u FROM units) THEN '%' END AS k, w <> l AS cap FROM low WINDOW s AS (PARTITION BY side, text ORDER BY pos)),
+forms AS (SELECT side, text, size, pos, named, l, coalesce(k, CASE WHEN named AND cap THEN '@' END) AS slot FROM typed, (VALUES (false), (true)) AS f(named)),
+sizes AS (SELECT DISTINCT least(size, 8) AS n FROM flat WHERE side = 'b'),
+windows AS (
+  SELECT side, text, size, pos, named, n, array_agg(coalesce(slot, l)) OVER v AS words, array_agg(slot) OVER v AS slots, array_agg(coalesce(slot, '') || l) OVER v AS fills, count(*) OVER v AS got
+  FROM forms, (SELECT max(n) AS n FROM sizes) WINDOW v AS (PARTITION BY side, text, named ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+cut AS (SELECT side, text, size, pos, named, sizes.n, words[1:sizes.n] AS words, slots[1:sizes.n] AS slots, fills[1:sizes.n] AS fills FROM windows JOIN sizes ON got >= sizes.n),
+kept AS (SELECT * FROM cut WHERE (NOT named OR list_contains(words, '@')) AND (side = 'd' OR n = least(size, 8))),
+hits AS (
+  SELECT d.text AS text, b.text AS item, b.size - b.n + 1 AS item_windows, b.pos AS place, d.pos - b.pos AS line, d.fills = b.fills AS same, 2 * len(list_filter(b.slots, lambda x: x IS NOT NULL)) > b.n AS bare,
+    list_filter(list_zip(b.slots, b.fills, d.fills), lambda x: x[1] IS NOT NULL) AS pairs
+  FROM kept b JOIN kept d ON b.side = 'b' AND d.side = 'd' AND b.named = d.named AND b.n = d.n AND b.words = d.words),
+good AS (SELECT * FROM hits WHERE same OR NOT bare),
+counts AS (SELECT text, item, item_windows, line, count(DISTINCT place) AS n_all, count(DISTINCT CASE WHEN same THEN place END) AS n_same FROM good GROUP BY ALL),
+slotted AS (SELECT text, item, line, unnest(pairs) AS p FROM good),
+maps AS (SELECT text, item, line, count(DISTINCT (p[2], p[3])) AS np, count(DISTINCT p[2]) AS nb, count(DISTINCT p[3]) AS nd FROM slotted GROUP BY ALL),
+lines AS (SELECT c.*, CASE WHEN coalesce(np = nb AND np = nd, true) THEN n_all ELSE n_same END AS n_windows FROM counts c LEFT JOIN maps USING (text, item, line)),
+leaks AS (SELECT text, item, max((n_windows, item_windows)) AS b FROM lines WHERE n_windows >= least(item_windows, 6) GROUP BY ALL)
+SELECT doc_id, item_id, CAST(max(b)[1] AS INT) AS n_windows, CAST(max(b)[2] AS INT) AS item_windows FROM leaks JOIN documents d USING (text) JOIN benchmark i ON i.text = leaks.item GROUP BY doc_id, item_id
+""".replace("UNITS", " ".join(UNITS))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import search
 from .common import table
-from .decontaminate import leaks
+from .decontaminate import LEAK_SQL, leaks
 from .html_text import extract_main_text
 from .mixing import MIX_SQL, mix_sources
 from .quality import score_quality
 from .secrets import scan_secrets
 from .simhash import label_near_duplicates
-from .substrings import remove_repeated_spans
+from .substrings import REPEATS_SQL, remove_repeated_spans
 from .tokens import count_tokens
 from .url_filter import Rule, filter_urls
 
@@ -93,7 +93,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-@query("op8_benchmark_decontamination")
+@query("op8_benchmark_decontamination", LEAK_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=8, run=6)
 
@@ -103,6 +103,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-@query("op10_substring_dedup")
+@query("op10_substring_dedup", REPEATS_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_spans(table(spark, sf_dir, "documents"), window=20)

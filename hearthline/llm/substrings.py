@@ -375,3 +375,15 @@ def remove_repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
         copy = (F.col("doc") > F.col("first")) & (F.col("n_words") >= window)
         return joined.select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
     raise RuntimeError("three families of hashes collided")
+
+
+#: The same in DuckDB's SQL over documents with distinct doc_ids, with windows of 20 words.
+REPEATS_SQL = r"""
+WITH split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+flat AS (SELECT doc_id, unnest(range(len(words))) AS pos, unnest(words) AS word FROM split),
+windows AS (SELECT doc_id, pos, string_agg(word, ' ') OVER w AS content, count(*) OVER w AS n FROM flat WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+repeated AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) > 1 AS again FROM windows WHERE n = 20),
+covered AS (SELECT f.doc_id, f.pos, f.word, coalesce(bool_or(r.again) OVER (PARTITION BY f.doc_id ORDER BY f.pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM flat f LEFT JOIN repeated r ON r.doc_id = f.doc_id AND r.pos = f.pos),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS words FROM covered GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.words, '')) AS kept_sha256 FROM split s LEFT JOIN kept USING (doc_id)
+"""

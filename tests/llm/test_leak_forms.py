@@ -1,9 +1,18 @@
-"""Benchmark items in another case, and retold with other names at sentence starts."""
+"""Benchmark items in another case, retold with other names, of all lengths; and windows and slots against SQL."""
+
+import random
+
+import duckdb
+import pyarrow as pa
 
 from hearthline.llm import decontaminate
 from tests.llm.test_operators import docs
 
 
+def found(frame, items):
+    return sorted(map(tuple, decontaminate.leaks(frame, items).collect()), key=str)
+
+
 def test_case_and_names_at_sentence_starts(spark):
     plain = "What did Marie Curie and Pierre Curie discover in Paris in the year 1898 together"
     german = "Welche Stadt liegt an der Mündung der Elbe und hat den schönsten Hafen von ganz Deutschland heute"
@@ -12,5 +21,35 @@ def test_case_and_names_at_sentence_starts(spark):
     retold = tom.replace("Tom", "Ben").replace("Ann", "Eve").replace("12", "15").replace("3", "4")
     mixed = "Ben buys 4 boxes of 15 pencils. Kim gives 6 pencils to Eve. How many pencils does Joe have left?"
     frame = docs(spark, (1, plain.lower()), (2, plain.upper()), (3, german.lower()), (4, "So it goes. " + retold), (5, mixed), (6, german.upper()))
-    found = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(frame, items).collect())
-    assert found == [(1, 1), (2, 1), (3, 2), (4, 3), (6, 2)]
+    assert [x[:2] for x in found(frame, items)] == [(1, 1), (2, 1), (3, 2), (4, 3), (6, 2)]
+
+
+def test_windows_and_slots_against_sql(spark):
+    rng = random.Random(3)
+    vocabulary = "the of a river stone Anna Ben Ulm seven 7 12 3.5 1,000 km min runs over and then why".split()
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(n, " ".join(some(n))) for n in [*range(1, 13), *range(15, 41, 5)] for _ in range(2)]
+    items += [(90, None), (91, ""), (92, "?!"), (1, items[0][1])]
+    swap = {"Anna": "Eve", "Ben": "Kim", "7": "8", "12": "99", "3.5": "4", "the": "The"}
+    texts = []
+    for _ in range(250):
+        _, item = rng.choice(items)
+        words = (item or "").split()
+        kind = rng.randrange(5)
+        if kind == 1:
+            words = [swap.get(w, w) for w in words]
+        elif kind == 2:
+            words = [swap.get(w, w) if rng.random() < 0.5 else w for w in words]
+        elif kind == 3:
+            words = [w.upper() for w in words]
+        elif kind == 4 and words:
+            words[rng.randrange(len(words))] = "else"
+        texts.append(" ".join([*some(rng.randrange(6)), *words, *some(rng.randrange(6))]) + rng.choice(["", ".", " !"]))
+    texts += [None, "", texts[0]]
+    rows = list(enumerate(texts))
+    got = found(docs(spark, *rows, extra=True), spark.createDataFrame(items, "item_id long, text string"))
+    c = duckdb.connect()
+    for name, key, data in (("documents", "doc_id", rows), ("benchmark", "item_id", items)):
+        c.register(name, pa.table({key: [x[0] for x in data], "text": [x[1] for x in data]}))
+    assert got == sorted(c.execute(decontaminate.LEAK_SQL).fetchall(), key=str)
+    assert {n for _, n, *_ in got} >= set(range(1, 13))
