@@ -3,13 +3,16 @@
 A page is cut into blocks at block-level tags. Pass one labels each block good or bad from its stop-word density, its length
 and its link density; short blocks that these do not decide stay open. In pass two an open block takes the label of the
 nearest decided block around it. What stands in navigation, header, footer, sidebar, form, script and similar containers, or
-in one whose class or id says advert, notice, menu, comments and so on, is boilerplate whatever its words are.
+in one whose class or id says advert, notice, menu, comments and so on, is boilerplate whatever its words are. A content
+container (article, main and the like) vouches for its blocks only if it holds most of what the block rules call good; and where
+stop words say nothing (another language, code), length and links decide alone.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-# Tags of HTML by their role, and frequent function words of English, German, French and Spanish.
+# Tags of HTML by their role, names of containers, and frequent function words of English, German, French and Spanish.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul title caption".split()
 )
@@ -26,11 +29,15 @@ RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?\d*|ads(?:ense|bygoogle|pace|lot)\w*|advert\w*|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|sidebar|side|aside|widget|menu\w*|nav\w*|breadcrumbs?|toolbar|topbar|masthead|footer|foot|copyright|legal|share\w*|sharing|social|related|recommend\w*|comment\w*|respond|replies|disqus|pagination|pager|privacy|contentinfo|complementary|dialog|tags?|search)(?:$|[\s_-])"
+BOILERPLATE = re.compile(
+    r"ads?\d*|ad(?:sense|sbygoogle|space|slot|box)\w*|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|cookie\w+|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|signup|login|sidebar\d*|aside|widgets?|menus?|menubar|nav|navbar|navigation|breadcrumbs?|toolbar|topbar|masthead|footer|foot|copyright|legal|share|sharing|sharebar|social|related|recommended|recommendations|comments?|commentlist|respond|replies|disqus\w*|pagination|pager|privacy|contentinfo|complementary|dialog|tags|search"
 )
-HEADER_NAMES = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])")
-MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_-])")
+MAIN = re.compile(r"article|articlebody|post|entry|story|content|main")
+#: A compound name goes by its last part; these last parts leave it to the first.
+HOLDERS = frozenset("area bar block body box button buttons column container content form group header icons inner item items links list panel posts row section slot stories articles thread unit widget wrap wrapper zone".split())
+#: Names that begin so tell of something elsewhere; names that end so are cards and captions of content, not content.
+MODIFIERS = frozenset("with without no has have hide show is not after before".split())
+PARTIAL = frozenset("card cards list grid teaser teasers meta header footer nav item items preview thumb thumbnail excerpt carousel slider".split())
 STOP_WORDS = frozenset(
     (
         "a about after all also an and are as at be been but by can did do for from had has have he her his how i if in into is it its more no not of on one or out she so some than that the their them then there they this to up was we were what when which who will with would you "
@@ -40,67 +47,161 @@ STOP_WORDS = frozenset(
     ).split()
 )
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORD = re.compile(r"\w+")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_STOP = re.compile(r"[>=]")
+_SPACE = re.compile(r"\s*")
+
+
+class Block(NamedTuple):
+    """links: characters inside links. skipped: by its tags; named: by a container's name; main: in a content container."""
+
+    text: str
+    links: int
+    skipped: bool
+    named: bool
+    main: bool
+    heading: bool
 
 
 class Rules:
-    """Thresholds of the block rules."""
+    """Thresholds of the block rules. known: the stop-word density from which a page is in a language whose stop words are known."""
 
-    def __init__(self, max_link_density: float = 0.33, length_low: int = 70, length_high: int = 200, stop_low: float = 0.10, stop_high: float = 0.20):
+    def __init__(self, max_link_density: float = 0.33, length_low: int = 70, length_high: int = 200, stop_low: float = 0.10, stop_high: float = 0.20, known: float = 0.05):
         self.max_link_density, self.length_low, self.length_high = max_link_density, length_low, length_high
-        self.stop_low, self.stop_high = stop_low, stop_high
+        self.stop_low, self.stop_high, self.known = stop_low, stop_high, known
 
-    def label(self, text: str, links: int, main: bool) -> int:
-        """1 good, -1 bad, 0 open. links: characters inside links. main: the block stands in a content container."""
-        n = len(text)
-        if links > self.max_link_density * n:
+    def linked(self, b: Block) -> bool:
+        return b.links > self.max_link_density * len(b.text)
+
+    def label(self, b: Block, main: bool, known: bool) -> int:
+        """1 good, -1 bad, 0 open. main: a content container that is trusted vouches for it."""
+        n = len(b.text)
+        if self.linked(b):
             return -1
-        found = WORD.findall(text.lower())
-        density = sum(w in STOP_WORDS for w in found) / max(1, len(found))
-        if main:  # a content container vouches for all but short blocks
-            return 1 if n >= self.length_low or density >= self.stop_high else 0
+        density = stop_density(b.text) if known else self.stop_high
+        if main:
+            return 1 if n >= self.length_low or density >= self.stop_high and known else 0
         if n < self.length_low:
-            return 0 if links == 0 else -1
+            return 0 if b.links == 0 else -1
         if density >= self.stop_high:
             return 1 if n >= self.length_high else 0
-        if density >= self.stop_low:
-            return 0
-        return -1
+        return 0 if density >= self.stop_low else -1
+
+
+def stop_density(text: str) -> float:
+    found = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in found) / max(1, len(found))
+
+
+def named(label: str, names: re.Pattern) -> bool:
+    """Whether one of the class tokens is such a name: as a whole, by its last part, or by its first before a part of HOLDERS."""
+    for token in label.split():
+        parts = re.split(r"[_-]+", token.strip("_-"))
+        if parts[0] in MODIFIERS:
+            continue
+        if names.fullmatch(token) or names.fullmatch(parts[-1]) or (parts[-1] in HOLDERS and names.fullmatch(parts[0])):
+            return True
+    return False
+
+
+def main_named(label: str) -> bool:
+    """Whether a class token names a content container: no card, header or footer of one."""
+    return any(t.rstrip("_-") and re.split(r"[_-]+", t.strip("_-"))[-1] not in PARTIAL and named(t, MAIN) for t in label.split())
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """(text, characters in links, dropped, in a content container, heading) of each block in page order."""
-    out: list[tuple[str, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, dropped, content
+class _Page:
+    """Scanning places in a page, in linear time: what has been looked for in vain isn't looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        k = -1 if what in self.dead else self.page.find(what, at)
+        if k < 0:
+            self.dead.add(what)
+        return k
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag; quotes count where a value begins. -1: there is none."""
+        while True:
+            m = _STOP.search(self.page, at) if "stop" not in self.dead else None
+            if m is None:
+                self.dead.add("stop")
+                return -1
+            if m[0] == ">":
+                return m.start()
+            at = _SPACE.match(self.page, m.end()).end()
+            quote = self.page[at : at + 1]
+            if quote and quote in "\"'":
+                over = self.find(quote, at + 1)
+                at = over + 1 if over >= 0 else at + 1
+
+    def close_tag(self, tag: str, at: int) -> int:
+        """The place after the end tag of a raw element; -1: there is none."""
+        if f"</{tag}" in self.dead:
+            return -1
+        m = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(self.page, at)
+        if m is None:
+            self.dead.add(f"</{tag}")
+            return -1
+        return m.end()
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page in its order."""
+    out: list[Block] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # open containers: tag, skipped, named, main
     parts: list[str] = []
-    link_chars = 0
-    in_link = False
-    heading = False
-    at, end = 0, len(page)
+    link_chars = at = 0
+    in_link = heading = False
+    scan = _Page(page)
+
+    def text(piece: str) -> None:
+        nonlocal link_chars
+        parts.append(piece)
+        if in_link:
+            link_chars += len(piece.strip())
 
     def close() -> None:
-        nonlocal parts, link_chars
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            out.append((text, link_chars, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2], heading))
-        parts, link_chars = [], 0
-
-    for m in TOKEN.finditer(page):
-        if m.start() < at:  # inside a raw element
+        nonlocal link_chars
+        joined = " ".join(html.unescape("".join(parts)).split())
+        if joined:
+            out.append(Block(joined, link_chars, *(stack[-1][1:] if stack else (False, False, False)), heading))
+        parts.clear()
+        link_chars = 0
+
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            text(page[at:])
+            break
+        if start > at:
+            text(page[at:start])
+        after = page[start + 1 : start + 2]
+        if after in ("!", "?"):
+            if page.startswith("<!--", start):
+                over, size = scan.find("-->", start + 4), 3
+            elif page.startswith("<![CDATA[", start):
+                over, size = scan.find("]]>", start), 3
+            else:
+                over, size = scan.find(">", start), 1
+            at = over + size if over >= 0 else len(page)
             continue
-        if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
-            if in_link:
-                link_chars += len(piece.strip())
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        ending = after == "/"
+        name = _NAME.match(page, start + 1 + ending)
+        if name is None:  # no tag
+            text("<")
+            at = start + 1
             continue
-        if m[1]:  # an end tag
+        over = scan.tag_end(name.end())
+        if over < 0:  # a tag that never ends
+            break
+        tag, attributes = name[0].lower(), page[name.end() : over]
+        at = over + 1
+        if ending:
             if tag == "a":
                 in_link = False
             if tag in BLOCK_TAGS or tag in SKIP_TAGS:
@@ -120,75 +221,109 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             close()
             if tag in HEADINGS:
                 heading = True
-            elif tag == "p" and stack and stack[-1][0] == "p":  # a paragraph ends the one before
-                stack.pop()
-            elif tag == "li" and stack and stack[-1][0] == "li":
+            elif tag in ("p", "li") and stack and stack[-1][0] == tag:  # a paragraph ends the one before
                 stack.pop()
-            dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            names = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3])} if m[3] else {}
+            if tag in RAW_TAGS:  # nothing inside is text; without an end tag, a self-closed one is empty
+                over = scan.close_tag(tag, at)
+                at = over if over >= 0 else at if attributes.endswith("/") else len(page)
+                continue
+            if tag in VOID_TAGS:
+                continue
+            _, skipped, by_name, main = stack[-1] if stack else ("", False, False, False)
+            names = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(attributes)} if attributes else {}
             label = f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".lower()
-            dropped |= tag in SKIP_TAGS or "hidden" in names or names.get("aria-hidden") == "true" or bool(HIDDEN.search(names.get("style", "")))
-            if tag in MAIN_TAGS or names.get("itemprop") == "articleBody" or (not dropped and tag != "body" and MAIN_NAMES.search(label)):
+            skipped |= tag in SKIP_TAGS or "hidden" in names or names.get("aria-hidden") == "true" or bool(HIDDEN.search(names.get("style", "")))
+            if tag not in ("html", "body", "main", "article") and label.strip():
+                by_name |= named(label, BOILERPLATE)
+            if tag in MAIN_TAGS or names.get("itemprop") == "articleBody" or (not skipped and not by_name and tag != "body" and main_named(label)):
                 main = True
-            if label.strip() and tag not in ("html", "body", "main", "article") and BOILERPLATE_NAMES.search(label):
-                dropped = True
-            if (tag == "header" or HEADER_NAMES.search(label)) and not main:  # an article's own header holds its title
-                dropped = True
-            if tag not in VOID_TAGS and not m[3].endswith("/"):
-                stack.append((tag, dropped, main))
-            if tag in RAW_TAGS:
-                over = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if over is None:
-                    at = end
-                else:
-                    at = over.end()
-                stack.pop()
-    if at < end:
-        parts.append(page[at:])
+            if not main and (tag == "header" or any(t.endswith("header") for t in label.split())):  # an article's own header holds its title
+                skipped = True
+            stack.append((tag, skipped, by_name, main))
     close()
     return out
 
 
-def main_text(page: str | None, rules: Rules | None = None) -> str:
-    """The article of one page: its good blocks joined by newlines; empty for a null or empty page or one without good blocks."""
-    if not page:
-        return ""
-    rules = rules or Rules()
-    found = blocks(page)
-    some_main = any(b[3] and not b[2] for b in found)  # with a content container, what lies outside it is boilerplate
-    labels = [-1 if dropped or some_main and not main else rules.label(text, links, main) for text, links, dropped, main, _ in found]
-    if some_main and 1 not in labels:
-        labels = [1 if x == 0 else x for x in labels]
-    final = list(labels)
-    before, last = [len(found) + 1] * len(found), None
+def _spread(found: list[Block], labels: list[int], main: bool) -> list[int]:
+    """Pass two: each open block takes the label of the nearest decided one; inside a container only its own blocks count."""
+    before, last = [-1] * len(found), -1
     for k, x in enumerate(labels):
         last = k if x else last
-        before[k] = last if last is not None else -1
-    after = None
+        before[k] = last
+    final, after = list(labels), -1
     for k in range(len(found) - 1, -1, -1):
         after = k if labels[k] else after
-        if labels[k] == 0:
-            left, right = before[k], after
-            if found[k][3]:  # inside a content container only its own blocks count
-                left = left if left >= 0 and found[left][3] else -1
-                right = right if right is not None and found[right][3] else None
-            if left < 0 and right is None:
-                final[k] = 1 if found[k][3] else -1
-            elif left < 0:
-                final[k] = labels[right]
-            elif right is None:
-                final[k] = labels[left]
-            elif found[k][4] or right - k < k - left:  # a heading goes with what follows it
-                final[k] = labels[right]
-            else:  # as near to both: it continues what stands before it
-                final[k] = labels[left]
-    return "\n".join(b[0] for b, x in zip(found, final, strict=True) if x == 1)
+        if labels[k]:
+            continue
+        left, right = before[k], after
+        if found[k].main:
+            left = left if left >= 0 and found[left].main else -1
+            right = right if right >= 0 and found[right].main else -1
+        if left < 0 and right < 0:
+            final[k] = 1 if main and found[k].main else -1
+        elif left < 0 or right >= 0 and (found[k].heading or right - k < k - left):  # a heading goes with what follows it
+            final[k] = labels[right]
+        else:  # as near to both: it continues what stands before it
+            final[k] = labels[left]
+    return final
+
+
+def _longest_run(found: list[Block], usable: list[bool]) -> list[int]:
+    """1 for the run of usable blocks with the most characters, the first of equal ones; else -1."""
+    best, run, chars, most = range(0), 0, 0, 0
+    for k, ok in enumerate([*usable, False]):
+        if ok:
+            chars += len(found[k].text)
+        else:
+            if chars > most:
+                best, most = range(run, k), chars
+            run, chars = k + 1, 0
+    return [1 if k in best else -1 for k in range(len(found))]
+
+
+def choose(found: list[Block], rules: Rules) -> list[int]:
+    """1 for each block of the article, -1 for each other. What stands in boilerplate containers is no neighbour either."""
+    own = [k for k, b in enumerate(found) if not (b.skipped or b.named)]
+    out = [-1] * len(found)
+    for k, x in zip(own, _choose([found[k] for k in own], rules), strict=True):
+        out[k] = x
+    if 1 not in out:  # nothing but blocks in containers with boilerplate names
+        out = _longest_run(found, [not (b.skipped or rules.linked(b)) and len(b.text) >= rules.length_low for b in found])
+    return out
+
+
+def _choose(found: list[Block], rules: Rules) -> list[int]:
+    live = [b for b in found if not rules.linked(b)]
+    known = stop_density(" ".join(b.text for b in live)) >= rules.known
+    plain = [rules.label(b, False, known) for b in found]
+    inside = sum(len(b.text) for b in live if b.main)
+    outside = sum(len(b.text) for b, x in zip(found, plain, strict=True) if x == 1 and not b.main)
+    if inside and inside >= outside:  # a container with most of the good text is trusted, and what lies outside it is boilerplate
+        labels = [rules.label(b, True, known) if b.main else -1 for b in found]
+        if 1 not in labels:
+            labels = [1 if x == 0 else x for x in labels]
+        return _spread(found, labels, True)
+    if 1 not in plain:  # open blocks of some length stand for good ones
+        plain = [1 if x == 0 and len(b.text) >= rules.length_low else x for b, x in zip(found, plain, strict=True)]
+    return _spread(found, plain, False) if 1 in plain else _longest_run(found, [not b.links for b in found])
+
+
+def main_text(page: str | None, rules: Rules | None = None) -> str:
+    """The article of one page: its good blocks joined by newlines; empty for a null or empty page or one of menus alone.
+
+    A page in which no block is good or open gives its longest run of blocks without links.
+    """
+    if not page:
+        return ""
+    found = blocks(page)
+    return "\n".join(b.text for b, x in zip(found, choose(found, rules or Rules()), strict=True) if x == 1)
 
 
 def extract_main_text(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page, extracted from its whole html.
 
-    Null, empty or markup-free html gives what its bare text gives (null: an empty text). page_id and url are carried as they
+    Null or empty html gives an empty text, html without markup its words. Tags that never end, and raw elements without an end
+    tag, take the rest of the page with them, as in browsers. page_id and url are carried as they
     are, nulls and repeated rows included; other columns of the input, whatever their names, are left out. Work is one pass
     over each row, so there is nothing to shuffle or to skew but a page's own length.
     """

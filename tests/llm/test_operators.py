@@ -39,7 +39,7 @@ ARTICLE = "It is the story of a river that runs to the sea and of the people who
 
 
 @pytest.mark.parametrize(("page", "want"), [
-    (None, ""), ("", ""), ("plain words", ""), ("<p>", ""),
+    (None, ""), ("", ""), ("plain words", "plain words"), ("<p>", ""), ("<nav>a</nav><ul><li><a href=x>b</a></ul>", ""),
     (f"<body><nav><a href=x>The</a> menu</nav><article><h1>A &amp; B</h1><p>{ARTICLE}<br>x&nbsp;y</p><p>Short.</p></article><footer>&copy; the site</footer>", f"A & B\n{ARTICLE} x y\nShort."),
     (f"<div class='sidebar'>{ARTICLE}</div><div id=content><p>{ARTICLE}</p><form>{ARTICLE}</form><script>var x='<p>';</script></div><div class='comments'><p>{ARTICLE}</p></div>", ARTICLE),
     (f"<html><body><h2>Head of it</h2><p>{ARTICLE} {ARTICLE}</p><p>Yes.</p><ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul></body>", f"Head of it\n{ARTICLE} {ARTICLE}\nYes."),
