@@ -1,38 +1,52 @@
 """Approximate nearest neighbours with a permutation index.
 
-Every vector is represented by the order of its nearest pivots. A shard keeps one inverted file a pivot: who has it among its
-first pivots, and in which place. A query walks the files of its own first pivots and adds up how far the places agree, which
-ranks the shard by the footrule distance of the orders; the best share of the shard is then ranked by true distance.
+Every vector is represented by the order of its nearest pivots and posted in the inverted files of the first `post` of them. A
+query goes to the files of its own first `probe` pivots; there the footrule distance of the orders ranks what is posted, and what
+ranks as well as the best `share` of a sample of all vectors (and the best k + 1 of a file in any case) is ranked by true distance.
 
-Pivots come from a bounded sample; every vector is indexed.
+Pivots come from a bounded sample; every vector is indexed. There are as many pivots as keep a file at about FILE vectors, so a
+query meets a bounded number of vectors and the work grows with the table.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship, staged
 
-#: Vectors from which pivots are drawn, at most.
-PIVOT_SAMPLE = 4096
+#: Vectors that pivots are drawn from at least and at most; of these, the ones whose orders tell what share a footrule distance is.
+LEAST_SAMPLE, MOST_SAMPLE, GAUGE = 4096, 16_384, 2048
+#: Lengths of vectors that have pivots, the commonest first; the vectors of any other length are one file, compared in pieces.
+LENGTHS = 16
 
 
 class Index(NamedTuple):
-    """pivots: how many; prefix: how many of a vector's nearest pivots are posted; share, least: how much of a shard, and how
-    many vectors at least, are ranked by true distance; shard, block: vectors of a shard and queries of a block, about."""
+    """pivots: how many at least; prefix: how many of a vector's nearest pivots its order holds; post, probe: in how many files a
+    vector is posted, and how many a query visits; share: how much of all vectors is to be ranked by true distance, about; file:
+    vectors of a file, about (a larger one is cut into pieces, each of which its queries visit)."""
 
     pivots: int = 256
     prefix: int = 64
-    share: float = 0.3
-    least: int = 1000
-    shard: int = 16_384
-    block: int = 2048
+    post: int = 2
+    probe: int = 96
+    share: float = 0.08
+    file: int = 16_384
+
+
+class Pivots(NamedTuple):
+    """Of one length of vectors: the pivots, and the orders of some sampled vectors."""
+
+    at: np.ndarray
+    gauge: np.ndarray
 
 
 def usable(vector: Column) -> Column:
@@ -41,94 +55,117 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.exists(vector, odd) & F.exists(vector, lambda x: x != 0)
 
 
-def prefixes(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """The nearest pivots of each vector, nearest first, ties to the first pivot."""
+def orders(x: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest pivots of each vector, nearest first, ties to the first pivot."""
     near = (pivots * pivots).sum(1)[None] - 2 * (x @ pivots.T)
-    return np.argsort(near, axis=1, kind="stable")[:, :prefix].astype(np.int32)
-
-
-class Shard:
-    """The inverted files of some vectors, in rising order of vec_id."""
+    return np.argsort(near, axis=1, kind="stable")[:, :n].astype(np.int32)
 
-    def __init__(self, orders: np.ndarray, pivots: int):
-        n, self.prefix = orders.shape
-        flat = orders.ravel()
-        by = np.argsort(flat, kind="stable")
-        self.starts = np.searchsorted(flat[by], np.arange(pivots + 1))
-        self.rows, self.places = (by // self.prefix).astype(np.int64), (by % self.prefix).astype(np.int32)
-        self.n = n
 
-    def nearest_orders(self, order: np.ndarray, most: int) -> np.ndarray:
-        """The `most` rows of least footrule distance to an order, ties to the first rows.
+def shared(order: np.ndarray, posted: np.ndarray, pivots: int) -> np.ndarray:
+    """How near the posted orders are to one: a pivot that both have counts prefix - the later of its two places.
 
-        With a pivot that is missing from an order put in the place after its last, the distance is a constant less twice
-        (prefix - the later of the two places) for each shared pivot.
-        """
-        shared = np.zeros(self.n, np.int64)
-        for place, pivot in enumerate(order.tolist()):
-            s = slice(self.starts[pivot], self.starts[pivot + 1])
-            shared[self.rows[s]] += self.prefix - np.maximum(self.places[s], place)
-        if most >= self.n:
-            return np.arange(self.n)
-        key = shared * self.n + np.arange(self.n - 1, -1, -1)
-        return np.argpartition(-key, most - 1)[:most]
+    With a pivot that an order lacks put in the place after its last, the footrule distance is a constant less twice this.
+    """
+    prefix = len(order)
+    place = np.full(pivots, prefix, np.int32)
+    place[order] = np.arange(prefix)
+    return (prefix - np.maximum(place[posted], np.arange(prefix)[None])).sum(1)
 
 
-def draw_pivots(vectors: DataFrame, n: int) -> np.ndarray:
-    """n vectors of different values, the first by a hash of vec_id and value; fewer if there are fewer."""
-    order = F.xxhash64("vec_id", "vector")
-    rows = vectors.orderBy(order, "vec_id").limit(PIVOT_SAMPLE).select("vector").collect()
-    found = list(dict.fromkeys(tuple(r["vector"]) for r in rows))[:n]
-    return np.array(found, np.float64).reshape(len(found), -1)
+def draw(vectors: DataFrame, n: int, count: int, index: Index) -> Pivots:
+    """Pivots of the vectors of length n: the first, by a hash of the value, of a bounded sample."""
+    most = min(MOST_SAMPLE, max(index.pivots, math.ceil(count * index.post / index.file)))
+    rows = vectors.where(F.col("n") == n).orderBy("v1", "v2").limit(max(LEAST_SAMPLE, most)).select("vector").collect()
+    found = np.array([r["vector"] for r in rows], np.float64)  # distinct, and v1 is a hash
+    at = found[:most]
+    return Pivots(at, orders(found[:GAUGE], at, min(index.prefix, len(at))))
 
 
 def search(embeddings: DataFrame, k: int = 10, every: int = 100, index: Index | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found of every query, nearest first, ties to the smaller vec_id.
 
-    Queries are the rows whose vec_id is divisible by `every`; candidates are all rows with another vec_id. score is the
-    Euclidean distance in double precision between the vectors as given. Rows with a null vec_id, and vectors that are null,
-    zero, or hold null or non-finite components take no part; nor do those of another length than the most common one (ties:
-    the shorter). Of repeated rows of one vec_id the one of the least vector stands for all. Other columns are left out.
+    Queries are the rows whose vec_id is divisible by `every`; candidates are all other rows with vectors of the same length.
+    score is the Euclidean distance in double precision between the vectors as given. Rows with a null vec_id, and vectors that
+    are null, zero, or hold null or non-finite components take no part. Rows equal in vec_id and vector are one row; a vec_id with
+    several vectors is that many rows, and as many queries under one query_id. Other columns are left out.
 
-    Shards and query blocks are dealt by hash with counts that follow the table, so each task holds one shard and one block;
-    of each such pair only the k best rows are passed on.
+    Equal vectors are indexed once, with the k + 1 smallest of their vec_ids (no query can need more), and asked once. Vectors are
+    shuffled once for each file they are posted in, queries once for each file they visit.
     """
     index = index or Index()
     spark = embeddings.sparkSession
-    own = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    own = own.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    sizes = own.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    ship(spark)
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if not sizes:
+    kind = embeddings.schema["embedding"].dataType.elementType
+    vector = F.col("embedding") if isinstance(kind, T.FloatType) else F.col("embedding").cast("array<double>")
+    own = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), vector.alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    own = own.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast(kind if isinstance(kind, T.FloatType) else "double")))  # -0.0 is 0.0
+    keyed = own.select("vec_id", F.xxhash64("vector").alias("v1"), F.xxhash64(F.lit(1), "vector").alias("v2"), "vector")
+    ids = staged(keyed.select("v1", "v2", "vec_id").distinct(), "vector-ids")
+    order = F.row_number().over(Window.partitionBy("v1", "v2").orderBy("vec_id"))
+    first = ids.withColumn("r", order).where(F.col("r") <= k + 1).groupBy("v1", "v2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    vectors = keyed.groupBy("v1", "v2").agg(F.first("vector").alias("vector"))
+    vectors = staged(vectors.join(first, ["v1", "v2"]).select("v1", "v2", F.size("vector").alias("n"), "vector", "ids"), "vectors")
+    counts = {r["n"]: r["count"] for r in vectors.groupBy("n").count().orderBy(F.desc("count"), "n").limit(LENGTHS).collect()}
+    if not counts:
         return spark.createDataFrame([], schema)
-    own = staged(own.where(F.size("vector") == sizes[0]["n"]).groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
-    total = sizes[0]["count"]
-    asks = F.col("vec_id") % every == 0
-    pivots = spark.sparkContext.broadcast(draw_pivots(own, index.pivots))  # index.pivots vectors at most
-    shards = max(1, math.ceil(total / index.shard))
-    blocks = max(1, math.ceil(own.where(asks).count() / index.block))
-    wide = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    dealt = own.select((F.pmod(F.xxhash64("vec_id"), F.lit(shards))).cast("int").alias("shard"), F.explode(wide(blocks)).alias("block"), "vec_id", "vector")
-    asked = own.where(asks).select(F.explode(wide(shards)).alias("shard"), (F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))).cast("int").alias("block"), "vec_id", "vector")
-
-    def answer(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        if len(queries) and len(rows):
-            rows = rows.sort_values("vec_id")
-            ids, x = rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_numpy())
-            asked = np.stack(queries["vector"].to_numpy())
-            prefix = min(index.prefix, len(pivots.value))
-            shard = Shard(prefixes(x, pivots.value, prefix), len(pivots.value))
-            most = max(index.least, math.ceil(index.share * len(ids)), k + 1)
-            for query, vector, order in zip(queries["vec_id"].to_numpy(), asked, prefixes(asked, pivots.value, prefix), strict=True):
-                near = np.sort(shard.nearest_orders(order, most))
-                near = near[ids[near] != query]
+    pivots = spark.sparkContext.broadcast({n: draw(vectors, n, c, index) for n, c in counts.items()})
+    asks = ids.where(F.col("vec_id") % every == 0)
+
+    def post(batches: Iterator[pa.RecordBatch], queries: bool) -> Iterator[pa.RecordBatch]:
+        """A row for each file: (n, pivot, v1, v2, vector, and ids or cut)."""
+        for batch in batches:
+            length = batch.column(2).to_numpy()
+            for n in np.unique(length).tolist():
+                rows = batch.filter(pa.array(length == n))
+                p = pivots.value.get(n)
+                flat = rows.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                found = orders(flat.reshape(rows.num_rows, n), p.at, min(index.prefix, len(p.at))) if p else np.zeros((rows.num_rows, 1), np.int32)
+                files = found[:, : index.probe if queries else index.post]
+                again = pa.array(np.repeat(np.arange(rows.num_rows), files.shape[1]))
+                out = rows.take(again)
+                last = out.column(4)
+                if queries:
+                    best = [np.sort(shared(o, p.gauge, len(p.at)))[-max(1, math.ceil(index.share * len(p.gauge)))] for o in found] if p else [0] * rows.num_rows
+                    last = pa.array(best, pa.int64()).take(again)
+                yield pa.RecordBatch.from_arrays([out.column(2), pa.array(files.ravel()), out.column(0), out.column(1), out.column(3), last], ["n", "pivot", "v1", "v2", "vector", "cut" if queries else "ids"])
+
+    shape = f"n int, pivot int, v1 bigint, v2 bigint, vector {vectors.schema['vector'].dataType.simpleString()}"
+    columns = ["v1", "v2", "n", "vector"]
+    posted = staged(vectors.select(*columns, "ids").mapInArrow(lambda b: post(b, False), shape + ", ids array<bigint>"), "postings")
+    asked = vectors.join(asks.select("v1", "v2").distinct(), ["v1", "v2"]).select(*columns, F.lit(0).alias("cut"))
+    asked = asked.mapInArrow(lambda b: post(b, True), shape + ", cut bigint")
+    pieces = posted.groupBy("n", "pivot").agg(F.ceil(F.count("*") / index.file).cast("int").alias("pieces"))  # a row a file
+    posted = posted.join(pieces, ["n", "pivot"]).withColumn("piece", F.pmod(F.xxhash64("v1"), F.col("pieces")).cast("int")).drop("pieces")
+    asked = asked.join(pieces, ["n", "pivot"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+
+    def answer(queries: pd.DataFrame, file: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, int, int, int, float]] = []
+        if len(queries) and len(file):
+            p = pivots.value.get(int(file["n"].iloc[0]))
+            x = np.stack(file["vector"].to_numpy()).astype(np.float64)
+            v1, v2, owners = file["v1"].to_numpy(), file["v2"].to_numpy(), file["ids"].to_numpy()
+            prefix = min(index.prefix, len(p.at)) if p else 0
+            held = orders(x, p.at, prefix) if p else None
+            y = np.stack(queries["vector"].to_numpy()).astype(np.float64)
+            theirs = orders(y, p.at, prefix) if p else [None] * len(y)
+            for q1, q2, cut, vector, order in zip(queries["v1"], queries["v2"], queries["cut"], y, theirs, strict=True):
+                near = np.arange(len(x))
+                if p and len(x) > k + 1:
+                    found = shared(order, held, len(p.at))
+                    least = min(int(cut), int(np.partition(found, -k - 1)[-k - 1]))
+                    near = np.flatnonzero(found >= least)
                 score = np.sqrt(((x[near] - vector) ** 2).sum(1))
-                best = np.argsort(score, kind="stable")[:k]
-                out += [(int(query), int(ids[near[b]]), float(score[b])) for b in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    ship(spark)
-    found = asked.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(answer, "query_id bigint, vec_id bigint, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))  # of k rows a shard
+                close = np.flatnonzero(score <= np.partition(score, k)[k]) if len(score) > k + 1 else np.arange(len(score))
+                best = sorted((float(score[c]), int(i), int(near[c])) for c in close for i in owners[near[c]])[: k + 1]
+                out += [(q1, q2, i, int(v1[c]), int(v2[c]), s) for s, i, c in best]
+        return pd.DataFrame(out, columns=["q1", "q2", "vec_id", "v1", "v2", "score"])
+
+    keys = ("n", "pivot", "piece")
+    found = asked.groupBy(*keys).cogroup(posted.groupBy(*keys)).applyInPandas(answer, "q1 bigint, q2 bigint, vec_id bigint, v1 bigint, v2 bigint, score double").distinct()
+    best = F.row_number().over(Window.partitionBy("q1", "q2").orderBy("score", "vec_id"))
+    found = found.withColumn("r", best).where(F.col("r") <= k + 1)  # one more than asked for: the query itself
+    queries = asks.select(F.col("v1").alias("q1"), F.col("v2").alias("q2"), F.col("vec_id").alias("query_id"))
+    found = found.join(queries, ["q1", "q2"]).where(~((F.col("vec_id") == F.col("query_id")) & (F.col("v1") == F.col("q1")) & (F.col("v2") == F.col("q2"))))
+    place = F.row_number().over(Window.partitionBy("query_id", "q1", "q2").orderBy("score", "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

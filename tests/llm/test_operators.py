@@ -116,17 +116,18 @@ def test_tokens(spark):
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
-def test_ann_recall(spark):
+@pytest.mark.parametrize("index", [ann.Index(), ann.Index(file=300)])
+def test_ann_recall(spark, index):
+    """Many files under the default settings, and files cut into pieces."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(3000, 32)).astype(np.float32)
-    x[100:400] = x[100]  # a common vector
-    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS).withColumn("shard", F.lit(1))
-    index = ann.Index(pivots=128, shard=700, block=10, least=100)
+    x = rng.normal(size=(6000, 32)).astype(np.float32)
+    x[100:1400] = x[100]  # a common vector
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS).withColumn("n", F.lit(1))
     found = {}
     for r in ann.search(df, k=10, every=100, index=index).collect():
         found.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     d64, hit = x.astype(np.float64), 0
-    assert sorted(found) == list(range(0, 3000, 100))
+    assert sorted(found) == list(range(0, 6000, 100))
     for q, ranks in found.items():
         dist = np.sqrt(((d64 - d64[q]) ** 2).sum(1))
         dist[q] = np.inf
@@ -135,15 +136,17 @@ def test_ann_recall(spark):
         assert all(abs(dist[v] - s) < 1e-12 for v, s in ranks.values())
         assert [(s, v) for v, s in (ranks[k] for k in range(1, 11))] == sorted((s, v) for v, s in ranks.values())
         hit += len({v for v, _ in ranks.values()} & set(best.tolist()))
-    assert hit >= 0.9 * 300
+    assert hit >= 0.9 * 600
     assert [found[100][k][0] for k in range(1, 11)] == list(range(101, 111))  # ties to the smaller id
+    assert [found[200][k][0] for k in range(1, 11)] == list(range(100, 110))
 
 
 def test_ann_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (100, [1.0, 0.5]), (1, [0.0, 1.0])]
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (100, [1.0, 0.5]), (1, [0.0, 1.0]), (200, [1.0, 2.0, 4.0]), (100, [0.0, 9.0])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
-    assert got(ann.search(df), "query_id", "rank", "vec_id") == sorted([(0, 1, 100), (0, 2, 1), (100, 1, 0), (100, 2, 1)], key=str)
+    want = [(0, 1, 100), (0, 2, 1), (0, 3, 100), (100, 1, 0), (100, 2, 1), (100, 3, 100), (100, 1, 1), (100, 2, 100), (100, 3, 0), (200, 1, 8)]
+    assert got(ann.search(df), "query_id", "rank", "vec_id") == sorted(want, key=str)
     assert ann.search(df.limit(0)).count() == 0
     assert ann.search(df.where("vec_id = 0")).count() == 0
 
