@@ -1,17 +1,20 @@
 """Secret scans: patterns of known secrets, and dictionary-primed novelty of unknown ones.
 
 The patterns find assignments to password-like names, access keys and long hexadecimal runs. The novelty scan takes every
-other long run of key characters that stands near a sensitive word, and measures what it adds to the compressed size of the
-text around it, with a zstandard dictionary of ordinary identifiers: words, paths and names that the surroundings or the
-dictionary know add little, random keys add nearly all their bytes. Those at or over `novelty` bytes a character are reported.
+other run of key characters that stands near a sensitive word, and measures what it adds to the compressed size of the text
+around it, with a zstandard dictionary trained on code: words, paths and names that the surroundings or the dictionary know, or
+whose letters are as common as theirs, add little, random keys add nearly all their bytes. Those over a line in their length,
+fitted on ordinary compounds and random keys, are reported; no length or kind of character is asked for beside that.
 """
 
 from __future__ import annotations
 
-import builtins
 import hashlib
-import keyword
 import re
+import sysconfig
+from bisect import bisect_left
+from collections import Counter
+from pathlib import Path
 from typing import NamedTuple
 
 import pandas as pd
@@ -27,23 +30,36 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
-SENSITIVE = re.compile(r"secret|token|passw|pwd|passphrase|credential|private|auth|bearer|signature|api|key|salt|cookie|session", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SENSITIVE = re.compile(r"(?<![A-Za-z])(?i:secret|token|password|passwd|passw|pwd|passphrase|credential|private|auth|authorization|bearer|signature|api|apikey|key|salt|cookie|session)s?(?![a-z])", re.A)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: Bytes of the dictionary; of a sample of code, and from one sample to the next; words that go into samples too, and times they occur at least.
+DICTIONARY, SNIPPET, STEP, WORDS, TIMES = 65_536, 256, 1024, 20, 8
 
 
 class Novelty(NamedTuple):
-    """Parameters of the novelty scan: characters of context before and after, and compressed bytes a character from which a candidate counts."""
+    """Parameters of the novelty scan: characters of context before and after, and the line over which the bytes count that n
+    characters add: base + slope n + short / n (few characters may add more than they are, by rounding)."""
 
     before: int = 96
     after: int = 32
-    bytes_per_char: float = 0.6
+    base: float = 0.2
+    slope: float = 0.78
+    short: float = 6.0
+
+    def line(self, n: int) -> float:
+        return self.base + self.slope * n + self.short / n
 
 
 def identifier_dictionary() -> bytes:
-    """Ordinary identifiers: the keywords and built-in names of the language this runs in, in the usual spellings, and the sensitive words themselves."""
-    names = sorted({*keyword.kwlist, *(x for x in dir(builtins) if not x.startswith("_")), *SENSITIVE.pattern.split("|")})
-    spelt = [f(x) for x in names for f in (str, str.upper, lambda x: f"get_{x.lower()}", lambda x: f"self.{x.lower()}_id = ")]
-    return " ".join(spelt).encode()
+    """A dictionary of ordinary code, trained on the sources of this Python's standard library and the identifiers common in them."""
+    samples, counts = [], Counter()
+    for path in sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py")):
+        source = path.read_text(errors="ignore")
+        counts.update(re.findall(r"[A-Za-z]{4,}", source))
+        samples += [source[at : at + SNIPPET].encode() for at in range(0, len(source), STEP)]
+    words = [w for w, n in sorted(counts.items(), key=lambda x: (x[1], x[0])) if n >= TIMES]
+    samples += [" ".join(words[at : at + WORDS]).encode() for at in range(0, len(words), WORDS)]
+    return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -55,27 +71,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Scanner:
-    def __init__(self, novelty: Novelty):
+    """One to a worker process and kind of novelty: see scanner()."""
+
+    def __init__(self, novelty: Novelty, dictionary: bytes):
         self.novelty = novelty
-        data = zstandard.ZstdCompressionDict(identifier_dictionary(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compressor = zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def added(self, text: str, start: int, end: int) -> float:
-        """Compressed bytes a character that the candidate adds to its surroundings."""
+    def added(self, text: str, start: int, end: int) -> int:
+        """Compressed bytes that the candidate adds to its surroundings."""
         left, right = text[max(0, start - self.novelty.before) : start], text[end : end + self.novelty.after]
         around, whole = (left + right).encode(), (left + right + text[start:end]).encode()
-        return (len(self.compressor.compress(whole)) - len(self.compressor.compress(around))) / (end - start)
+        return len(self.compressor.compress(whole)) - len(self.compressor.compress(around))
 
     def novel_spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        marks = [m.end() for m in SENSITIVE.finditer(text)]
+        if not marks:
+            return []
+        starts, reach, far = [x[0] for x in base], [], 0
+        for _, _, end in base:  # the farthest end so far
+            far = max(far, end)
+            reach.append(far)
         out = []
         for m in CANDIDATE.finditer(text):
             start, end = m.span()
-            piece = m[0]
-            if not any(c.isdigit() for c in piece) or not any(c.isalpha() for c in piece):
+            near = bisect_left(marks, start + 1) - 1  # the last sensitive word that ends before it
+            if near < 0 or start - marks[near] > self.novelty.before:
                 continue
-            if any(s < end and start < e for s, _, e in base):
+            k = bisect_left(starts, end) - 1  # base spans up to this one start before its end
+            if k >= 0 and reach[k] > start:
                 continue
-            if SENSITIVE.search(text[max(0, start - self.novelty.before) : start]) and self.added(text, start, end) >= self.novelty.bytes_per_char:
+            if self.added(text, start, end) > self.novelty.line(end - start):
                 out.append((start, 3, end))
         return out
 
@@ -85,6 +110,16 @@ class Scanner:
         return base, sorted([*base, *self.novel_spans(text, base)])
 
 
+_worker: dict = {}
+
+
+def scanner(novelty: Novelty, dictionary: bytes) -> Scanner:
+    """The worker's scanner, made once."""
+    if (novelty, dictionary) not in _worker:
+        _worker[novelty, dictionary] = Scanner(novelty, dictionary)
+    return _worker[novelty, dictionary]
+
+
 def spelt(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
@@ -94,13 +129,14 @@ def scan_secrets(docs: DataFrame, novelty: Novelty | None = None) -> DataFrame:
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind, joined by commas; base_sha256 is the hash of
     the base scan's. A null or empty text has none (an empty string, and its hash). doc_id is carried as it is (nulls, repeated
-    rows); other columns are left out. One pass over each row; nothing is shuffled or broadcast.
+    rows); other columns are left out. One pass over each row, linear in its
+    length; nothing is shuffled, and what goes to the workers is the dictionary of 64 KB.
     """
-    novelty = novelty or Novelty()
+    novelty, dictionary = novelty or Novelty(), identifier_dictionary()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scanner = Scanner(novelty)
-        rows = [scanner.scan(x.as_py() or "") for x in batch.column(1)]
+        own = scanner(novelty, dictionary)
+        rows = [own.scan(x.as_py() or "") for x in batch.column(1)]
         count = lambda k: pa.array([sum(s[1] == k for s in every) for _, every in rows], pa.int64())
         digests = [hashlib.sha256(spelt(base).encode()).hexdigest() for base, _ in rows]
         return pa.RecordBatch.from_arrays(
@@ -129,13 +165,13 @@ def redact_secrets(docs: DataFrame, novelty: Novelty | None = None) -> DataFrame
 
     Null texts and texts without secrets stay as they are.
     """
-    novelty = novelty or Novelty()
+    novelty, dictionary = novelty or Novelty(), identifier_dictionary()
     ship(docs.sparkSession)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        scanner = Scanner(novelty)
-        return pd.Series([redact(x, spelt(scanner.scan(x or "")[1])) for x in texts], dtype="object")
+        own = scanner(novelty, dictionary)
+        return pd.Series([redact(x, spelt(own.scan(x or "")[1])) for x in texts], dtype="object")
 
     (name,) = fresh(docs, "redacted_text")
     out = docs.withColumn(name, clean(F.col("text").cast("string")))

@@ -369,11 +369,39 @@ def test_secrets(spark):
     assert (none.spans, none.base_sha256) == ("", hashlib.sha256(b"").hexdigest())
 
 
+def test_novelty_rates():
+    """Of random keys and ordinary compounds near a sensitive word: misses and false alarms, and novel spans against a plain loop."""
+    rng = random.Random(5)
+    scanner = secrets.Scanner(secrets.Novelty(), secrets.identifier_dictionary())
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    names = "river house window booking customer annual report summary getting started reference conference results final north bridge".split()
+    keys = ["".join(rng.choice(letters) for _ in range(rng.choice((24, 32, 48)))) for _ in range(200)]
+    plain = ["-".join(rng.choice([*names, "2023", "v2"]) for _ in range(rng.randrange(1, 8))) for _ in range(200)]
+    found = lambda x: bool(scanner.scan(f"so the private key of it is {x} for now")[1])
+    assert sum(map(found, keys)) >= 190 and sum(map(found, plain)) <= 4
+    for _ in range(40):
+        text = " ".join(rng.choice([*names, *keys[:20], "token = abcdef0123", "0123456789abcdef0123456789", "api key", "secret:"]) for _ in range(60))
+        base, every = scanner.scan(text)
+        want = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+            near = any(0 <= m.start() - w.end() <= 96 for w in secrets.SENSITIVE.finditer(text))
+            if near and not any(s < m.end() and m.start() < e for s, _, e in base) and scanner.added(text, *m.span()) > scanner.novelty.line(len(m[0])):
+                want.append((m.start(), 3, m.end()))
+        assert [x for x in every if x[1] == 3] == want
+
+
 def test_novel_secrets(spark):
     key = "Zk8QwP3vLx9RtY2mNc7B"
     texts = [f"private key is {key}", f"the river {key} runs", f"private key: {'abcz1' * 8}", "auth header: Bearer get_attribute_error_1"]
     spans = [r.spans for r in secrets.scan_secrets(docs(spark, *enumerate(texts)).coalesce(1)).orderBy("doc_id").collect()]
     assert spans == [f"novel:15:{15 + len(key)}", "", "", ""]
+    scan = secrets.Scanner(secrets.Novelty(), secrets.identifier_dictionary()).scan
+    context = "the monkeys in the capital hold a private key: {} and so on for the team"
+    for found in ("Zk9xQ2mP7vRt", "kJhTqWmNbVcXzLpRfDgYsA", "aGVsbG8gd29ybGQgdGhpcw=="):
+        assert scan(context.format(found))[1] == [(47, 3, 47 + len(found))]
+    for ordinary in ("quarterly_results_2023_final", "com/blog/2024/05/annual-report-summary", "/docs/reference/v2/getting-started", "conference-room-12-booking", "internationalisation", "COVID-19-vaccination"):
+        assert scan(context.format(ordinary))[1] == []
+    assert scan("the author of the capital, rapid monkeys: Zk9xQ2mP7vRtAA")[1] == []
     cleaned = secrets.redact_secrets(docs(spark, (1, texts[0]), (2, "token = abcdef0123456789abcdef01 x"), (3, None), (4, "plain"), extra=True))
     assert {r.doc_id: (r.text, r.n_chars) for r in cleaned.collect()} == {1: ("private key is [novel]", 22), 2: ("[assign] x", 10), 3: (None, None), 4: ("plain", 5)}
 
