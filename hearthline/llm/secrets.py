@@ -42,7 +42,7 @@ class Novelty(NamedTuple):
 
     before: int = 96
     after: int = 32
-    base: float = 0.2
+    base: float = 0.0
     slope: float = 0.78
     short: float = 6.0
 
