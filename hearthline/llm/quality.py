@@ -1,8 +1,7 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad labelled text.
 
 A text is compressed in chunks with each dictionary. The difference of the two sizes over the text's length says which class it
-resembles; a logistic calibration of that difference, with the plain compression ratio beside it (the size that the difference
-is judged against: repetitive text is small under any dictionary), turns it into a probability of the good label.
+resembles; a logistic calibration of that difference alone turns it into a probability of the good label.
 
 Learning takes a bounded sample: at most `sample` labelled rows of each label, the first by a hash of doc_id, of which one half
 gives the dictionaries and the other the calibration. Scoring covers every whole text.
@@ -28,13 +27,12 @@ SEED = 7
 
 
 class Model(NamedTuple):
-    """A fitted classifier: a few hundred kilobytes, whatever the corpus."""
+    """A fitted classifier: two dictionaries, whatever the corpus. The log-odds of label 1 are intercept + slope x difference."""
 
     good: bytes
     bad: bytes
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]  # intercept first
+    intercept: float
+    slope: float
     prior: float
 
 
@@ -48,21 +46,16 @@ def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
 
 
-class Features:
-    """(size with the bad dictionary - size with the good one) / bytes, and the plain size / bytes."""
+class Difference:
+    """(size with the bad dictionary - size with the good one) / bytes, over all chunks of a text."""
 
     def __init__(self, good: bytes, bad: bytes):
         options = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.good, self.bad = (zstandard.ZstdCompressor(dict_data=_dictionary(x), **options) if x else zstandard.ZstdCompressor(**options) for x in (good, bad))
-        self.plain = zstandard.ZstdCompressor(**options)
 
-    def of(self, text: bytes) -> tuple[float, float]:
-        difference = plain = 0
-        for at in range(0, len(text), CHUNK):
-            chunk = text[at : at + CHUNK]
-            difference += len(self.bad.compress(chunk)) - len(self.good.compress(chunk))
-            plain += len(self.plain.compress(chunk)) - 4
-        return difference / len(text), plain / len(text)
+    def of(self, text: bytes) -> float:
+        chunks = [text[at : at + CHUNK] for at in range(0, len(text), CHUNK)]
+        return sum(len(self.bad.compress(c)) - len(self.good.compress(c)) for c in chunks) / len(text)
 
 
 def fit_dictionary(pieces: list[bytes]) -> bytes:
@@ -73,15 +66,14 @@ def fit_dictionary(pieces: list[bytes]) -> bytes:
         return b"".join(pieces)[:DICTIONARY]
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, scale and weights of a logistic regression, by Newton's method."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    a = np.c_[np.ones(len(x)), (x - mean) / scale]
-    w = np.zeros(a.shape[1])
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Intercept and slope of a logistic regression, by Newton's method on the standardised feature."""
+    mean, scale = x.mean(), x.std() + 1e-9
+    a, w = np.c_[np.ones(len(x)), (x - mean) / scale], np.zeros(2)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w += np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
-    return mean, scale, w
+        w += np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge * np.eye(2), a.T @ (y - p) - ridge * w)
+    return float(w[0] - w[1] * mean / scale), float(w[1] / scale)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -98,7 +90,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for label in (0, 1):
         part = usable.where(F.col("quality") == label).orderBy(order, "doc_id").limit(sample).select("doc_id", "quality", (order.bitwiseAND(F.lit(1)) == 0).alias("teaches"))
         picked = part if picked is None else picked.unionByName(part)
-    rows = staged(id_and_text(docs).where("text is not null and text <> ''").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality", "teaches"), "quality-sample")
+    found = id_and_text(docs).where("text is not null and text <> ''").join(F.broadcast(picked), "doc_id")
+    found = found.groupBy("doc_id", "quality", "teaches").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text of each id, whatever repeats
+    rows = staged(found.select("doc_id", "text", "quality", "teaches"), "quality-sample")
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple[int, int, bytes]] = []
@@ -112,32 +106,40 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     found.sort(key=lambda r: (r["doc_id"], r["piece"]))
     good, bad = (fit_dictionary([bytes(r["piece"]) for r in found if r["quality"] == label]) for label in (1, 0))
 
-    def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        f = Features(good, bad)
-        values = [f.of(x.as_py().encode()) for x in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([v[k] for v in values], pa.float64()) for k in range(2))], ["doc_id", "quality", "a", "b"])
+    def differences(batch: pa.RecordBatch) -> pa.RecordBatch:
+        d = Difference(good, bad)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([d.of(x.as_py().encode()) for x in batch.column(1)], pa.float64())], ["doc_id", "quality", "difference"])
 
-    seen = sorted(tuple(r) for r in map_arrow(rows.where("not teaches"), features, "doc_id bigint, quality int, a double, b double").collect()) if good and bad else []
+    seen = sorted(tuple(r) for r in map_arrow(rows.where("not teaches"), differences, "doc_id bigint, quality int, difference double").collect()) if good and bad else []  # bounded: 2 x SAMPLE
     y = np.array([r[1] for r in seen], float)
     if 0 < y.sum() < len(y):
-        mean, scale, w = calibrate(np.array([r[2:] for r in seen], float), y)
-        return Model(good, bad, tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist()), prior)
+        return Model(good, bad, *calibrate(np.array([r[2] for r in seen]), y), prior)
     p = min(max(prior, 1e-6), 1 - 1e-6)
-    return Model(good, bad, (0.0, 0.0), (1.0, 1.0), (math.log(p / (1 - p)), 0.0, 0.0), prior)
+    return Model(good, bad, math.log(p / (1 - p)), 0.0, prior)
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.features = model, Features(model.good, model.bad)
+        self.model, self.difference = model, Difference(model.good, model.bad)
 
     def score(self, text: str | None) -> float:
-        m = self.model
         if not text:
-            return m.prior
-        z = m.weights[0] + sum(w * (x - mu) / s for w, x, mu, s in zip(m.weights[1:], self.features.of(text.encode()), m.mean, m.scale, strict=True))
+            return self.model.prior
+        z = self.model.intercept + self.model.slope * self.difference.of(text.encode())
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
 
+_worker: dict = {}
+
+
+def scorer(model: Model) -> Scorer:
+    """The worker's scorer, made once for a model."""
+    if model not in _worker:
+        _worker.clear()
+        _worker[model] = Scorer(model)
+    return _worker[model]
+
+
 def score_column(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
     """docs, all columns, with the score of each whole text as a last column."""
     ship(docs.sparkSession)
@@ -145,8 +147,8 @@ def score_column(docs: DataFrame, model: Model, name: str, text: str = "text") -
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        scorer = Scorer(shared.value)
-        return pd.Series([scorer.score(x) for x in texts], dtype="float64")
+        own = scorer(shared.value)
+        return pd.Series([own.score(x) for x in texts], dtype="float64")
 
     return docs.withColumn(name, score(F.col(text).cast("string")))
 

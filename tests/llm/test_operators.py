@@ -175,6 +175,26 @@ def test_quality(spark):
     assert quality.score_quality(docs(spark, (1, "a")).limit(0), labels.limit(0)).count() == 0
 
 
+def test_scores_are_calibrated_size_differences(spark):
+    """Every score against sizes compressed anew with the model's dictionaries; repeated ids teach once."""
+    import zstandard
+
+    rng = random.Random(14)
+    rows = [(i, prose(rng, rng.randrange(1, 1500)) if i % 2 else " ".join(rng.choice("###$%") + rng.choice(WORDS) for _ in range(300))) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    frame = docs(spark, *rows)
+    model = quality.fit(frame, labels)
+    assert quality.fit(docs(spark, *rows, *[rows[1]] * 50), labels) == model
+    for r in quality.score_quality(frame, labels).collect():
+        text, sizes = dict(rows)[r.doc_id].encode(), []
+        for d in (model.bad, model.good):
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(text[at : at + 2048])) for at in range(0, len(text), 2048)))
+        z = model.intercept + model.slope * (sizes[0] - sizes[1]) / len(text)
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+    assert model.slope > 0
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------------
 
 
