@@ -312,9 +312,30 @@ def test_mix(spark):
     assert len(everything) == 300 and {r.copies for r in everything} == {2}
     small = mixing.mix_sources(docs(spark, (None, None), (1, ""), (1, ""), (2, "a b")))
     assert got(small, "doc_id", "n_tokens") == sorted([(None, 0), (1, 0), (1, 0), (2, 2)], key=str)
+    carried = mixing.mix_sources(df, mix, keep=("score", "key")).collect()
+    assert {(r.score, r.key) for r in carried} == {("x", "x")}
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mix_zero_weights_and_counts(spark):
+    """A weight of 0 leaves a language or a source out, its siblings take its part, and a column of counts is the measure."""
+    rng = random.Random(18)
+    df = docs(spark, *[(i, prose(rng, rng.randrange(1, 40))) for i in range(200)]).withColumn("lang", F.when(F.col("doc_id") % 4 == 0, "de").otherwise("en")).withColumn("tokens", F.lit(7))
+    out = mixing.mix_sources(df, mixing.Mix(budget=400, languages=(("de", 0),), sources=(("src1", 0),)), tokens="tokens").collect()
+    assert {(r.lang, r.source) for r in out} == {("en", "src0"), ("en", "src2")} and 380 <= sum(7 * r.copies for r in out) <= 400
+    assert {r.domain for r in out} == {"src"} and {r.n_tokens for r in out} == {7}
+    assert mixing.mix_sources(df, mixing.Mix(other=0, languages=(("de", 0),))).count() == 0
+
+
+def test_mix_repeated_rows(spark):
+    """Null and repeated ids with different texts are drawn one by one; equal rows together."""
+    rng = random.Random(19)
+    rows = [(None, prose(rng, 10)) for _ in range(100)] + [(5, "a b c")] * 30
+    out = mixing.mix_sources(docs(spark, *rows).withColumn("source", F.lit("s")), mixing.Mix(budget=500)).collect()
+    assert 450 <= sum(r.n_tokens * r.copies for r in out) <= 500
+    assert 20 < sum(r.doc_id is None for r in out) < 80 and sum(r.doc_id == 5 for r in out) in (0, 30)
+
+
 def test_mix_runs_agree(spark, monkeypatch):
     rng = random.Random(9)
     df = docs(spark, *[(i, prose(rng, rng.randrange(1, 40))) for i in range(200)])
