@@ -1,23 +1,26 @@
 """Token counts with a two-tier lookup on the map side.
 
-A text is cut into pre-tokens. Tier one is a compact hash table from pre-tokens to their number of tokens, broadcast once; a
-byte-level vocabulary is ordered by how frequent its entries were, so the pre-tokens among its first entries are the frequent
-ones, and the table's size is bounded by the vocabulary's. What it lacks is encoded by the tokenizer and kept in a cache of
-bounded size in each worker. No pre-token is ever shuffled.
+A text is cut into pre-tokens. Tier one is a compact hash table from frequent pre-tokens to their number of tokens, broadcast
+once; which are frequent is counted in a bounded sample of the texts (it decides speed alone: any table gives the same counts).
+What it lacks is encoded by the tokenizer's model and kept in a cache of bounded size in each worker. No pre-token is ever
+shuffled.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter as Counts
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_arrow
+from .common import id_and_text, map_arrow, ship
 
+#: Texts in which frequent pre-tokens are counted at most, and characters of each.
+SAMPLE, SAMPLE_CHARS = 2000, 20_000
 #: Pre-tokens a worker keeps beside the broadcast table; a full cache is emptied.
 CACHE_ENTRIES = 800_000
 #: Longer pre-tokens aren't cached.
@@ -37,6 +40,34 @@ PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_characters('L')}]+| ?[{_cha
 _worker: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+class Lengths(dict):
+    """Tokens of pre-tokens: tier one is the dict itself; what it lacks comes from the cache or the tokenizer."""
+
+    def __init__(self, frequent: dict[str, int], model):
+        super().__init__(frequent)
+        self.cache, self.model = {}, model
+
+    def __missing__(self, piece: str) -> int:
+        n = self.cache.get(piece)
+        if n is None:
+            n = len(self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS)))
+            if len(piece) <= CACHE_CHARS:
+                if len(self.cache) >= CACHE_ENTRIES:
+                    self.cache.clear()
+                self.cache[piece] = n
+        return n
+
+
 class Counter:
     """Counts tokens of texts; one to a worker process."""
 
@@ -44,65 +75,52 @@ class Counter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.frequent, self.cache = frequent, {}
+        self.cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.lengths = Lengths(frequent, self.tokenizer.model)
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
-    def encoded(self, pieces: list[str]) -> list[int]:
-        return [len(x.ids) for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-
-    def plain(self, text: str) -> int:
-        """Tokens of a text without special strings."""
-        found = PRE_TOKEN.findall(text)
-        first = list(map(self.frequent.get, found))  # tier one
-        n = sum(filter(None, first))
-        rest = [x for x, k in zip(found, first, strict=True) if k is None]
-        if rest:
-            second = list(map(self.cache.get, rest))  # tier two
-            n += sum(filter(None, second))
-            missing = [x for x, k in zip(rest, second, strict=True) if k is None]
-            if missing:
-                n += self.learn(missing)
-        return n
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings."""
+        if PLAIN.fullmatch(text):
+            return PRE_TOKEN.findall(text)
+        return [text[a:b] for _, (a, b) in self.cut(text)] if text else []
 
-    def learn(self, missing: list[str]) -> int:
-        """Tokens of pre-tokens that no tier has; they are kept from now on."""
-        fresh = list(dict.fromkeys(missing))
-        known = dict(zip(fresh, self.encoded(fresh), strict=True))
-        if len(self.cache) + len(known) > CACHE_ENTRIES:
-            self.cache.clear()
-        self.cache.update((x, k) for x, k in known.items() if len(x) <= CACHE_CHARS)
-        return sum(map(known.__getitem__, missing))
+    def parts(self, text: str) -> list[str]:
+        """What stands between special strings."""
+        return self.special.split(text) if self.special else [text]
 
     def count(self, text: str) -> int:
-        if not PLAIN.fullmatch(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        n, at = 0, 0
-        for m in self.special.finditer(text) if self.special else ():
-            n += self.plain(text[at : m.start()]) + 1
-            at = m.end()
-        return n + self.plain(text[at:] if at else text)
+        parts = self.parts(text)
+        return len(parts) - 1 + sum(sum(map(self.lengths.__getitem__, self.pieces(p))) for p in parts)
+
 
+def frequent_lengths(docs: DataFrame, path: str, entries: int) -> dict[str, int]:
+    """The most frequent pre-tokens of a sample of at most SAMPLE texts (column text), with the number of tokens each takes."""
 
-def frequent_lengths(path: str, entries: int) -> dict[str, int]:
-    """The vocabulary's first entries that are whole pre-tokens, with the number of tokens each takes."""
-    from tokenizers import Tokenizer
+    def run(batches):
+        counter, counts = Counter(path, {}), Counts()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for part in counter.parts(text):
+                    counts.update(counter.pieces(part))
+        found = [(x, n) for x, n in counts.most_common(entries) if len(x) <= CACHE_CHARS]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([counter.lengths[x] for x, _ in found], pa.int32())], ["piece", "n"])
 
-    tokenizer = Tokenizer.from_file(path)
-    ids = range(min(entries, tokenizer.get_vocab_size()))
-    texts = [x for x in (tokenizer.decode([i], skip_special_tokens=False) for i in ids) if PLAIN.fullmatch(x) and PRE_TOKEN.fullmatch(x)]
-    return {x: len(y.ids) for x, y in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True) if PRE_TOKEN.findall(x) == [x]}
+    ship(docs.sparkSession)
+    sample = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text is not null").limit(SAMPLE)  # one task
+    return {r["piece"]: r["n"] for r in sample.mapInArrow(run, "piece string, n int").collect()}  # `entries` rows at most
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, frequent: int = 50_257) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, frequent: int = 100_000) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every whole text.
 
     A null text counts as an empty one: no bytes, no tokens. Begin, end and other added tokens don't count; special strings
     inside a text are one token each, the library's default. doc_id is carried as it is (nulls, repeated rows); other columns
     are left out. A text is never cut short, however long. Nothing is shuffled; what is broadcast is bounded by `frequent`.
     """
-    spark = docs.sparkSession
-    lengths = spark.sparkContext.broadcast(frequent_lengths(tokenizer_path, frequent))
+    own = id_and_text(docs)
+    lengths = docs.sparkSession.sparkContext.broadcast(frequent_lengths(own, tokenizer_path, frequent))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counter = _worker.get(tokenizer_path)
@@ -111,4 +129,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, frequen
         counts = [counter.count(x) if x else 0 for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pc.fill_null(pc.binary_length(batch.column(1)).cast(pa.int64()), 0), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return map_arrow(id_and_text(docs), run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return map_arrow(own, run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
