@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import norm, norm_text
+from ..functions.text import norm_text
 from ..functions.urls import absolutize
 from ..workers import ship
 
@@ -28,14 +28,29 @@ def json_ld_blocks(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(_SCRIPT), F.lit(1))
 
 
-def json_ld_nodes(pages: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
-    """key, pos, node (JSON text): the nodes of all JSON-LD scripts, arrays flattened, objects that stand one after another split."""
-    blocks = pages.select(key, F.posexplode(json_ld_blocks(F.col(body))).alias("block", "raw"))
-    items = F.from_json("raw", "array<string>")
-    split = F.transform(F.split("raw", r"\}\s*\{"), lambda p: F.concat(F.when(F.startswith(F.ltrim(p), F.lit("{")), "").otherwise("{"), p, F.when(F.endswith(F.rtrim(p), F.lit("}")), "").otherwise("}")))
+def _listed(raw: Column) -> Column:
+    """The JSON texts in a script: the elements of an array, objects that stand one after another, or the whole."""
+    items = F.from_json(raw, "array<string>")
+    split = F.transform(F.split(raw, r"\}\s*\{"), lambda p: F.concat(F.when(F.startswith(F.ltrim(p), F.lit("{")), "").otherwise("{"), p, F.when(F.endswith(F.rtrim(p), F.lit("}")), "").otherwise("}")))
     several = (F.size(split) > 1) & F.forall(split, lambda p: F.try_parse_json(p).isNotNull())  # valid JSON has no }{ but in texts
-    listed = F.when(F.startswith(F.ltrim("raw"), F.lit("[")), items).when(several, split).otherwise(F.array("raw"))
-    return blocks.withColumn("nodes", listed).select(key, "block", F.posexplode("nodes").alias("at", "node")).where(F.try_parse_json("node").isNotNull()).select(key, F.struct("block", "at").alias("pos"), "node")
+    return F.when(F.startswith(F.ltrim(raw), F.lit("[")), F.coalesce(items, F.array(raw))).when(several, split).otherwise(F.array(raw))
+
+
+def page_nodes(body: Column) -> Column:
+    """The JSON texts of all JSON-LD nodes of a page, in its order; what is no JSON is left out."""
+    return F.filter(F.flatten(F.transform(json_ld_blocks(body), _listed)), lambda n: F.try_parse_json(n).isNotNull())
+
+
+def first_node(body: Column, *types: str) -> Column:
+    """The first node of a type on a page, among its nodes and one level down in their @graph; null without one."""
+    graph = lambda n: F.coalesce(F.from_json(F.get_json_object(n, "$['@graph']"), "array<string>"), F.array().cast("array<string>"))
+    every = F.flatten(F.transform(page_nodes(body), lambda n: F.concat(F.array(n), graph(n))))
+    return F.get(F.filter(every, lambda n: _is_type(n, types)), F.lit(0))
+
+
+def json_ld_nodes(pages: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
+    """key, pos, node (JSON text): the nodes of all JSON-LD scripts."""
+    return pages.select(key, F.posexplode(page_nodes(F.col(body))).alias("pos", "node"))
 
 
 def _is_type(node: Column, types: tuple[str, ...]) -> Column:
@@ -134,75 +149,51 @@ def decoded_link(coded: Column, otherwise: Column) -> Column:
     return F.when(clear.rlike(r"(?i)^https?://"), clear).otherwise(otherwise)
 
 
-def embedded_point(body: Column) -> tuple[Column, Column]:
-    """Latitude and longitude as script variables or data attributes state them."""
-    number = r"\s*[\"']?\s*[:=]\s*[\"']?\s*(-?\d+\.\d+)"
-    at = lambda n: F.regexp_extract(body, rf"(?i)\b(?:{n}){number}", 1).try_cast("double")
-    return at("data-lat|lat|latitude|latitud"), at("data-lng|data-lon|lng|lon|longitude|longitud")
-
-
-def embedded_json(body: Column, name: str, schema: str) -> Column:
-    """A flat object assigned to a script variable."""
-    return F.from_json(F.regexp_extract(body, rf"(?s)\b{re.escape(name)}\s*[:=]\s*(\{{[^{{}}]*\}})", 1), schema)
-
-
 # What needs a scanner -------------------------------------------------------------------------------------------------
 
 
-def balanced(s: str, start: int) -> str | None:
-    """The {...} that starts at a place, strings respected; null if it never ends."""
-    depth, i, n = 0, start, len(s)
-    in_string = escaped = False
-    while i < n:
-        c = s[i]
-        if in_string:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                in_string = False
-        elif c == '"':
-            in_string = True
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth == 0:
-                return s[start : i + 1]
-        i += 1
-    return None
+_DECODE = json.JSONDecoder().raw_decode
+_CODED = {"&q;": '"', "&l;": "<", "&g;": ">", "&a;": "&"}  # fixed values
 
 
 def coded_state(page: str | None, key: str) -> list[str]:
-    """The object after a key in a state blob whose quotes and brackets are coded as &q; &l; &g; &a;."""
-    _, mark, rest = (page or "").partition(f"{key}&q;:")
-    if not mark or not rest.startswith("{"):
+    """The object after a key in a state blob whose quotes and brackets are coded as in _CODED."""
+    plain = re.sub("|".join(_CODED), lambda m: _CODED[m[0]], (page or "").partition(f"{key}&q;:")[2])
+    try:
+        return [plain[: _DECODE(plain)[1]]] if plain.startswith("{") else []
+    except ValueError:
         return []
-    plain = rest.replace("&q;", '"').replace("&l;", "<").replace("&g;", ">").replace("&a;", "&")
-    found = balanced(plain, 0)
-    return [found] if found else []
+
+
+def _holders(value: object, key: str) -> Iterator[dict]:
+    """The objects inside a parsed value that hold a text under a key, outer ones first."""
+    if isinstance(value, dict):
+        if isinstance(value.get(key), str) and value[key]:
+            yield value
+        value = list(value.values())
+    if isinstance(value, list):
+        for x in value:
+            yield from _holders(x, key)
 
 
 def streamed_objects(page: str | None, id_key: str) -> list[str]:
     """Objects that hold an id key in a page's streamed chunks, distinct by id."""
     chunks = []
-    for m in re.finditer(r'self\.__next_f\.push\(\[1,("(?:[^"\\]|\\.)*")\]\)', page or ""):
+    for m in re.finditer(r'self\.__next_f\.push\(\[1,(?=")', page or ""):
         try:
-            chunks.append(json.loads(m[1]))
+            chunks.append(_DECODE(page, m.end())[0])
         except ValueError:
             continue
-    flight, seen, out = "".join(chunks), set(), []
-    for m in re.finditer(rf'"{re.escape(id_key)}"\s*:\s*"([^"]+)"', flight):
-        start = flight.rfind("{", 0, m.start())
-        text = balanced(flight, start) if start >= 0 and m[1] not in seen else None
+    flight, found, at = "".join(chunks), {}, 0
+    while (at := flight.find("{", at)) >= 0:
         try:
-            if text and json.loads(text).get(id_key) == m[1]:
-                seen.add(m[1])
-                out.append(text)
+            value, at = _DECODE(flight, at)
         except ValueError:
+            at += 1
             continue
-    return out
+        for x in _holders(value, id_key):
+            found.setdefault(x[id_key], x)
+    return [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in found.values()]
 
 
 class _Cards(HTMLParser):
@@ -297,34 +288,27 @@ def labelled_values(page: str | None) -> dict[str, str]:
     return out
 
 
-def map_pages(pages: DataFrame, f: Callable[[str | None], list], kind: str, carry: tuple[str, ...] = ("url", "city")) -> DataFrame:
-    """carry..., pos and item (of a type) for each thing that f finds in a page's body."""
-    names = [*carry, "pos", "item"]
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in carry) + f", pos int, item {kind}"
+def map_items(pages: DataFrame, f: Callable[[str | None], list], kind: str, carry: tuple[str, ...] = ("url", "city")) -> DataFrame:
+    """carry... and items (an array of a type): what f finds in each page's body, a row a page, whatever its url."""
+    names = [*carry, "items"]
+    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in carry) + f", items array<{kind}>"
     item_type = {"string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, pos, items = [], [], []
-            for r, body in enumerate(batch.column(len(carry)).to_pylist()):
-                found = f(body)
-                rows += [r] * len(found)
-                pos += range(len(found))
-                items += [list(x.items()) if isinstance(x, dict) else x for x in found]
-            taken = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[: len(carry)]]
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(pos, pa.int32()), pa.array(items, item_type)], names)
+            found = [[list(x.items()) if isinstance(x, dict) else x for x in f(body)] for body in batch.column(len(carry)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(found, pa.list_(item_type))], names)
 
     ship(pages.sparkSession)
     return pages.select(*carry, F.col("body").cast("string")).mapInArrow(run, schema)
 
 
-def zip_by_position(left: DataFrame, right: DataFrame, key: str = "url") -> DataFrame:
-    """left rows (key, pos) with the right row of the same page and position, if any."""
-    return left.join(right, [key, "pos"], "left")
+def map_pages(pages: DataFrame, f: Callable[[str | None], list], kind: str, carry: tuple[str, ...] = ("url", "city")) -> DataFrame:
+    """carry..., pos and item (of a type) for each thing that f finds in a page's body."""
+    return map_items(pages, f, kind, carry).select(*carry, F.posexplode("items").alias("pos", "item"))
 
 
-def normalised_labels(pairs: Column) -> Column:
-    """A map with normalised keys; the first of equal ones wins."""
-    entries = F.transform(F.map_entries(pairs), lambda e: F.struct(norm(e["key"]).alias("k"), e["value"].alias("v")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(entries, lambda e: e["k"] == k), F.lit(0))["v"]))
+def zipped(pages: DataFrame, other: Column, carry: tuple[str, ...] = ("url", "city")) -> DataFrame:
+    """carry..., item and ld: each of a page's items (an array) with the element of another array at its place, if any."""
+    both = F.explode(F.arrays_zip(F.col("items").alias("item"), other.alias("ld")))
+    return pages.select(*carry, both.alias("z")).select(*carry, "z.item", "z.ld").where("item is not null")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import area, estrato, first_int, norm, number, phone, positive, price
 from ..functions.urls import absolutize, safe_site_url
-from ..operators.extract import canonical, cards, catalogue_blocks, decoded_link, first_of_type, json_ld_nodes, labelled_values, map_pages, meta_tags, strip_tags, title
+from ..operators.extract import canonical, cards, catalogue_blocks, decoded_link, first_node, labelled_values, map_items, map_pages, meta_tags, strip_tags, title, zipped
 from ..schemas import as_listing, missing
 from .json_portals import located, shown, trimmed
 
@@ -40,19 +40,20 @@ def address_parts(street: Column, city: Column) -> tuple[Column, Column]:
     return F.when(~last.rlike(_STREET), shown(last)), shown(conjunto)
 
 
-_ABOUT = "about array<struct<name:string,numberOfBedrooms:string,numberOfBathroomsTotal:string,address:struct<streetAddress:string,addressLocality:string>,floorSize:struct<value:string>,geo:struct<latitude:string,longitude:string>>>"
+_ABOUT = "array<struct<name:string,numberOfBedrooms:string,numberOfBathroomsTotal:string,address:struct<streetAddress:string,addressLocality:string>,floorSize:struct<value:string>,geo:struct<latitude:string,longitude:string>>>"
 
 
-def _about(payloads: DataFrame) -> DataFrame:
-    """url, pos, ld: the items of each page's result list, by place."""
-    nodes = first_of_type(json_ld_nodes(payloads), "SearchResultsPage")
-    return nodes.select("url", F.posexplode(F.from_json("node", _ABOUT)["about"]).alias("pos", "ld"))
+def _cards_and_items(payloads: DataFrame, card_class: str) -> DataFrame:
+    """url, city, item and ld: the cards of each page, each with the JSON-LD item of its place in the page's result list."""
+    pages = payloads.withColumn("node", first_node(F.col("body"), "SearchResultsPage"))
+    found = map_items(pages, partial(cards, card_class=card_class), "map<string,string>", ("url", "city", "node"))
+    about = F.coalesce(F.from_json("node", f"about {_ABOUT}")["about"], F.array().cast(_ABOUT))
+    return zipped(found, about)
 
 
 def properati(payloads: DataFrame) -> DataFrame:
     """Cards, each with the JSON-LD item of its place; the card's values first."""
-    found = map_pages(payloads, partial(cards, card_class="snippet__content"), "map<string,string>")
-    x = found.join(_about(payloads), ["url", "pos"], "left")
+    x = _cards_and_items(payloads, "snippet__content")
     c = F.col
     url = absolutize(_get("item", "href"), F.lit("https://www.properati.com.co/"))
     name = F.coalesce(_get("item", ".snippet__title"), _get("item", "@title"))
@@ -81,10 +82,9 @@ def allowed(url: Column, banned: tuple[str, ...] = BANNED_PATHS) -> Column:
 
 def rentola(payloads: DataFrame) -> DataFrame:
     """Detail pages: JSON-LD of the advert, the slug's city, district and id, and the panel's text."""
-    pages = payloads.where(allowed(F.col("url")))
-    ld = first_of_type(json_ld_nodes(pages), "RealEstateListing")
+    pages = payloads.where(allowed(F.col("url"))).select("url", "body", first_node(F.col("body"), "RealEstateListing").alias("node"))
     schema = "name string, url string, offers struct<price:string,itemOffered:struct<address:struct<streetAddress:string,addressLocality:string>,geo:struct<latitude:string,longitude:string>,floorSize:struct<value:string>,numberOfBedrooms:struct<value:string>,numberOfBathroomsTotal:struct<value:string>,numberOfBathrooms:struct<value:string>>>"
-    x = pages.select("url", "body").join(ld, "url", "left").withColumn("ld", F.from_json("node", schema)).withColumn("slug", _found(F.regexp_replace("url", r"[?#].*$|/+$", ""), r"([^/]+)$")).withColumn("text", strip_tags(F.col("body")))
+    x = pages.withColumn("ld", F.from_json("node", schema)).withColumn("slug", _found(F.regexp_replace("url", r"[?#].*$|/+$", ""), r"([^/]+)$")).withColumn("text", strip_tags(F.col("body")))
     c = F.col
     house = c("ld.offers.itemOffered")
     tail = r"\d{1,3}(?:-\d{3})+-p[0-9a-f]+$"
@@ -99,16 +99,18 @@ def rentola(payloads: DataFrame) -> DataFrame:
     ))
 
 
-def _labels(payloads: DataFrame) -> DataFrame:
-    return map_pages(payloads, lambda page: [labelled_values(page)], "map<string,string>", ("url",)).select("url", F.col("item").alias("labels"))
+def _labels(payloads: DataFrame, *carry: str) -> DataFrame:
+    """carry... and labels: each page with the map of its label list."""
+    found = map_items(payloads, lambda page: [labelled_values(page)], "map<string,string>", carry)
+    return found.withColumn("labels", F.get("items", F.lit(0))).drop("items")
 
 
 def inmoalfaguara(payloads: DataFrame) -> DataFrame:
     """Detail pages: label list, JSON-LD of the house, price in the page's title tag, place in the slug. Agency and phone are the site's."""
-    ld = first_of_type(json_ld_nodes(payloads), "House")
-    x = payloads.select("url", "body").join(_labels(payloads), "url", "left").join(ld, "url", "left")
-    x = x.withColumn("ld", F.from_json("node", "url string, name string, address string, geo struct<latitude:string,longitude:string>, numberOfRooms string, telephone string")).withColumn("og", F.coalesce(_get_meta("og:title"), F.lit("")))
-    x = x.withColumn("text", strip_tags(F.col("body"))).withColumn("toks", F.split(F.coalesce(_found(F.col("url"), r"://[^/]+/(?:[^?#]*/)?([^/?#]+)/[^/?#]+/?$"), F.lit("")), "-"))
+    pages = payloads.select("url", "body", first_node(F.col("body"), "House").alias("node"), strip_tags(F.col("body")).alias("text"), F.coalesce(_get_meta("og:title"), F.lit("")).alias("og"))
+    x = _labels(pages, "url", "node", "text", "og")
+    x = x.withColumn("ld", F.from_json("node", "url string, name string, address string, geo struct<latitude:string,longitude:string>, numberOfRooms string, telephone string"))
+    x = x.withColumn("toks", F.split(F.coalesce(_found(F.col("url"), r"://[^/]+/(?:[^?#]*/)?([^/?#]+)/[^/?#]+/?$"), F.lit("")), "-"))
     c = F.col
     middle = F.when(F.size("toks") > 3, F.array_join(F.slice("toks", 3, F.size("toks") - 3), " "))
     slug_city = F.when(F.size("toks") >= 3, F.element_at("toks", -1))
@@ -166,7 +168,7 @@ def elpaisfincaraiz(payloads: DataFrame) -> DataFrame:
 
 def mitula(payloads: DataFrame) -> DataFrame:
     """Cards with data attributes, each with the JSON-LD item of its place; links are base64."""
-    x = map_pages(payloads, partial(cards, card_class="listing-card"), "map<string,string>").join(_about(payloads), ["url", "pos"], "left")
+    x = _cards_and_items(payloads, "listing-card")
     c = F.col
     barrio, district = _get("item", "data-neighbourhood"), _get("item", "data-district")
     coded = _get("item", "data-clickdestination")
@@ -183,7 +185,8 @@ def mitula(payloads: DataFrame) -> DataFrame:
 def arriendo(payloads: DataFrame) -> DataFrame:
     """Detail pages: label list, script variables for phone and coordinates, place and id in the slug."""
     c = F.col
-    x = payloads.select("url", "body").join(_labels(payloads), "url", "left").withColumn("seg", F.filter(F.split(F.regexp_replace("url", r"^[a-z]+://[^/]+|[?#].*$", ""), "/"), lambda s: s != ""))
+    x = _labels(payloads.select("url", "body", F.col("body").alias("page")), "url", "page").withColumnRenamed("page", "body")
+    x = x.withColumn("seg", F.filter(F.split(F.regexp_replace("url", r"^[a-z]+://[^/]+|[?#].*$", ""), "/"), lambda s: s != ""))
     part = lambda k: F.when(F.size("seg") >= 4, F.element_at("seg", -k))
     ident = F.coalesce(F.upper(_found(part(1), r"(?i)^(AR-\d+)$")), F.upper(_found(strip_tags(c("body")), r"(?i)C[oó]digo del inmueble:\s*(AR-\d+)")))
     called = F.from_json(F.regexp_extract("body", r"ARX_PHONE_DATA\s*=\s*window\.ARX_PHONE_DATA\s*\|\|\s*(\{[^}]*\})", 1), "pc string, pw string, hw boolean")

@@ -40,6 +40,24 @@ def test_scanners():
     assert extract.labelled_values("<li><strong>Área:</strong> 90 m²</li><li><b>Baños</b><span>2</span></li><li>area: x</li>") == {"area": "90 m²", "banos": "2"}
 
 
+def test_streamed_objects_nest():
+    flight = json.dumps('1:["$",{"list":[{"id":"7","in":{"id":"8"}}]}]\n2:{broken {"id":"9","s":"} {"}')
+    page = f"self.__next_f.push([1,{flight}])self.__next_f.push([1,broken])"
+    assert [json.loads(x)["id"] for x in extract.streamed_objects(page, "id")] == ["7", "8", "9"]
+    assert extract.streamed_objects(None, "id") == extract.streamed_objects("", "id") == []
+
+
+def test_a_page_fetched_twice_counts_twice(spark):
+    """Facts of a page are its own, not its url's: no fetch is multiplied by another."""
+    body = '<script type="application/ld+json">{"@type":"House","numberOfRooms":"3"}</script><ul><li><strong>Alcobas:</strong> 2</li></ul>'
+    for normalize, url in ((html_portals.inmoalfaguara, "https://inmoalfaguara.co/a-b-c-cali/5"), (html_portals.arriendo, "https://arriendo.com/co/casas/cali/pance/ar-5/")):
+        assert normalize(payloads(spark, (url, body), (url, body), (url, body))).count() == 3
+    cards = '<script type="application/ld+json">{"@type":"SearchResultsPage","about":[{"name":"n"}]}</script><div class="snippet__content"><a href="/d/5">x</a></div><div class="snippet__content"><a href="/d/6">y</a></div>'
+    assert html_portals.properati(payloads(spark, ("https://p/1", cards), ("https://p/1", cards))).count() == 4
+    ld = '<script type="application/ld+json">{"@type":"RealEstateListing","name":"x"}</script>'
+    assert html_portals.rentola(payloads(spark, *[("https://rentola.co.com/x/casa-p1a", ld)] * 3)).count() == 3
+
+
 def test_links_and_sitemaps(spark):
     page = '<a href="/a">1</a><a href="/a">2</a><A HREF="https://o.org/b?x&amp;y">3</A><a href="#t">4</a>'
     assert sorted(r.link for r in extract.links(payloads(spark, ("https://h.org/p/", page))).collect()) == ["https://h.org/a", "https://o.org/b?x&y"]
