@@ -83,15 +83,21 @@ def domain_rules(spark: SparkSession, implemented: Iterable[str]) -> DataFrame:
     return spark.createDataFrame(rows, "suffix string, priority int, place int, reason string, note string")
 
 
+#: Rules that are broadcast at most; more are joined by a shuffle.
+MAX_RULES = 100_000
+
+
 def classify_domains(domains: DataFrame, rules: DataFrame) -> DataFrame:
     """domains with reason and note of the first rule whose suffix the domain is or stands below; null: a new one.
 
-    Each domain's own suffixes are joined by equality with the rules, which are broadcast: no rule is tried on every domain.
+    Each domain's own suffixes are joined by equality with the rules, which are broadcast (MAX_RULES at most): no rule is tried on
+    every domain.
     """
+    rules = F.broadcast(rules) if rules.count() <= MAX_RULES else rules
     labels = F.split(F.regexp_replace(F.lower("domain"), r"^www\.", ""), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     keyed = domains.select("domain").distinct().select("domain", F.explode(suffixes).alias("suffix"))
-    first = keyed.join(F.broadcast(rules), "suffix").groupBy("domain").agg(F.min(F.struct("priority", "place", "reason", "note")).alias("r"))
+    first = keyed.join(rules, "suffix").groupBy("domain").agg(F.min(F.struct("priority", "place", "reason", "note")).alias("r"))
     return domains.join(first, "domain", "left").select(*domains.columns, F.col("r.reason").alias("reason"), F.col("r.note").alias("note"))
 
 

@@ -86,8 +86,13 @@ RESULT_COLUMNS = {
 
 
 def visible_columns(df: DataFrame, visible: Iterable[str] | None = None) -> DataFrame:
-    wanted = [c for c, on in RESULT_COLUMNS.items() if (on if visible is None else c in set(visible))]
-    return df.select(*(c for c in wanted if c in df.columns))
+    """The result table's columns that show. place, distance and source are made from the listing's; without a verdict its column is null."""
+    shown = None if visible is None else set(visible)
+    wanted = [c for c, on in RESULT_COLUMNS.items() if (on if shown is None else c in shown)]
+    distance = effective_km() if "driving_km" in df.columns else F.col("distance_km")
+    source = source_label(F.col("merged_sources"), F.col("source")) if "merged_sources" in df.columns else F.col("source")
+    made = {"place": place(), "distance": distance, "source": source, "verdict": F.col("verdict") if "verdict" in df.columns else F.lit(None).cast("string")}
+    return df.select(*(made.get(c, F.col(c)).alias(c) for c in wanted))
 
 
 def map_points(ranked: DataFrame, n: int = 50) -> DataFrame:

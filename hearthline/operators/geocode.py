@@ -27,7 +27,9 @@ def stale(now: Column) -> Column:
 def fill_coordinates(listings: DataFrame, cache: DataFrame) -> DataFrame:
     """Listings with the coordinates of the cache where they have none; stale rows still serve. Own coordinates without a precision are "source"."""
     found = cache.select("query", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.col("precision").alias("_precision"))
-    joined = with_query(listings).join(found, "query", "left")
+    # Rows that ask for nothing have a key of their own each, so that they spread like all others.
+    asked = with_query(listings).withColumn("_ask", F.coalesce("query", F.concat(F.lit("\u0000"), F.col("source"), F.lit("\u0000"), F.col("source_listing_id"))))
+    joined = asked.join(found.withColumnRenamed("query", "_ask"), "_ask", "left")
     located = valid(F.col("lat")) & valid(F.col("lng"))
     hit = ~located & F.col("_lat").isNotNull()
     precision = F.when(located, F.coalesce("geocode_precision", F.lit("source"))).when(hit, coarser(F.col("query_precision"), F.col("_precision"))).otherwise(F.col("geocode_precision"))

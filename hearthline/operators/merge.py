@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 KEY = ("source", "source_listing_id")
 
 
+#: Adverts that a page of these sources leads to; a limit of pages is so many times as many details.
+DETAILS_A_PAGE = {"arriendo": 50, "rentola": 30, "century21": 20}
+
+
+def cap_details(df: DataFrame, max_pages: int, order: Iterable[str]) -> DataFrame:
+    """The first rows of each source whose details are fetched one by one, as many as max_pages pages lead to (rentola: one page
+    at least; others: no cap for 0); other sources whole. Rows over the cap go before the shuffle's sort."""
+    caps = {s: (max(1, max_pages) if s == "rentola" else max_pages) * k for s, k in DETAILS_A_PAGE.items()}
+    capped = [s for s, n in caps.items() if n > 0]
+    parts = [cap_per_source(df.where(F.col("source") == s), caps[s], order) for s in capped]
+    out = df.where(~F.col("source").isin(*capped) | F.col("source").isNull())
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def cap_per_source(df: DataFrame, n: int | None, order: Iterable[str], by: Iterable[str] = ("source",)) -> DataFrame:
     """The first n rows of each source in the given order; no cap for null or n <= 0. Rows over the cap go before the shuffle's sort."""
     if n is None or n <= 0:

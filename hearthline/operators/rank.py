@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.geo import haversine_km, slack_km
 from ..functions.text import norm, norm_text, positive
@@ -79,8 +78,11 @@ def evaluate(listings: DataFrame, o: RankOptions) -> DataFrame:
 def with_driving(evaluated: DataFrame, driving: DataFrame, o: RankOptions) -> DataFrame:
     """Adds driving_km and driving_min of the kept rows from driving(dest_lat, dest_lng, km, min), and drops what they put too far.
 
-    Rows without an answer keep the straight line. Road bounds come after the straight one, which road distances only exceed.
+    A table with origin_lat and origin_lng holds the answers of several points; only those from the options' point count. Rows
+    without an answer keep the straight line. Road bounds come after the straight one, which road distances only exceed.
     """
+    if "origin_lat" in driving.columns:
+        driving = driving.where((F.col("origin_lat") == o.lat) & (F.col("origin_lng") == o.lng))
     answers = driving.groupBy("dest_lat", "dest_lng").agg(F.min(F.struct("km", "min")).alias("d")).select(F.col("dest_lat").alias("lat"), F.col("dest_lng").alias("lng"), F.col("d.km").alias("driving_km"), F.col("d.min").alias("driving_min"))
     joined = evaluated.join(answers, ["lat", "lng"], "left")
     kept = F.col("reason").isNull()
@@ -132,11 +134,21 @@ def top(scored: DataFrame, n: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *TIES)))  # of n rows
 
 
+#: Steps of the score, from 0 to 1, whose rows are ordered together.
+STEPS = 65_536
+
+
 def rank_all(scored: DataFrame) -> DataFrame:
-    """Every row with its rank, without putting all rows into one task: positions of a range-sorted table."""
-    ordered = scored.orderBy(F.desc("score"), *TIES)
-    schema = ordered.schema.add("rank", T.LongType(), False)
-    return scored.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
+    """Every row with its rank, without putting all rows into one task: the place among the rows of its step of the score, after
+    the rows of all better steps. The steps' counts are STEPS rows at most, summed up and broadcast; rows of one score share a step.
+    """
+    step = F.coalesce(F.floor(F.col("score") * STEPS).cast("int"), F.lit(-1))
+    stepped = scored.withColumn("_step", step)
+    better = Window.orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)  # of STEPS rows
+    before = stepped.groupBy("_step").count().select("_step", F.coalesce(F.sum("count").over(better), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_step").orderBy(F.desc("score"), *TIES))
+    placed = stepped.withColumn("_place", inside).join(F.broadcast(before), "_step")
+    return placed.select(*scored.columns, (F.col("_before") + F.col("_place")).alias("rank"))
 
 
 def best_score(scored: DataFrame) -> DataFrame:

@@ -57,6 +57,12 @@ def crawl_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.cap_per_source(_rows(spark, sf_dir), 40, ["event_id"]).select("source", "source_listing_id", "event_id")
 
 
+@query("details_capped", f"WITH {_EVENTS_CTE}, s AS (SELECT CASE source WHEN 'view' THEN 'arriendo' WHEN 'click' THEN 'rentola' WHEN 'error' THEN 'century21' ELSE source END AS source, event_id FROM rows_), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY event_id) AS n FROM s) SELECT source, count(*) AS n, max(event_id) AS last FROM n WHERE n <= CASE source WHEN 'arriendo' THEN 100 WHEN 'rentola' THEN 60 WHEN 'century21' THEN 40 ELSE n END GROUP BY source")
+def details_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir).replace({"view": "arriendo", "click": "rentola", "error": "century21"}, subset=["source"])
+    return merge.cap_details(rows, 2, ["event_id"]).groupBy("source").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
 @query("crawl_first_of_key", f"WITH {_EVENTS_CTE} SELECT source, source_listing_id, min(event_id) AS event_id FROM rows_ GROUP BY 1, 2")
 def crawl_first_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.first_of(_rows(spark, sf_dir), merge.KEY, ["event_id"]).select(*merge.KEY, "event_id")
@@ -116,6 +122,16 @@ def verify_marked_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("is_active", F.col("last_verified_at").isNotNull().alias("verified")).agg(F.count("*").alias("n"))
 
 
+@query("verify_first", f"WITH {_RESP_CTE}, first AS (SELECT 'https://p.example.com/l/' || CAST(doc_id AS STRING) AS url FROM documents ORDER BY doc_id % 101, doc_id LIMIT 60) SELECT url, NOT (reason LIKE 'HTTP%' OR reason LIKE 'redirected%' OR reason LIKE 'marker%') AS is_active, reason FROM judged SEMI JOIN first USING (url)".replace("contains(b, 'licensed under')", "false").replace("contains(b, 'the and attion to')", "false"))
+def verify_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first responses as sent, by the markers of gone adverts (of which these texts can hold one)."""
+    from .entries import verify_urls
+
+    n = F.regexp_extract("url", "([0-9]+)$", 1).cast("bigint")
+    sent = _responses(spark, sf_dir).withColumn("sent", (n % 101) * 1_000_000_000 + n)
+    return verify_urls(sent, None, None)[0].select("url", "is_active", "reason")
+
+
 @query("listings_with_verdicts", f"WITH {_RESP_CTE}, s AS (SELECT event_id, 'https://p.example.com/l/' || CAST(event_id AS STRING) AS url FROM events) SELECT event_id, reason AS verdict FROM s LEFT JOIN judged USING (url)")
 def listings_with_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = data.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("https://p.example.com/l/"), F.col("event_id").cast("string")).alias("url"))
@@ -196,6 +212,25 @@ def history_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.add_entries(e.where("id % 2 = 0"), e.where("id % 2 = 1"), keep=15)
 
 
+@query("history_trimmed", f"WITH {_ENTRIES}, r AS (SELECT o_custkey AS id, count(*) AS n, list(o_orderkey ORDER BY o_orderkey) AS ranked FROM orders GROUP BY 1) SELECT CASE WHEN n > 5 THEN 5 ELSE n END AS kept, sum(list_sum(ranked[1:5])) AS keys, count(*) AS entries FROM r WHERE id <> 7 GROUP BY 1")
+def history_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as the ranked rows of an entry, the first five of them; one entry removed."""
+    orders = data.table(spark, sf_dir, "orders")
+    history = orders.groupBy(F.col("o_custkey").alias("id")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("ranked"))
+    kept = marked.remove_entry(marked.trim_entries(history, 5), 7)
+    total = F.aggregate("ranked", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return kept.groupBy(F.size("ranked").cast("bigint").alias("kept")).agg(F.sum(total).alias("keys"), F.count("*").alias("entries"))
+
+
+@query("history_modes", f"WITH {_ENTRIES} SELECT mode, sig, count(*) AS n FROM e WHERE mode <> 'list' GROUP BY 1, 2")
+def history_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.labels import search_signature
+
+    e = marked.of_mode(_entries(spark, sf_dir), "list", keep=False)
+    parts = F.split("sig", r"\|")
+    return e.withColumn("sig", search_signature(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))).groupBy("mode", "sig").agg(F.count("*").alias("n"))
+
+
 @query("history_latest", f"WITH {_ENTRIES} SELECT id, ts, mode, sig FROM e WHERE mode = 'list' AND id <> (SELECT max(id) FROM e) ORDER BY ts DESC, id DESC LIMIT 1")
 def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _entries(spark, sf_dir)

@@ -65,7 +65,7 @@ _SAID = """CASE page_id % 8 WHEN 0 THEN ' renta $18,000 MXN en Guadalajara ' WHE
 
 @query("page_country", f"""WITH t AS (SELECT page_id, page_id % 8 AS k FROM pages) SELECT page_id, CASE k WHEN 0 THEN 'foreign' WHEN 1 THEN 'co' WHEN 2 THEN 'foreign' WHEN 6 THEN 'foreign' ELSE 'unknown' END AS verdict, CAST(CASE k WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN 2 ELSE 0 END AS INT) AS signs FROM t""")
 def page_country(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = data.table(spark, sf_dir, "pages").withColumn("html", F.expr(_SAID))
+    pages = data.table(spark, sf_dir, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.expr(_SAID)))
     return discovery.country_verdicts(pages).select("page_id", "verdict", "signs")
 
 

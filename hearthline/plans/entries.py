@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import discovery, marked, merge, verify
+from ..operators.filters import by_state
 from ..operators.rank import RankOptions
 from ..sources.registry import normalize_all, registry_table, select_sources
 from ..sources.userlist import list_warnings, listings_from_list, read_list
@@ -21,11 +22,16 @@ class Ingested(NamedTuple):
     counts: DataFrame
 
 
-def ingest(payloads: DataFrame, snapshot: DataFrame, only: Iterable[str] = (), hard: bool = False, cap: int | None = None, scope: tuple[str, ...] = ("source",)) -> Ingested:
-    """Normalise a crawl's payloads and merge them. The last fetch of a page counts as the time its listings were seen."""
+def ingest(payloads: DataFrame, snapshot: DataFrame, only: Iterable[str] = (), hard: bool = False, cap: int | None = None, scope: tuple[str, ...] = ("source",), max_pages: int = 0, agencies: DataFrame | None = None) -> Ingested:
+    """Normalise a crawl's payloads and merge them. The last fetch of a page counts as the time its listings were seen.
+
+    cap: listings of a source; max_pages: caps sources of detail pages as cap_details does. Both keep the first by id: a table of
+    payloads has no order of arrival.
+    """
     spark = payloads.sparkSession
     at = payloads.groupBy("source").agg(F.max("fetched_at").alias("seen_at"))
-    rows = normalize_all(payloads, select_sources(only, hard)).join(F.broadcast(at), "source")
+    rows = normalize_all(payloads, select_sources(only, hard), agencies).join(F.broadcast(at), "source")  # a row a source
+    rows = merge.cap_details(rows, max_pages, ["source_listing_id"]) if max_pages > 0 else rows
     batch = merge.cap_per_source(rows, cap, ["source_listing_id"])
     return Ingested(merge.merge_snapshot(snapshot, batch, scope=scope), merge.crawl_diff(snapshot, batch, scope), merge.counts_by_source(batch, registry_table(spark)))
 
@@ -46,8 +52,9 @@ def rank_list(spark: SparkSession, path: str, options: RankOptions, cache: DataF
 
 
 def verify_urls(responses: DataFrame, snapshot: DataFrame | None, now, most: int = 60) -> tuple[DataFrame, DataFrame | None]:
-    """(verdicts, the snapshot with dead URLs inactive) of at most `most` responses, by url."""
-    judged = verify.verdicts(responses.orderBy("url").limit(most))
+    """(verdicts, the snapshot with dead URLs inactive) of the first `most` responses: as sent, where a column sent numbers them, else by url."""
+    order = ["sent", "url"] if "sent" in responses.columns else ["url"]
+    judged = verify.verdicts(responses.orderBy(*order).limit(most))
     return judged, verify.mark_dead(snapshot, judged, now) if snapshot is not None else None
 
 
@@ -57,5 +64,5 @@ discover = discovery.discover
 def marked_houses(history: DataFrame, reviews: DataFrame, states: Iterable[str] = ("eligible", "seen")) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(counts by state, marked houses of the states, their export rows)."""
     every = marked.marked(history, reviews)
-    chosen = marked.marked(history, reviews, states)
+    chosen = by_state(every, states)
     return marked.state_counts(every), chosen, marked.export_rows(chosen)

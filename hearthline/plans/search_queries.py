@@ -90,6 +90,12 @@ def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.rank_all(scored.select("source", "source_listing_id", "barrio", "city", "area_m2", "price", R6("cost_per_m2"), R6("distance_km"), "score")).withColumn("score", F.round("score", 6))
 
 
+@query("result_columns", f"WITH {SEARCHED_CTE} SELECT rank, round(score, 6) AS score, coalesce(CASE WHEN barrio IS NOT NULL OR conjunto IS NOT NULL THEN concat_ws(' / ', barrio, conjunto) END, address, '') AS place, city, area_m2, price, admin, round(cost_per_m2, 6) AS cost_per_m2, round(distance_km, 6) AS distance, bedrooms, estrato, sources AS source, CAST(NULL AS VARCHAR) AS verdict, url FROM ranked WHERE rank <= 40")
+def result_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = filters.visible_columns(_ranked(spark, sf_dir, 40))
+    return shown.withColumns({c: F.round(c, 6) for c in ("score", "cost_per_m2", "distance")})
+
+
 @query("search_reasons", f"WITH {SEARCHED_CTE} SELECT reason, count(*) AS n FROM evaluated WHERE reason IS NOT NULL GROUP BY reason")
 def search_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _searched(spark, sf_dir).reasons
@@ -121,7 +127,8 @@ def driving_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = rank.RankOptions(zone_filter=False)
     rows = data.active(spark, sf_dir)
     km = geo.haversine_km(F.col("lat"), F.col("lng"), o.lat, o.lng)
-    driving = rows.where((F.col("lat").isNotNull()) & (F.floor(F.col("lat") * 1000 + 0.5) % 3 != 0)).select(F.col("lat").alias("dest_lat"), F.col("lng").alias("dest_lng"), (km * 1.35).alias("km"), (km * 2).alias("min")).distinct()
+    driving = rows.where((F.col("lat").isNotNull()) & (F.floor(F.col("lat") * 1000 + 0.5) % 3 != 0)).select(F.lit(o.lat).alias("origin_lat"), F.lit(o.lng).alias("origin_lng"), F.col("lat").alias("dest_lat"), F.col("lng").alias("dest_lng"), (km * 1.35).alias("km"), (km * 2).alias("min")).distinct()
+    driving = driving.unionByName(driving.withColumns({"origin_lat": F.lit(4.6), "km": F.col("km") / 10}))  # another point's answers
     e = rank.with_driving(rank.evaluate(rows, o), driving, o)
     return e.groupBy("reason").agg(F.count("*").alias("n"), F.count("driving_km").alias("driven"), F.round(F.sum("distance_km"), 4).alias("km"))
 

@@ -53,9 +53,13 @@ def registry_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s.id, s.label, s.tier, s.domain) for s in SOURCES], "id string, label string, tier string, domain string")
 
 
-def normalize_all(payloads: DataFrame, sources: Iterable[Source] = SOURCES) -> DataFrame:
-    """The listings of all sources' payloads in one table."""
-    parts = [s.normalize(payloads.where(F.col("source") == s.id)) for s in sources]
+def normalize_all(payloads: DataFrame, sources: Iterable[Source] = SOURCES, agencies: DataFrame | None = None) -> DataFrame:
+    """The listings of all sources' payloads in one table. agencies(url, agency, phone): whose the adverts of century21 are.
+
+    Each source reads the payloads of its id. Keep them partitioned by source (stored.write_payloads does), and each reads its
+    own folder alone; of an unpartitioned table each source scans all.
+    """
+    parts = [s.normalize(payloads.where(F.col("source") == s.id), **({"agencies": agencies} if s.id == "century21" and agencies is not None else {})) for s in sources]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -26,6 +26,11 @@ def read_payloads(spark: SparkSession, path: str, form: str = "parquet") -> Data
     return spark.read.schema(PAYLOAD).format(form).load(path)
 
 
+def write_payloads(payloads: DataFrame, path: str) -> None:
+    """Payloads cut by source, so that a source's normaliser reads its own part only."""
+    payloads.write.partitionBy("source").option("compression", "zstd").parquet(path)
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Saved searches as JSON lines: id, ts, sig, mode, label, ref_label, ranked rows; entries may lack any of them."""
     row = "source string, source_listing_id string, url string, source_links array<struct<source:string,url:string>>, barrio string, conjunto string, city string, address string, area_m2 double, price double, admin double, cost_per_m2 double, distance_km double, driving_km double, bedrooms int"

@@ -110,6 +110,29 @@ def test_driving(spark):
     assert result.stats.first().driving_computed == 1
 
 
+def test_driving_from_another_point(spark):
+    """Only answers from the options' own point count."""
+    rows = [make(lat=3.41)]
+    driving = spark.createDataFrame([(3.4, -76.53, 3.41, -76.53, 6.0, 9.0), (9.0, -70.0, 3.41, -76.53, 1.0, 2.0)], "origin_lat double, origin_lng double, dest_lat double, dest_lng double, km double, min double")
+    result = rank_plan(frame(spark, *rows), rank.RankOptions(lat=3.4, lng=-76.53, zone_filter=False), driving=driving)
+    assert result.top.first().driving_km == 6.0
+
+
+def test_rank_all_is_the_order(spark):
+    rows = [("s", str(k), (k * 37 % 100) / 100) for k in range(100)] + [("s", "x", 0.5), ("r", "y", 0.5), ("s", "z", None)]
+    scored = spark.createDataFrame(rows, "source string, source_listing_id string, score double")
+    want = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0], r[1]))
+    assert [tuple(r)[:3] for r in rank.rank_all(scored).orderBy("rank").collect()] == want
+    assert sorted(r["rank"] for r in rank.rank_all(scored).collect()) == list(range(1, 104))
+
+
+def test_visible_columns(spark):
+    top = rank_plan(frame(spark, make(barrio="Pance", conjunto=None)), rank.RankOptions(lat=3.4, lng=-76.53, zone_filter=False)).top
+    row = filters.visible_columns(top).first()
+    assert row.place == "Pance" and row.distance == top.first().distance_km and row.verdict is None and "phone" not in row.asDict()
+    assert filters.visible_columns(top.withColumn("verdict", F.lit("ok")), ["verdict", "phone"]).columns == ["phone", "verdict"]
+
+
 def test_search_city_filter(spark):
     rows = frame(spark, make(city="Cali"), make(city="Palmira", lat=3.5)).withColumn("is_active", F.lit(True))
     assert search(rows, rank.RankOptions(lat=3.4, lng=-76.53, max_km=50, cities=("CALI",), zone_filter=False)).ranked.count() == 1

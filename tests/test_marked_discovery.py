@@ -162,3 +162,12 @@ def test_report(spark):
     text = report.report_text(top, RankOptions()).first().text
     assert "Best value: #1 Pance" in text and text.count("| Pance |") == 1
     assert "No listing" in report.report_text(top.limit(0), RankOptions()).first().text
+
+
+def test_candidates_split_and_signature(spark):
+    from hearthline.functions.labels import search_signature
+    from hearthline.operators.discovery import split_new
+
+    c = spark.createDataFrame([("a", "new"), ("b", "foreign"), ("c", "new")], "domain string, status string")
+    assert [sorted(r.domain for r in part.collect()) for part in split_new(c)] == [["a", "c"], ["b"]]
+    assert spark.range(1).select(search_signature(F.lit("x"), F.lit(None).cast("string"), F.lit(2))).first()[0] == "x||2"
