@@ -235,12 +235,13 @@ def recon(homes: DataFrame, robots: DataFrame, cities: Iterable[str] = ()) -> Da
 
 
 def summaries(candidates: DataFrame) -> DataFrame:
-    """domain and one line of facts each on robots, challenges, relevance, country and queries."""
+    """domain, status and one line of facts each on robots, challenges, relevance, JSON-LD, country and queries."""
     r = F.col("recon")
     robots = F.when(r.isNull() | ~r["robots"]["fetched"], "robots: not read").when(r["robots"]["ai_blocked"], F.concat(F.lit("robots: bans "), F.array_join(r["robots"]["blocked_agents"], ", "))).otherwise("robots: open")
     bots = F.when(r["anti_bot"]["hinted"], F.concat(F.lit("challenges: "), F.array_join(r["anti_bot"]["signals"], ", "))).otherwise("challenges: none seen")
     country = F.concat(F.lit("country: "), F.coalesce(r["country"]["verdict"], F.lit("unknown")))
-    return candidates.select("domain", robots.alias("robots"), bots.alias("challenges"), F.concat(F.lit("relevance: "), F.format_string("%.2f", F.coalesce(r["relevance"], F.lit(0.0)))).alias("relevance"), country.alias("country"), F.concat(F.lit("queries: "), F.array_join("queries", "; ")).alias("queries"))
+    data = F.when(F.coalesce(r["has_json_ld"], F.lit(False)), "JSON-LD: yes").otherwise("JSON-LD: no")
+    return candidates.select("domain", "status", data.alias("json_ld"), robots.alias("robots"), bots.alias("challenges"), F.concat(F.lit("relevance: "), F.format_string("%.2f", F.coalesce(r["relevance"], F.lit(0.0)))).alias("relevance"), country.alias("country"), F.concat(F.lit("queries: "), F.array_join("queries", "; ")).alias("queries"))
 
 
 def discover(hits: DataFrame, homes: DataFrame, robots: DataFrame, implemented: Iterable[str], cities: Iterable[str] = (), most: int = 20) -> DataFrame:

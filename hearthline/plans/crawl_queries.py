@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import marked, merge, report, verify
 from . import data
 from .data import LISTINGS_CTE
-from .registry import query
+from .registry import ORACLES, query
 from .search_queries import NORM, OPTIONS, SEARCHED_CTE, _ranked
 
 DAY = 20  # crawls before this day of January make the snapshot, the crawl of the day is merged
@@ -248,7 +248,12 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.report_rows(_ranked(spark, sf_dir, 25).withColumns({"driving_km": F.lit(None).cast("double"), "driving_min": F.lit(None).cast("double")}))
 
 
-@query("report_text")
+_HEAD = "# Rental search report\n\nCities: Cali, jamundi. Reference point: 3.4516, -76.532. Max distance: 8.0 km. Min area: 80.0 m². Weights: cost 0.5, area 0.3, distance 0.2.\n\n| # | Barrio / Conjunto | Area m² | Price | Admin | Cost/m² | Dist | Beds/Baths | Estrato | Agency | Contact | Source | Link |\n|---|---|---|---|---|---|---|---|---|---|---|---|---|\n"
+_ROWS = ORACLES["report_rows"].replace("rank <= 25", "rank <= 10")
+
+
+@query("report_text", f"""WITH t AS ({_ROWS}), l AS (SELECT string_agg('| ' || concat_ws(' | ', c0, c1, c2, c3, c4, c5, c6, c7, c8, c9, c10, c11, c12) || ' |', chr(10) ORDER BY rank) AS body, max(CASE WHEN rank = 1 THEN 'Best value: #1 ' || c1 || ' — ' || c2 || ' m² at ' || c3 || ' (' || c5 || '/m²), ' || c6 || ' away.' END) AS best FROM t)
+SELECT '{_HEAD}' || body || chr(10) || chr(10) || best || chr(10) AS text FROM l""")
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _ranked(spark, sf_dir, 10).withColumns({"driving_km": F.lit(None).cast("double"), "driving_min": F.lit(None).cast("double")})
     return report.report_text(top, OPTIONS)

@@ -115,10 +115,19 @@ def search_results_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.hits_from_results(results).groupBy(F.col("query").cast("bigint").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("discover")
+# What a domain's home page says beside its own words, by the page's number.
+_HOME_SAID = "CASE page_id % 5 WHEN 0 THEN ' renta $18,000 MXN en Guadalajara ' WHEN 1 THEN ' arriendo en Cali, canon y alquiler <script type=\"application/ld+json\">{}</script> ' WHEN 2 THEN ' estrato 4 ' ELSE '' END"
+
+
+@query("discover", f"""WITH {_CANDIDATES}, top AS (SELECT domain FROM c WHERE status = 'new' ORDER BY mention_count DESC, first_seen, domain LIMIT 20), q AS (SELECT domain, string_agg(DISTINCT query, '; ' ORDER BY query) AS queries FROM hits GROUP BY domain),
+p AS (SELECT h.domain, min(page_id) AS page_id FROM hits h GROUP BY domain), b AS (SELECT p.domain, p.page_id, coalesce(pages.html, '') || {_HOME_SAID.replace('page_id', 'p.page_id')} AS body FROM p JOIN pages USING (page_id)), t AS (SELECT *, {NORM.format('body')} AS x FROM b SEMI JOIN top USING (domain)),
+r AS (SELECT domain, page_id, CASE WHEN length(x) < 20 THEN 0 ELSE least(1.0, (len(regexp_extract_all(x, '\\b(arriendo|alquiler|inmobiliaria|arrendar|canon|cali)\\b'))) / sqrt(len(string_split(x, ' '))) / 3) END AS rel FROM t)
+SELECT c.domain, CASE WHEN r.page_id % 5 = 0 THEN 'foreign' ELSE c.status END AS status, CASE WHEN r.page_id % 5 = 1 THEN 'JSON-LD: yes' ELSE 'JSON-LD: no' END AS json_ld, CASE WHEN r.domain IS NULL THEN 'robots: not read' WHEN r.page_id % 3 = 0 THEN 'robots: bans gptbot' WHEN r.page_id % 3 = 1 THEN 'robots: bans *' ELSE 'robots: open' END AS robots,
+  'challenges: none seen' AS challenges, 'relevance: ' || printf('%.2f', coalesce(rel, 0.0)) AS relevance, 'country: ' || CASE WHEN r.page_id % 5 = 0 THEN 'foreign' WHEN r.page_id % 5 = 2 THEN 'co' ELSE 'unknown' END AS country, 'queries: ' || q.queries AS queries FROM c LEFT JOIN r USING (domain) JOIN q USING (domain)""")
 def discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = data.table(spark, sf_dir, "pages").withColumn("domain", root_domain(F.col("url"))).where("domain is not null and domain <> ''")
-    homes = pages.groupBy("domain").agg(F.min_by("html", "page_id").alias("body"), F.lit(200).alias("status")).withColumn("headers", F.create_map(F.lit("server"), F.lit("x")))
+    body = F.concat(F.coalesce("html", F.lit("")), F.expr(_HOME_SAID))
+    homes = pages.groupBy("domain").agg(F.min_by(body, "page_id").alias("body"), F.lit(200).alias("status")).withColumn("headers", F.create_map(F.lit("server"), F.lit("x")))
     robots = pages.groupBy("domain").agg(F.min("page_id").alias("page_id")).select("domain", F.expr(_ROBOTS).alias("text"))
     found = discovery.discover(_hits(spark, sf_dir), homes, robots, IMPLEMENTED, ["Cali"], most=20)
     return discovery.summaries(found)
