@@ -54,7 +54,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hearthline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -63,6 +65,12 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unstage(*tables: DataFrame) -> None:
+    """Delete the files of staged tables; nothing that still has to run may read them."""
+    for df in tables:
+        discard(df.sparkSession, df.staged_at)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are no longer referred to, rather than at some later collection."""
     for _ in range(2):  # the first finds what Python held, the second what that held

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, release, shared_dir, staged
+from .common import discard, map_arrow, release, shared_dir, staged, unstage
 
 #: Words of a k-mer; bytes of texts handled at a time (a longer text is handled alone, whole); bytes of a word hashed in steps of eight.
 KMER, SLICE, LONG_WORD = 5, 1 << 19, 512
@@ -299,6 +299,7 @@ class Texts:
         if bits + (most["part"] or 0).bit_length() > 63 - PLACE:
             raise ValueError(f"more distinct texts than {63 - PLACE} bits can number")
         #: tid, first (smallest doc_id) and rank (in the order of first, then tid) of each.
+        self.places = places
         self.ranked = places.select("tid", "first", F.shiftleft(part, bits).bitwiseOR(row).alias("rank"))
 
     def collided(self) -> bool:
@@ -311,6 +312,7 @@ class Texts:
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         discard(self.spark, self.path)
+        unstage(self.places)
 
 
 def _results(texts: Texts, window: int, seed: int) -> DataFrame:
@@ -330,7 +332,9 @@ def _results(texts: Texts, window: int, seed: int) -> DataFrame:
     claims = later.groupBy(F.shiftright("place", PLACE).alias("rank")).agg(F.collect_set(claim).alias("claims"))
     claims = staged(texts.ranked.join(claims, "rank", "left").select("tid", "first", "claims"), "repeats")
     release(texts.spark)
-    return staged(map_arrow(texts.joined(claims).select("tid", "text", "first", "claims"), result_rows, RESULT), "kept-words")
+    results = staged(map_arrow(texts.joined(claims).select("tid", "text", "first", "claims"), result_rows, RESULT), "kept-words")
+    unstage(flagged, claims)
+    return results
 
 
 def _all_verified(texts: Texts, results: DataFrame) -> bool:
