@@ -17,10 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_arrow, ship
+from .common import id_and_text, map_arrow
 
 #: Texts in which frequent pre-tokens are counted at most, and characters of each.
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
+SAMPLE, SAMPLE_CHARS = 1000, 10_000
 #: Pre-tokens a worker keeps beside the broadcast table; a full cache is emptied.
 CACHE_ENTRIES = 800_000
 #: Longer pre-tokens aren't cached.
@@ -96,20 +96,15 @@ class Counter:
 
 
 def frequent_lengths(docs: DataFrame, path: str, entries: int) -> dict[str, int]:
-    """The most frequent pre-tokens of a sample of at most SAMPLE texts (column text), with the number of tokens each takes."""
-
-    def run(batches):
-        counter, counts = Counter(path, {}), Counts()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for part in counter.parts(text):
-                    counts.update(counter.pieces(part))
-        found = [(x, n) for x, n in counts.most_common(entries) if len(x) <= CACHE_CHARS]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([counter.lengths[x] for x, _ in found], pa.int32())], ["piece", "n"])
-
-    ship(docs.sparkSession)
-    sample = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text is not null").limit(SAMPLE)  # one task
-    return {r["piece"]: r["n"] for r in sample.mapInArrow(run, "piece string, n int").collect()}  # `entries` rows at most
+    """The most frequent pre-tokens of the first SAMPLE texts (column text) that come, with the number of tokens each takes.
+
+    The driver counts them: it gets SAMPLE x SAMPLE_CHARS characters at most, of as few partitions as hold so many texts.
+    """
+    counter, counts = Counter(path, {}), Counts()
+    for r in docs.where("text is not null").select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).take(SAMPLE):
+        for part in counter.parts(r["text"]):
+            counts.update(counter.pieces(part))
+    return {x: counter.lengths[x] for x, _ in counts.most_common(entries) if len(x) <= CACHE_CHARS}
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, frequent: int = 100_000) -> DataFrame:
