@@ -75,7 +75,9 @@ def shared(order: np.ndarray, posted: np.ndarray, pivots: int) -> np.ndarray:
 def draw(vectors: DataFrame, n: int, count: int, index: Index) -> Pivots:
     """Pivots of the vectors of length n: the first, by a hash of the value, of a bounded sample."""
     most = min(MOST_SAMPLE, max(index.pivots, math.ceil(count * index.post / index.file)))
-    rows = vectors.where(F.col("n") == n).orderBy("v1", "v2").limit(max(LEAST_SAMPLE, most)).select("vector").collect()
+    size = max(LEAST_SAMPLE, most)
+    low = F.col("v1") < -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * size // max(1, count))  # some four times as many, not each task's first
+    rows = vectors.where((F.col("n") == n) & low).orderBy("v1", "v2").limit(size).select("vector").collect()
     found = np.array([r["vector"] for r in rows], np.float64)  # distinct, and v1 is a hash
     at = found[:most]
     return Pivots(at, orders(found[:GAUGE], at, min(index.prefix, len(at))))
