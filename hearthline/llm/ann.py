@@ -36,9 +36,9 @@ class Index(NamedTuple):
 
     pivots: int = 256
     prefix: int = 64
-    post: int = 2
-    probe: int = 96
-    share: float = 0.08
+    post: int = 4
+    probe: int = 128
+    share: float = 0.2
     file: int = 16_384
 
 
