@@ -76,14 +76,14 @@ class Rules:
     def linked(self, b: Block) -> bool:
         return b.links > self.max_link_density * len(b.text)
 
-    def label(self, b: Block, main: bool, known: bool) -> int:
-        """1 good, -1 bad, 0 open. main: a content container that is trusted vouches for it."""
+    def label(self, b: Block, main: bool, density: float | None) -> int:
+        """1 good, -1 bad, 0 open. main: a content container that is trusted vouches for it. density: of stop words, if they are known."""
         n = len(b.text)
         if self.linked(b):
             return -1
-        density = stop_density(b.text) if known else self.stop_high
         if main:
-            return 1 if n >= self.length_low or density >= self.stop_high and known else 0
+            return 1 if n >= self.length_low or (density or 0) >= self.stop_high else 0
+        density = self.stop_high if density is None else density
         if n < self.length_low:
             return 0 if b.links == 0 else -1
         if density >= self.stop_high:
@@ -91,9 +91,10 @@ class Rules:
         return 0 if density >= self.stop_low else -1
 
 
-def stop_density(text: str) -> float:
+def stop_counts(text: str) -> tuple[int, int]:
+    """Stop words, and all words."""
     found = WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in found) / max(1, len(found))
+    return sum(map(STOP_WORDS.__contains__, found)), len(found)
 
 
 def named(label: str, names: re.Pattern) -> bool:
@@ -294,12 +295,14 @@ def choose(found: list[Block], rules: Rules) -> list[int]:
 
 def _choose(found: list[Block], rules: Rules) -> list[int]:
     live = [b for b in found if not rules.linked(b)]
-    known = stop_density(" ".join(b.text for b in live)) >= rules.known
-    plain = [rules.label(b, False, known) for b in found]
+    counts = [(0, 1) if rules.linked(b) else stop_counts(b.text) for b in found]
+    known = sum(s for s, _ in counts) >= rules.known * sum(n for _, n in counts)
+    density = [s / max(1, n) if known else None for s, n in counts]
+    plain = [rules.label(b, False, d) for b, d in zip(found, density, strict=True)]
     inside = sum(len(b.text) for b in live if b.main)
     outside = sum(len(b.text) for b, x in zip(found, plain, strict=True) if x == 1 and not b.main)
     if inside and inside >= outside:  # a container with most of the good text is trusted, and what lies outside it is boilerplate
-        labels = [rules.label(b, True, known) if b.main else -1 for b in found]
+        labels = [rules.label(b, True, d) if b.main else -1 for b, d in zip(found, density, strict=True)]
         if 1 not in labels:
             labels = [1 if x == 0 else x for x in labels]
         return _spread(found, labels, True)
