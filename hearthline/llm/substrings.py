@@ -285,11 +285,11 @@ class Texts:
 
     def __init__(self, rows: DataFrame):
         self.spark = rows.sparkSession
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # as many as the aggregate's, so a task writes whole buckets
         self.name = f"hearthline_texts_{uuid.uuid4().hex}"
         self.path = f"{shared_dir(self.spark)}/hearthline/{self.name}"
         each = rows.groupBy("tid").agg(F.min("doc").alias("first"), F.min("check").alias("check"), F.max("check").alias("other"), F.first("text").alias("text"))
-        each.repartition(buckets, "tid").write.bucketBy(buckets, "tid").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+        each.write.bucketBy(buckets, "tid").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
         self.table = self.spark.table(self.name)
         ordered = self.table.select("tid", "first").repartitionByRange("first", "tid").sortWithinPartitions("first", "tid")
         places = staged(ordered.select("tid", "first", F.monotonically_increasing_id().alias("id")), "text-order")
