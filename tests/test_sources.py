@@ -161,4 +161,27 @@ def test_stream(spark, tmp_path):
     for k, price in enumerate((1.0, 2.0)):
         spark.createDataFrame([("a", "1", price, datetime(2024, 1, 1 + k)), ("a", str(k + 2), 5.0, datetime(2024, 1, 1 + k))], schema).write.mode("append").parquet(str(tmp_path / "in"))
         merge_stream(spark, str(tmp_path / "in"), schema, load, store, str(tmp_path / "checkpoint")).awaitTermination()
-    assert {r.source_listing_id: (r.price, r.is_active) for r in load().collect()} == {"1": (2.0, True), "2": (5.0, True), "3": (5.0, True)}
+    want = {"1": (2.0, True), "2": (5.0, True), "3": (5.0, True)}
+    assert {r.source_listing_id: (r.price, r.is_active) for r in load().collect()} == want
+    merge_stream(spark, str(tmp_path / "in"), schema, load, store, str(tmp_path / "again")).awaitTermination()  # the same files once more
+    assert {r.source_listing_id: (r.price, r.is_active) for r in load().collect()} == want
+
+
+def test_agencies_reach_the_registry(spark):
+    page = '<title>Renta de Casa en X, Cali, Valle</title><meta content="Cali" name="municipio"><meta content="2000000" name="precio">'
+    url = "https://century21colombia.com/propiedad/5_casa"
+    agencies = spark.createDataFrame([(url, "Century Sur", "6021234567")], "url string, agency string, phone string")
+    pages = payloads(spark, (url, page), source="century21")
+    (row,) = registry.normalize_all(pages, agencies=agencies).collect()
+    assert (row.agency, row.phone) == ("Century Sur", "6021234567")
+    assert registry.normalize_all(pages).first().agency is None
+
+
+def test_payloads_are_kept_by_source(spark, tmp_path):
+    from hearthline.sources.stored import read_payloads, write_payloads
+
+    both = payloads(spark, ("u", "a"), source="bienco").unionByName(payloads(spark, ("v", "b"), source="mitula"))
+    write_payloads(both, f"{tmp_path}/p")
+    again = read_payloads(spark, f"{tmp_path}/p")
+    assert sorted((r.source, r.url, r.body) for r in again.collect()) == [("bienco", "u", "a"), ("mitula", "v", "b")]
+    assert again.where("source = 'mitula'").inputFiles() and "PartitionFilters: [isnotnull(source" in again.where("source = 'mitula'")._jdf.queryExecution().toString()
