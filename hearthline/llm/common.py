@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import discard, shared_dir, staged, unstage
 from ..workers import ship
 
+__all__ = ["SPACES", "discard", "fresh", "id_and_text", "map_arrow", "release", "shared_dir", "ship", "staged", "table", "unstage", "words"]
+
 #: Words everywhere in this subpackage: runs of bytes that are none of these white-space characters.
 SPACES = r"\x20\x09-\x0D"
 
@@ -38,39 +39,6 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where that is unset, a fresh one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs start there, and no lost executor takes it along."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hearthline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder that nothing reads any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def unstage(*tables: DataFrame) -> None:
-    """Delete the files of staged tables; nothing that still has to run may read them."""
-    for df in tables:
-        discard(df.sparkSession, df.staged_at)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are no longer referred to, rather than at some later collection."""
     for _ in range(2):  # the first finds what Python held, the second what that held
