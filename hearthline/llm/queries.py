@@ -8,6 +8,7 @@ from .ann import search
 from .common import table
 from .decontaminate import LEAK_SQL, leaks
 from .html_text import extract_main_text
+from .merkle import manifest_digests, merkle_sql
 from .mixing import MIX_SQL, mix_sources
 from .quality import score_quality
 from .secrets import scan_secrets
@@ -106,3 +107,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup", REPEATS_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_spans(table(spark, sf_dir, "documents"), window=20)
+
+
+@query("op11_merkle_manifest", merkle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_digests(table(spark, sf_dir, "documents"))
