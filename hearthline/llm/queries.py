@@ -15,6 +15,7 @@ from .secrets import scan_secrets
 from .simhash import label_near_duplicates
 from .substrings import REPEATS_SQL, remove_repeated_spans
 from .tokens import count_tokens
+from .toxicity import score_toxicity
 from .url_filter import Rule, filter_urls
 
 QUERIES: dict = {}
@@ -112,3 +113,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merkle_manifest", merkle_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
