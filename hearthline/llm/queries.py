@@ -17,6 +17,7 @@ from .substrings import REPEATS_SQL, remove_repeated_spans
 from .tokens import count_tokens
 from .toxicity import score_toxicity
 from .url_filter import Rule, filter_urls
+from .whitening import whiten
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +119,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_toxicity")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=16)
