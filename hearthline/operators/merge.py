@@ -40,17 +40,24 @@ def first_of(df: DataFrame, by: Iterable[str], order: Iterable[Column | str]) ->
     return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
-def merge_snapshot(old: DataFrame, batch: DataFrame, deactivate: bool = True, scope: tuple[str, ...] = ("source",)) -> DataFrame:
+def merge_snapshot(old: DataFrame, batch: DataFrame, deactivate: bool = True, scope: tuple[str, ...] = ("source",), in_order: bool = True) -> DataFrame:
     """The new snapshot: old rows updated by the batch's of the same key (all payload columns), and new ones inserted.
 
     batch: the columns of old but first_seen, last_seen, last_verified_at, is_active; plus seen_at, of which the last row of a
     key counts. first_seen is set on insert, last_seen on every change. With `deactivate`, rows that the batch lacks become
     inactive if the batch has any row of their scope (and last_seen moves with them); sources without rows are left alone.
     One full outer join on the key; scopes are a small aggregate.
+
+    Where batches don't arrive in the order of their sightings (in_order=False), a row seen before the stored one's last_seen
+    leaves that one's payload alone, and first_seen is the earliest sighting: the outcome is the same however rows are dealt
+    into batches.
     """
     payload = [c for c in old.columns if c not in (*KEY, "first_seen", "last_seen", "last_verified_at", "is_active")]
     now = first_of(batch, KEY, [F.desc("seen_at"), *payload])
-    seen = now.select(*KEY, F.lit(True).alias("_in"), "seen_at", *(F.col(c).alias(f"_{c}") for c in payload))
+    if not in_order:
+        now = now.join(batch.groupBy(*KEY).agg(F.min("seen_at").alias("_began")), list(KEY))
+    began = F.col("seen_at") if in_order else F.col("_began")
+    seen = now.select(*KEY, F.lit(True).alias("_in"), "seen_at", began.alias("_began"), *(F.col(c).alias(f"_{c}") for c in payload))
     was = old.withColumn("_was", F.lit(True))
     both = was.join(seen, list(KEY), "full_outer")
     if deactivate:
@@ -58,18 +65,26 @@ def merge_snapshot(old: DataFrame, batch: DataFrame, deactivate: bool = True, sc
         both = both.join(scopes, list(scope), "left")
     else:
         both = both.withColumn("_crawled", F.lit(None).cast("timestamp"))
-    hit, known = F.col("_in").isNotNull(), F.col("_was").isNotNull()
-    gone = ~hit & F.col("is_active") & F.col("_crawled").isNotNull()
+    here, known = F.col("_in").isNotNull(), F.col("_was").isNotNull()
+    hit = here if in_order else here & (~known | (F.col("seen_at") >= F.col("last_seen")))
+    gone = ~here & F.col("is_active") & F.col("_crawled").isNotNull()
+    first = F.when(known, F.col("first_seen")).otherwise(F.col("_began"))
     return both.select(
         *KEY,
         *(F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in payload),
-        F.when(known, F.col("first_seen")).otherwise(F.col("seen_at")).alias("first_seen"),
+        (first if in_order else F.least(first, "_began")).alias("first_seen"),
         F.when(hit, F.col("seen_at")).when(gone, F.col("_crawled")).otherwise(F.col("last_seen")).alias("last_seen"),
         "last_verified_at",
         F.when(hit, F.lit(True)).when(gone, F.lit(False)).otherwise(F.col("is_active")).alias("is_active"),
     ).select(*old.columns)
 
 
+def gone_after(snapshot: DataFrame, since: Column, scope: tuple[str, ...] = ("source",)) -> DataFrame:
+    """Keys of the active rows that a crawl since then has not seen, in scopes of which it has rows; with crawled, its last sighting there."""
+    scopes = snapshot.where(F.col("is_active") & (F.col("last_seen") >= since)).groupBy(*scope).agg(F.max("last_seen").alias("crawled"))
+    return snapshot.where(F.col("is_active") & (F.col("last_seen") < since)).join(scopes, list(scope)).select(*KEY, "crawled")
+
+
 def crawl_diff(old: DataFrame, batch: DataFrame, scope: tuple[str, ...] = ("source",)) -> DataFrame:
     """source, listed, inserted, updated, deactivated of one crawl."""
     now = batch.select(*KEY).distinct()

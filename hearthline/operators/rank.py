@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, slack_km
 from ..functions.text import norm, norm_text, positive
+from .numbering import number_rows
 
 # Barrios and comunas of the default zone, and the city it belongs to.
 SOUTHERN_ZONES = (
@@ -80,16 +81,17 @@ def with_driving(evaluated: DataFrame, driving: DataFrame, o: RankOptions) -> Da
 
     A table with origin_lat and origin_lng holds the answers of several points; only those from the options' point count. Rows
     without an answer keep the straight line. Road bounds come after the straight one, which road distances only exceed.
+    Only kept rows with coordinates are joined; dropped ones and those without coordinates go round the shuffle.
     """
     if "origin_lat" in driving.columns:
         driving = driving.where((F.col("origin_lat") == o.lat) & (F.col("origin_lng") == o.lng))
     answers = driving.groupBy("dest_lat", "dest_lng").agg(F.min(F.struct("km", "min")).alias("d")).select(F.col("dest_lat").alias("lat"), F.col("dest_lng").alias("lng"), F.col("d.km").alias("driving_km"), F.col("d.min").alias("driving_min"))
-    joined = evaluated.join(answers, ["lat", "lng"], "left")
-    kept = F.col("reason").isNull()
-    for c in ("driving_km", "driving_min"):
-        joined = joined.withColumn(c, F.when(kept, F.col(c)))
+    asked = F.col("reason").isNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    joined = evaluated.where(asked).join(answers, ["lat", "lng"], "left").select(*evaluated.columns, "driving_km", "driving_min")
     beyond = F.col("driving_km") > o.max_km + slack_km(F.col("geocode_precision"))
-    return joined.withColumn("reason", F.when(kept & beyond, TOO_FAR_BY_ROAD).otherwise(F.col("reason"))).withColumn("distance_km", F.coalesce("driving_km", "distance_km"))
+    joined = joined.withColumn("reason", F.when(beyond, TOO_FAR_BY_ROAD)).withColumn("distance_km", F.coalesce("driving_km", "distance_km"))
+    none = F.lit(None).cast("double")
+    return joined.unionByName(evaluated.where(~asked).withColumns({"driving_km": none, "driving_min": none}))
 
 
 def reasons(evaluated: DataFrame) -> DataFrame:
@@ -134,21 +136,12 @@ def top(scored: DataFrame, n: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *TIES)))  # of n rows
 
 
-#: Steps of the score, from 0 to 1, whose rows are ordered together.
-STEPS = 65_536
-
-
 def rank_all(scored: DataFrame) -> DataFrame:
-    """Every row with its rank, without putting all rows into one task: the place among the rows of its step of the score, after
-    the rows of all better steps. The steps' counts are STEPS rows at most, summed up and broadcast; rows of one score share a step.
+    """Every row with its rank, best score first and ties by source and id, without putting all rows, or all of one score, into one
+    task: rows are dealt into ranges of (score, source, id), and a rank is a place in its range after the counts of better ranges.
     """
-    step = F.coalesce(F.floor(F.col("score") * STEPS).cast("int"), F.lit(-1))
-    stepped = scored.withColumn("_step", step)
-    better = Window.orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)  # of STEPS rows
-    before = stepped.groupBy("_step").count().select("_step", F.coalesce(F.sum("count").over(better), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_step").orderBy(F.desc("score"), *TIES))
-    placed = stepped.withColumn("_place", inside).join(F.broadcast(before), "_step")
-    return placed.select(*scored.columns, (F.col("_before") + F.col("_place")).alias("rank"))
+    placed = number_rows(scored, [F.desc("score"), *TIES], name="_place")
+    return placed.select(*scored.columns, (F.col("_place") + 1).alias("rank"))
 
 
 def best_score(scored: DataFrame) -> DataFrame:

@@ -44,6 +44,27 @@ def crawl_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_snapshot(_old(rows), _batch(rows)).select(*merge.KEY, "price", "first_seen", "last_seen", "is_active")
 
 
+_STREAMED = ORACLES["crawl_merge"].replace("now_ AS (", "began AS (SELECT source, source_listing_id, min(seen_at) AS began FROM batch GROUP BY 1, 2), now_ AS (").replace("coalesce(o.first_seen, n.seen_at)", "least(o.first_seen, b.began)").replace("LEFT JOIN crawled", "LEFT JOIN began b USING (source, source_listing_id) LEFT JOIN crawled")
+
+
+@query("crawl_streamed", _STREAMED)
+def crawl_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same crawl in four batches that arrive out of order, merged into a store of 16 buckets; then what it hasn't seen is gone."""
+    from ..sources.snapshot_store import SnapshotStore
+    from ..staging import new_folder
+    from ..streaming.ingest import merge_stream_into
+
+    rows = _rows(spark, sf_dir)
+    batch, at = _batch(rows.withColumn("k", F.pmod(F.xxhash64("event_id"), F.lit(4)))), new_folder(spark, "streamed")
+    batch.repartition(4, "k").drop("k").write.parquet(f"{at}/incoming")
+    store = SnapshotStore.create(_old(rows), f"{at}/store", n_buckets=16)
+    merge_stream_into(store, f"{at}/incoming", batch.drop("k").schema, f"{at}/checkpoint", files=1).awaitTermination()
+    began = rows.where(F.dayofmonth("seen_at") == DAY).agg(F.date_trunc("day", F.min("seen_at")).alias("t")).first()["t"]  # one row
+    if began is not None:
+        store.end_crawl(F.lit(began))
+    return store.read().select(*merge.KEY, "price", "first_seen", "last_seen", "is_active")
+
+
 @query("crawl_diff", f"""WITH {_EVENTS_CTE}, l AS (SELECT source, count(*) AS listed, count(DISTINCT source_listing_id) AS ids FROM batch GROUP BY source),
 i AS (SELECT source, count(*) AS inserted FROM now_ ANTI JOIN old USING (source, source_listing_id) GROUP BY source), d AS (SELECT source, count(*) AS deactivated FROM old ANTI JOIN now_ USING (source, source_listing_id) GROUP BY source)
 SELECT source, listed, coalesce(inserted, 0) AS inserted, ids - coalesce(inserted, 0) AS updated, coalesce(deactivated, 0) AS deactivated FROM l LEFT JOIN i USING (source) LEFT JOIN d USING (source)""")
