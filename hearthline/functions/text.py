@@ -21,10 +21,13 @@ def _accents() -> tuple[str, str]:
 
 
 def norm(s: Column) -> Column:
-    """Without accents, lower-cased, white space collapsed and trimmed; '' for null."""
+    """Without accents, lower-cased, white space collapsed and trimmed; '' for null. Plain ASCII has no accents to look for."""
     letters, bases = _accents()
-    plain = F.regexp_replace(F.translate(F.coalesce(s, F.lit("")), letters, bases), "[̀-ͯ]", "")
-    return F.btrim(F.regexp_replace(F.lower(plain), "(?U)[\\s﻿]+", " "))
+    s = F.coalesce(s, F.lit(""))
+    ascii_only = F.octet_length(s) == F.length(s)
+    plain = F.lower(F.regexp_replace(F.translate(s, letters, bases), "[̀-ͯ]", ""))
+    spaced = F.when(ascii_only, F.regexp_replace(F.lower(s), r"[\t-\r]\s*| \s+", " ")).otherwise(F.regexp_replace(plain, "(?U)[\\s﻿]+", " "))
+    return F.btrim(spaced)
 
 
 def norm_text(s: str | None) -> str:

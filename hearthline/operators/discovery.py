@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import count_word, first_match, once
 from ..functions.text import norm, norm_text
 from ..functions.urls import root_domain
 from .extract import json_ld_blocks
@@ -32,22 +33,23 @@ NO_PORTALS = (
 # Crawlers that a robots file may ban, words of rental pages, signs of the country.
 WATCHED_AGENTS = ("claudebot", "anthropic-ai", "gptbot", "ccbot", "google-extended", "*")
 RELEVANT_WORDS = ("arriendo", "alquiler", "inmobiliaria", "arrendar", "canon")
+# Signs with what one of their matches is sure to hold, so that the pattern is tried only there.
 HOME_SIGNS = (
-    ("estrato", r"\bestratos?\b"),
-    ("NIT", r"\bnit\b"),
-    ("cánon de arrendamiento", r"\bcanon de arrendamiento\b"),
-    ("COP pegado a un importe", r"\d[\d.,]*\s?cop\b|\bcop\s?\d[\d.,]*"),
-    ("Valle del Cauca", r"\bvalle del cauca\b"),
-    ("Jamundí", r"\bjamundi\b"),
-    ("teléfono +57", r"\+57\s?\(?\d{2}|\+57\s?\(\d\)\s?\d"),
-    ("administración junto a un precio", r"administracion[^\n]{0,40}?\d{4,}"),
+    ("estrato", r"\bestratos?\b", ("estrato",)),
+    ("NIT", r"\bnit\b", ("nit",)),
+    ("cánon de arrendamiento", r"\bcanon de arrendamiento\b", ("canon de arrendamiento",)),
+    ("COP pegado a un importe", r"\d[\d.,]*\s?cop\b|\bcop\s?\d[\d.,]*", ("cop",)),
+    ("Valle del Cauca", r"\bvalle del cauca\b", ("valle del cauca",)),
+    ("Jamundí", r"\bjamundi\b", ("jamundi",)),
+    ("teléfono +57", r"\+57\s?\(?\d{2}|\+57\s?\(\d\)\s?\d", ("+57",)),
+    ("administración junto a un precio", r"administracion[^\n]{0,40}?\d{4,}", ("administracion",)),
 )
 FOREIGN_MONEY = (
-    ("mx", r"\d[\d.,]*\s?mxn\b|\bmxn\s?\$?\s?\d"),
-    ("cl", r"\buf\s?\d[\d.,]*\b|\d[\d.,]*\s?uf\b"),
-    ("cl", r"\bclp\$?\s?\d|\d[\d.,]*\s?clp\b"),
-    ("pe", r"\bs/\.?\s?\d"),
-    ("es", r"\d[\d.,]*\s?€|€\s?\d[\d.,]*"),
+    ("mx", r"\d[\d.,]*\s?mxn\b|\bmxn\s?\$?\s?\d", ("mxn",)),
+    ("cl", r"\buf\s?\d[\d.,]*\b|\d[\d.,]*\s?uf\b", ("uf",)),
+    ("cl", r"\bclp\$?\s?\d|\d[\d.,]*\s?clp\b", ("clp",)),
+    ("pe", r"\bs/\.?\s?\d", ("s/",)),
+    ("es", r"\d[\d.,]*\s?€|€\s?\d[\d.,]*", ("€",)),
 )
 FOREIGN_PLACES = (
     ("mx", "jalisco"), ("mx", "guadalajara"), ("mx", "cdmx"), ("mx", "monterrey"), ("cl", "santiago"), ("cl", "las condes"), ("cl", "providencia"), ("cl", "nunoa"), ("ar", "buenos aires"), ("pe", "lima"),
@@ -144,35 +146,32 @@ def relevance(body: Column, cities: Iterable[str] = ()) -> Column:
     names = [re.sub(r"([^a-z0-9 ])", r"\\\1", w) for w in (*RELEVANT_WORDS, *(norm_text(c) for c in cities if norm_text(c)))]
 
     def rate(text: Column) -> Column:
-        hits = sum((F.regexp_count(text, F.lit(rf"\b{w}\b")) for w in names), F.lit(0))
+        hits = sum((count_word(text, w) for w in names), F.lit(0))
         words = F.greatest(F.size(F.split(text, " ")), F.lit(1))
         return F.when(F.length(text) < 20, 0.0).otherwise(F.least(F.lit(1.0), hits / F.sqrt(words) / 3))
 
-    return F.get(F.transform(F.array(norm(body)), rate), F.lit(0))  # a lambda's argument is worked out once, however often it is used
-
-
+    return once(norm(body), rate)
 
 
 def country_verdicts(pages: DataFrame, key: str = "page_id", body: str = "html") -> DataFrame:
     """key, verdict, evidence, signs: "foreign" with two signs or more of one foreign country and none of home, "co" with home
     signs alone, else "unknown". evidence holds six at most.
 
-    The signs are Column expressions over one normalised text, counted by country within the row: no join, no shuffle.
+    The signs are Column expressions over one normalised text, counted by country within the row: no join, no shuffle. A sign's
+    pattern is tried only on texts that hold a literal of it.
     """
     text = F.col("_t")
 
-    def sign(kind: str, pattern: str, label: str | None) -> Column:
-        hit = F.regexp_extract(text, f"({pattern})", 1)
-        said = F.concat(F.lit(f"{kind}: "), F.lit(label)) if label else F.concat(F.lit(f'{kind}: "'), F.btrim(hit), F.lit('"'))
-        return F.when(hit != "", said)
-
-    def found(rules) -> Column:
-        return F.array_compact(F.array(*(F.when(F.col("_t") != "", s) for s in rules))) if rules else F.array().cast("array<string>")
+    def sign(kind: str, pattern: str, literals: tuple[str, ...], label: str | None) -> Column:
+        hit = first_match(text, pattern, literals)
+        said = F.lit(f"{kind}: {label}") if label else F.concat(F.lit(f'{kind}: "'), F.btrim(hit), F.lit('"'))
+        return F.when(hit.isNotNull(), said)
 
-    countries = sorted({c for c, _ in (*FOREIGN_MONEY, *FOREIGN_PLACES)})
-    ordered = list(dict.fromkeys([c for c, _ in FOREIGN_MONEY] + [c for c, _ in FOREIGN_PLACES]))
-    per = {c: found([sign("moneda extranjera", p, None) for k, p in FOREIGN_MONEY if k == c] + [sign("topónimo", rf"\b{w}\b{NOT_AFTER.get(w, '')}", None) for k, w in FOREIGN_PLACES if k == c]) for c in countries}
-    home = found([sign("señal CO", p, label) for label, p in HOME_SIGNS])
+    found = lambda rules: F.array_compact(F.array(*rules))
+    countries = sorted({x[0] for x in (*FOREIGN_MONEY, *FOREIGN_PLACES)})
+    ordered = list(dict.fromkeys([x[0] for x in FOREIGN_MONEY] + [x[0] for x in FOREIGN_PLACES]))
+    per = {c: found([sign("moneda extranjera", p, has, None) for k, p, has in FOREIGN_MONEY if k == c] + [sign("topónimo", rf"\b{w}\b{NOT_AFTER.get(w, '')}", (w,), None) for k, w in FOREIGN_PLACES if k == c]) for c in countries}
+    home = found([sign("señal CO", p, has, label) for label, p, has in HOME_SIGNS])
     signs = pages.select(key, norm(F.col(body)).alias("_t")).select(key, *(per[c].alias(f"_{c}") for c in countries), home.alias("_home"))
     foreign = F.concat(*(F.col(f"_{c}") for c in ordered))
     most = F.greatest(*(F.size(f"_{c}") for c in countries))
@@ -193,26 +192,29 @@ def challenge_signs(headers: Column, body: Column) -> Column:
 def robots_bans(robots: DataFrame) -> DataFrame:
     """domain, fetched, ai_blocked, blocked_agents of robots(domain, text): watched agents whose block holds "Disallow: /".
 
-    Lines are numbered, a block starts at an agent line that follows no agent line, and a running count of such starts names
-    the block. Blank, comment and malformed lines count for nothing.
+    One fold over the array of a text's lines, in its own row: nothing is exploded or shuffled. The state is the block's agents,
+    whether the last line was one of them, and what is banned so far. An agent line after another kind of line begins a new block;
+    blank, comment and malformed lines count for nothing. A ban counts for all agents of its block, and agents are listed in the order of their first lines.
     """
-    line = F.split(F.col("text"), r"\r?\n")
-    rows = robots.select("domain", F.posexplode(line).alias("n", "raw"))
     rule = r"^([A-Za-z-]+)\s*:\s*(.*)$"
-    rows = rows.withColumn("raw", F.btrim("raw", F.lit(" \t\r"))).where(~F.startswith("raw", F.lit("#"))).where(F.col("raw").rlike(rule))
-    rows = rows.select("domain", "n", F.lower(F.regexp_extract("raw", rule, 1)).alias("field"), F.btrim(F.regexp_extract("raw", rule, 2)).alias("value"))
-    w = Window.partitionBy("domain").orderBy("n")
-    agent = F.col("field") == "user-agent"
-    rows = rows.withColumn("starts", (agent & F.coalesce(F.lag("field").over(w) != "user-agent", F.lit(True))).cast("int"))
-    rows = rows.withColumn("block", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    agents = rows.where(agent).select("domain", "block", F.lower("value").alias("agent"), "n")
-    bans = rows.where((F.col("field") == "disallow") & (F.col("value") == "/")).select("domain", "block").distinct()
-    hit = agents.where(F.col("agent").isin(*WATCHED_AGENTS)).join(bans, ["domain", "block"]).groupBy("domain", "agent").agg(F.min("n").alias("n"))
-    lists = hit.groupBy("domain").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "agent"))), lambda x: x["agent"]).alias("blocked_agents"))
+    raw = F.transform(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
+    rules = F.filter(raw, lambda x: ~F.startswith(x, F.lit("#")) & x.rlike(rule))
+    lines = F.transform(rules, lambda x: F.struct(F.lower(F.regexp_extract(x, rule, 1)).alias("field"), F.btrim(F.regexp_extract(x, rule, 2)).alias("value")))
+    none = F.array().cast("array<struct<n:int,agent:string>>")
+    start = F.struct(F.lit(0).alias("n"), none.alias("block"), F.lit(False).alias("open"), none.alias("banned"))
+
+    def step(s: Column, line: Column) -> Column:
+        agent = line["field"] == "user-agent"
+        one = F.struct(s["n"].alias("n"), F.lower(line["value"]).alias("agent"))
+        block = F.when(agent, F.array_append(F.when(s["open"], s["block"]).otherwise(none), one)).otherwise(s["block"])
+        ban = ~agent & (line["field"] == "disallow") & (line["value"] == "/")
+        return F.struct((s["n"] + 1).alias("n"), block.alias("block"), agent.alias("open"), F.when(ban, F.array_union(s["banned"], s["block"])).otherwise(s["banned"]).alias("banned"))
+
+    banned = F.array_sort(F.aggregate(lines, start, step)["banned"])
+    agents = F.array_distinct(F.filter(F.transform(banned, lambda x: x["agent"]), lambda a: a.isin(*WATCHED_AGENTS)))
     read = F.coalesce(F.btrim("text", F.lit(" \t\r\n")) != "", F.lit(False))
-    out = robots.select("domain", read.alias("fetched")).join(lists, "domain", "left")
-    agents_ = F.coalesce("blocked_agents", F.array().cast("array<string>"))
-    return out.select("domain", "fetched", (F.size(agents_) > 0).alias("ai_blocked"), agents_.alias("blocked_agents"))
+    out = robots.select("domain", read.alias("fetched"), agents.alias("blocked_agents"))
+    return out.select("domain", "fetched", (F.size("blocked_agents") > 0).alias("ai_blocked"), "blocked_agents")
 
 
 def recon(homes: DataFrame, robots: DataFrame, cities: Iterable[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import once
 from ..functions.text import norm
 
 # Phrases of pages of adverts that are gone, and paths that a gone advert redirects to.
@@ -23,18 +24,16 @@ def verdicts(responses: DataFrame, markers: tuple[str, ...] = DEAD_MARKERS) -> D
     final = F.coalesce("final_url", "url")
     path = F.lower(F.try_parse_url(final, F.lit("PATH")))
     moved = (final != F.col("url")) & path.isNotNull() & (path.isin("", "/") | reduce(lambda a, b: a | b, (F.contains(path, F.lit(p)) for p in SEARCH_PATHS)))
-    body = norm(F.col("body"))
-    marker = F.get(F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(F.col("_body"), m)), F.lit(0))
+    marker = once(norm(F.col("body")), lambda text: F.get(F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(text, m)), F.lit(0)))
     status = F.col("status").cast("string")
-    reason = (
+    said = (  # fixed values: the texts of the reasons
         F.when(F.col("error").isNotNull(), F.concat(F.lit("fetch error (kept): "), "error"))
         .when(F.col("status").isin(404, 410), F.concat(F.lit("HTTP "), status))
         .when(moved, "redirected to search/index")
         .when(F.col("status") >= 500, F.concat(F.lit("server "), status, F.lit(" (kept)")))
-        .when(F.col("_marker").isNotNull(), F.concat(F.lit('marker: "'), F.col("_marker"), F.lit('"')))
-        .otherwise("ok")
     )
-    judged = responses.withColumn("_body", body).withColumn("_marker", marker).withColumn("reason", reason)
+    read = F.coalesce(F.concat(F.lit('marker: "'), marker, F.lit('"')), F.lit("ok"))  # bodies are read only where nothing else decides
+    judged = responses.withColumn("reason", said.otherwise(read))
     dead = F.col("reason").rlike(r"^(HTTP|redirected|marker)")
     return judged.select("url", (~dead).alias("is_active"), "reason", "status")
 

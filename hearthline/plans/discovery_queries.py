@@ -63,7 +63,18 @@ def page_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAID = """CASE page_id % 8 WHEN 0 THEN ' renta $18,000 MXN en Guadalajara ' WHEN 1 THEN ' estrato 4, NIT 900, cop 1.500.000 ' WHEN 2 THEN ' desde 3.500 UF en Las Condes ' WHEN 3 THEN ' Santiago de Cali ' WHEN 4 THEN ' Lima y Monterrey ' WHEN 5 THEN ' estrato 5 en Santiago ' WHEN 6 THEN ' precio S/ 800 en Lima ' ELSE '' END"""
 
 
-@query("page_country", f"""WITH t AS (SELECT page_id, page_id % 8 AS k FROM pages) SELECT page_id, CASE k WHEN 0 THEN 'foreign' WHEN 1 THEN 'co' WHEN 2 THEN 'foreign' WHEN 6 THEN 'foreign' ELSE 'unknown' END AS verdict, CAST(CASE k WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN 2 ELSE 0 END AS INT) AS signs FROM t""")
+def _country_sql() -> str:
+    """Every sign searched in the page's text. There is no looking ahead in the twin's expressions, so "santiago de cali" is taken out first."""
+    money, home, places = discovery.FOREIGN_MONEY, discovery.HOME_SIGNS, discovery.FOREIGN_PLACES
+    hit = lambda pattern, x="x": f"CAST(regexp_matches({x}, '{pattern}') AS INT)"
+    signs = {c: " + ".join([hit(p) for k, p, _ in money if k == c] + [hit(rf"\b{w}\b", "y" if w in discovery.NOT_AFTER else "x") for k, w in places if k == c]) for c in sorted({k for k, *_ in (*money, *places)})}
+    columns = ", ".join(f"{e} AS n_{c}" for c, e in signs.items())
+    return f"""WITH h AS (SELECT page_id, {NORM.format("coalesce(html, '') || " + _SAID)} AS x FROM pages), t AS (SELECT *, regexp_replace(x, 'santiago\\s+de\\s+cali', ' ', 'g') AS y FROM h),
+s AS (SELECT page_id, {columns}, {" + ".join(hit(p) for _, p, _ in home)} AS home FROM t), f AS (SELECT *, {" + ".join(f"n_{c}" for c in signs)} AS away FROM s)
+SELECT page_id, CASE WHEN home = 0 AND greatest({", ".join(f"n_{c}" for c in signs)}) >= 2 THEN 'foreign' WHEN home > 0 AND away = 0 THEN 'co' ELSE 'unknown' END AS verdict, CAST(home + away AS INT) AS signs FROM f"""
+
+
+@query("page_country", _country_sql())
 def page_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = data.table(spark, sf_dir, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.expr(_SAID)))
     return discovery.country_verdicts(pages).select("page_id", "verdict", "signs")
@@ -72,7 +83,17 @@ def page_country(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROBOTS = r"""'# ' || CAST(page_id AS STRING) || chr(10) || 'User-agent: a' || chr(10) || CASE page_id % 3 WHEN 0 THEN 'User-agent: GPTBot' || chr(10) || chr(10) || 'Disallow: /' WHEN 1 THEN 'Disallow: /x' || chr(10) || 'User-agent: *' || chr(10) || 'Allow: /' || chr(10) || 'Disallow: /' ELSE 'Disallow: /' || chr(10) || 'User-agent: CCBot' || chr(10) || 'Disallow: /private/' END"""
 
 
-@query("robots_bans", "SELECT CAST(page_id AS STRING) AS domain, page_id % 5 <> 0 AS fetched, page_id % 5 <> 0 AND page_id % 3 < 2 AS ai_blocked, CASE WHEN page_id % 5 = 0 THEN '' ELSE CASE page_id % 3 WHEN 0 THEN 'gptbot' WHEN 1 THEN '*' ELSE '' END END AS agents FROM pages")
+_BANNED = f"""WITH r AS (SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN {_ROBOTS} END AS text FROM pages),
+l AS (SELECT page_id, generate_subscripts(x, 1) AS n, trim(unnest(x)) AS raw FROM (SELECT page_id, string_split(text, chr(10)) AS x FROM r)),
+d AS (SELECT page_id, n, lower(regexp_extract(raw, '^([A-Za-z-]+)\\s*:', 1)) AS field, lower(trim(regexp_extract(raw, ':\\s*(.*)$', 1))) AS value FROM l WHERE raw NOT LIKE '#%' AND regexp_matches(raw, '^[A-Za-z-]+\\s*:')),
+o AS (SELECT *, CASE WHEN field = 'user-agent' AND coalesce(lag(field) OVER w <> 'user-agent', true) THEN 1 ELSE 0 END AS starts FROM d WINDOW w AS (PARTITION BY page_id ORDER BY n)),
+b AS (SELECT *, sum(starts) OVER (PARTITION BY page_id ORDER BY n) AS block FROM o),
+a AS (SELECT u.page_id, u.value AS agent, min(u.n) AS n FROM b u JOIN b x ON u.page_id = x.page_id AND u.block = x.block AND x.field = 'disallow' AND x.value = '/' WHERE u.field = 'user-agent' AND u.value IN ({", ".join(f"'{w}'" for w in discovery.WATCHED_AGENTS)}) GROUP BY 1, 2),
+g AS (SELECT page_id, string_agg(agent, ',' ORDER BY n) AS agents FROM a GROUP BY 1)
+SELECT CAST(r.page_id AS STRING) AS domain, coalesce(trim(text) <> '', false) AS fetched, g.agents IS NOT NULL AS ai_blocked, coalesce(g.agents, '') AS agents FROM r LEFT JOIN g USING (page_id)"""
+
+
+@query("robots_bans", _BANNED)
 def robots_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
     robots = data.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("domain"), F.when(F.col("page_id") % 5 != 0, F.expr(_ROBOTS)).alias("text"))
     return discovery.robots_bans(robots).select("domain", "fetched", "ai_blocked", F.array_join("blocked_agents", ",").alias("agents"))
