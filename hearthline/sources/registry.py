@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 from typing import NamedTuple, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import new_folder
 from . import html_portals, json_portals
+from .stored import write_payloads
 
 
 class Normalizer(Protocol):
@@ -53,14 +56,23 @@ def registry_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s.id, s.label, s.tier, s.domain) for s in SOURCES], "id string, label string, tier string, domain string")
 
 
-def normalize_all(payloads: DataFrame, sources: Iterable[Source] = SOURCES, agencies: DataFrame | None = None) -> DataFrame:
+def route_payloads(payloads: DataFrame, sources: Iterable[Source] = SOURCES) -> DataFrame:
+    """The payloads of these sources, read once and written to the shared folder, each source's apart: whoever reads one source then reads
+    its own files alone, as of a table that stored.write_payloads wrote. A source with most of all payloads is so many files more."""
+    spark = payloads.sparkSession
+    wanted = payloads.where(F.col("source").isin(*(s.id for s in sources)))
+    path = new_folder(spark, "payloads")
+    write_payloads(wanted, path)
+    return spark.read.schema(payloads.schema).parquet(path)
+
+
+def normalize_all(payloads: DataFrame, sources: Iterable[Source] = SOURCES, agencies: DataFrame | None = None, apart: bool = False) -> DataFrame:
     """The listings of all sources' payloads in one table. agencies(url, agency, phone): whose the adverts of century21 are.
 
-    Each source reads the payloads of its id. Keep them partitioned by source (stored.write_payloads does), and each reads its
-    own folder alone; of an unpartitioned table each source scans all.
+    The payloads are read once and dealt to files by source (route_payloads), unless they come `apart` already, that is from a
+    table partitioned by source; each source's normaliser reads its own files.
     """
+    sources = tuple(sources)
+    payloads = payloads if apart else route_payloads(payloads, sources)
     parts = [s.normalize(payloads.where(F.col("source") == s.id), **({"agencies": agencies} if s.id == "century21" and agencies is not None else {})) for s in sources]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)

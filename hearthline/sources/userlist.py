@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import csv
+import io
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import area, norm_text, price
 from ..functions.urls import is_web_url
 from ..schemas import as_listing, missing
+from ..staging import staged
+from .records import count_fields, is_open, read_lines, records
 
 # Headers by the column they mean.
 HEADERS = {
@@ -31,25 +34,46 @@ def canonical_header(header: str) -> str | None:
     return next((column for column, names in HEADERS.items() if h in names), None)
 
 
+#: Lines that are looked at for the header's separator, at most.
+HEADER_LINES = 100
+
+
+def sniff_separator(lines: list[str]) -> str:
+    """The separator that the header, which goes on while a quote is open, holds most of outside quotes."""
+    head = next(("\n".join(lines[: k + 1]) for k in range(len(lines)) if sum(x.count('"') for x in lines[: k + 1]) % 2 == 0), lines[0])
+    bare = re.sub(r'"[^"]*"?', "", head)
+    return max(SEPARATORS, key=lambda s: (bare.count(s), -SEPARATORS.index(s)))
+
+
+def unique_names(names: list[str]) -> list[str]:
+    """Names of columns; the second of one name and so on get a number."""
+    seen: dict[str, int] = {}
+    out = []
+    for h in names:
+        seen[h] = seen.get(h, -1) + 1
+        out.append(f"{h}#{seen[h]}" if seen[h] else h)
+    return out
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a delimited file with a header, all text, with n (1-based, blank lines not counted) and _corrupt (the line, if it has too few or too many cells).
+    """The rows of a delimited file, or a folder of its parts, with a header: all text, with n (1-based, blank lines not counted)
+    and _corrupt (the record, if it has too few or too many cells or a quote that stays open).
 
-    The separator is the header line's; only that line is read ahead. Lines keep their order across file splits by zipWithIndex.
+    Quoted cells may hold separators, line breaks and doubled quotes, across file splits too (see records.py). The separator is
+    that of the header; only its lines are read ahead.
     """
-    lines = spark.read.text(path).where(F.btrim("value", F.lit(" \t\r")) != "")
-    first = lines.limit(1).collect()
+    lines = read_lines(spark, path)
+    first = lines.where(F.btrim("value", F.lit(" \t\r")) != "").orderBy("file", "block", "at").limit(HEADER_LINES).collect()
     if not first:
         return spark.createDataFrame([], f"n bigint, {CORRUPT} string")
-    head = first[0]["value"].lstrip("﻿")
-    sep = max(SEPARATORS, key=lambda s: (head.count(s), -SEPARATORS.index(s)))
-    names = [h.strip() for h in next(csv.reader([head], delimiter=sep))]
-    taken: dict[str, int] = {}
-    unique = [f"{h}#{taken[h]}" if taken.setdefault(h, -1) >= 0 else h for h in names if (taken.update({h: taken.get(h, -1) + 1}) or True)]
-    numbered = lines.rdd.map(lambda r: r[0]).zipWithIndex().filter(lambda x: x[1] > 0).toDF(T.StructType([T.StructField("line", T.StringType()), T.StructField("n", T.LongType())]))
-    schema = ", ".join(f"`{h}` string" for h in unique)
-    cells = F.from_csv("line", schema, {"sep": sep, "mode": "PERMISSIVE"})
-    count = F.size(F.split("line", "\\" + sep if sep == "|" else sep, -1))
-    return numbered.select("n", F.when((count != len(names)) & ~F.contains("line", F.lit('"')), F.col("line")).alias(CORRUPT), cells.alias("x")).select("n", CORRUPT, "x.*")
+    sep = sniff_separator([r["value"] for r in first])
+    found = staged(records(lines, sep), "list-records")
+    head = found.where("n = 0").first()["record"]
+    names = [h.strip() for h in next(csv.reader(io.StringIO(head), delimiter=sep))]
+    schema = ", ".join(f"`{h.replace('`', '``')}` string" for h in unique_names(names))
+    cells = F.from_csv("record", schema, {"sep": sep, "mode": "PERMISSIVE", "escape": '"'})
+    bad = F.col("cut") | (count_fields(F.col("record"), sep) != len(names)) | is_open(F.col("record"), sep)
+    return found.where("n > 0").select("n", F.when(bad, F.col("record")).alias(CORRUPT), cells.alias("x")).select("n", CORRUPT, "x.*")
 
 
 def listings_from_list(rows: DataFrame) -> DataFrame:
