@@ -3,8 +3,9 @@
 The patterns find assignments to password-like names, access keys and long hexadecimal runs. The novelty scan takes every
 other run of key characters that stands near a sensitive word, and measures what it adds to the compressed size of the text
 around it, with a zstandard dictionary trained on code: words, paths and names that the surroundings or the dictionary know, or
-whose letters are as common as theirs, add little, random keys add nearly all their bytes. Those over a line in their length,
-fitted on ordinary compounds and random keys, are reported; no length or kind of character is asked for beside that.
+whose letters are as common as theirs, add little, random keys add nearly all their bytes. Those over a line in their length and
+in how often their kind of character changes, fitted on ordinary strings and random keys, are reported; of fixed forms, only UUIDs
+are taken for names.
 """
 
 from __future__ import annotations
@@ -30,24 +31,46 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
-SENSITIVE = re.compile(r"(?<![A-Za-z])(?i:secret|token|password|passwd|passw|pwd|passphrase|credential|private|auth|authorization|bearer|signature|api|apikey|key|salt|cookie|session)s?(?![a-z])", re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
+SENSITIVE_WORDS = ("secret", "token", "password", "passwd", "passw", "pass", "pwd", "passphrase", "credential", "private", "auth", "authorization", "bearer", "signature", "api", "apikey", "key", "salt", "cookie", "session")
+UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+
+
+def _names(words: tuple[str, ...]) -> re.Pattern:
+    """The words by themselves or as parts of names: in small letters or with a capital, up to a change of case (accessKey,
+    authToken), or in capitals (DB_PASS). A word that goes on in letters of its own case is another one."""
+    way = lambda f: "|".join(map(f, words))
+    return re.compile(rf"(?<![A-Za-z])(?:{way(str)})s?(?![a-z])|(?:{way(str.capitalize)})s?(?![a-z])|(?<![A-Za-z])(?:{way(str.upper)})S?(?![A-Za-z])", re.A)
+
+
+SENSITIVE = _names(SENSITIVE_WORDS)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")  # an equals sign pads a key at its end; before one stands a name
 #: Bytes of the dictionary; of a sample of code, and from one sample to the next; words that go into samples too, and times they occur at least.
 DICTIONARY, SNIPPET, STEP, WORDS, TIMES = 65_536, 256, 1024, 20, 8
 
 
 class Novelty(NamedTuple):
-    """Parameters of the novelty scan: characters of context before and after, and the line over which the bytes count that n
-    characters add: base + slope n + short / n (few characters may add more than they are, by rounding)."""
+    """Parameters of the novelty scan: characters of context before and after, and the line over which the bytes count that a
+    candidate of n characters adds: slope n + short / n (few characters may add more than they are, by rounding).
+
+    What changes little between kinds of characters needs more, up to slope + steep x knee a character: digits and separators
+    compress badly but make no secret by themselves, as in dates, ranges and numbers of books, norms and telephones."""
 
     before: int = 96
     after: int = 32
-    base: float = 0.0
     slope: float = 0.78
     short: float = 6.0
+    knee: float = 0.4
+    steep: float = 1.2
+
+    def line(self, candidate: str) -> float:
+        n = len(candidate)
+        return n * (self.slope + self.steep * max(0.0, self.knee - switches(candidate))) + self.short / n
+
 
-    def line(self, n: int) -> float:
-        return self.base + self.slope * n + self.short / n
+def switches(candidate: str) -> float:
+    """The share of neighbours that are of different kinds: small letters, capitals, digits."""
+    kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in candidate]
+    return sum(a != b and a < 3 and b < 3 for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, len(kinds) - 1)
 
 
 def identifier_dictionary() -> bytes:
@@ -100,7 +123,7 @@ class Scanner:
             k = bisect_left(starts, end) - 1  # base spans up to this one start before its end
             if k >= 0 and reach[k] > start:
                 continue
-            if self.added(text, start, end) > self.novelty.line(end - start):
+            if self.added(text, start, end) > self.novelty.line(m[0]) and not UUID.fullmatch(m[0]):
                 out.append((start, 3, end))
         return out
 
