@@ -2,8 +2,9 @@
 
 A page is cut into blocks at block-level tags. Pass one labels each block good or bad from its stop-word density, its length
 and its link density; short blocks that these do not decide stay open. In pass two an open block takes the label of the
-nearest decided block around it. What stands in navigation, header, footer, sidebar, form, script and similar containers, or
-in one whose class or id says advert, notice, menu, comments and so on, is boilerplate whatever its words are. A content
+nearest decided block around it. What stands in navigation, header, footer, sidebar, script and similar containers, or
+in one whose class or id says advert, notice, menu, comments and so on, is boilerplate whatever its words are, and so is what stands in a form,
+unless the form wraps the page: then only its fields and buttons are. A content
 container (article, main and the like) vouches for its blocks only if it holds most of what the block rules call good; and where
 stop words say nothing (another language, code), length and links decide alone.
 """
@@ -24,7 +25,7 @@ from .common import map_arrow
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul title caption".split()
 )
-SKIP_TAGS = frozenset("head script style noscript template iframe svg math canvas object audio video select textarea button nav footer aside form dialog menu".split())
+SKIP_TAGS = frozenset("head script style noscript template iframe svg math canvas object audio video select textarea button label nav footer aside dialog menu".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -47,6 +48,7 @@ STOP_WORDS = frozenset(
     ).split()
 )
 
+HREF = re.compile(r"(?<![\w-])href\s*=\s*(?:\"\s*[^\"\s]|'\s*[^'\s]|[^\s\"'>])", re.I)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORD = re.compile(r"\w+")
@@ -56,13 +58,15 @@ _SPACE = re.compile(r"\s*")
 
 
 class Block(NamedTuple):
-    """links: characters inside links. skipped: by its tags; named: by a container's name; main: in a content container."""
+    """links: characters inside links. skipped: by its tags; named: by a container's name; main: in a content container; form: the
+    number of the form around it (0: none)."""
 
     text: str
     links: int
     skipped: bool
     named: bool
     main: bool
+    form: int
     heading: bool
 
 
@@ -154,23 +158,24 @@ class _Page:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in its order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open containers: tag, skipped, named, main
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # open containers: tag, skipped, named, main, form
     parts: list[str] = []
-    link_chars = at = 0
-    in_link = heading = False
+    link_chars = at = forms = 0
+    link_depth = -1  # containers around the open link; -1: there is none
+    heading = False
     scan = _Page(page)
 
     def text(piece: str) -> None:
         nonlocal link_chars
         parts.append(piece)
-        if in_link:
+        if link_depth >= 0:
             link_chars += len(piece.strip())
 
     def close() -> None:
         nonlocal link_chars
         joined = " ".join(html.unescape("".join(parts)).split())
         if joined:
-            out.append(Block(joined, link_chars, *(stack[-1][1:] if stack else (False, False, False)), heading))
+            out.append(Block(joined, link_chars, *(stack[-1][1:] if stack else (False, False, False, 0)), heading))
         parts.clear()
         link_chars = 0
 
@@ -204,7 +209,7 @@ def blocks(page: str) -> list[Block]:
         at = over + 1
         if ending:
             if tag == "a":
-                in_link = False
+                link_depth = -1
             if tag in BLOCK_TAGS or tag in SKIP_TAGS:
                 close()
                 if tag in HEADINGS:
@@ -213,9 +218,11 @@ def blocks(page: str) -> list[Block]:
                     if stack[k][0] == tag:
                         del stack[k:]
                         break
+                if len(stack) < link_depth:  # a link ends with the container that it began in
+                    link_depth = -1
             continue
-        if tag == "a":
-            in_link = True
+        if tag == "a":  # one without a target is an anchor, and any ends the one before
+            link_depth = len(stack) if HREF.search(attributes) else -1
         elif tag == "br":
             parts.append("\n")
         elif tag in BLOCK_TAGS or tag in SKIP_TAGS:
@@ -224,28 +231,34 @@ def blocks(page: str) -> list[Block]:
                 heading = True
             elif tag in ("p", "li") and stack and stack[-1][0] == tag:  # a paragraph ends the one before
                 stack.pop()
+                if len(stack) < link_depth:
+                    link_depth = -1
             if tag in RAW_TAGS:  # nothing inside is text; without an end tag, a self-closed one is empty
                 over = scan.close_tag(tag, at)
                 at = over if over >= 0 else at if attributes.endswith("/") else len(page)
                 continue
             if tag in VOID_TAGS:
                 continue
-            _, skipped, by_name, main = stack[-1] if stack else ("", False, False, False)
+            _, skipped, by_name, main, form = stack[-1] if stack else ("", False, False, False, 0)
             names = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(attributes)} if attributes else {}
             label = f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".lower()
             skipped |= tag in SKIP_TAGS or "hidden" in names or names.get("aria-hidden") == "true" or bool(HIDDEN.search(names.get("style", "")))
+            if tag == "form":
+                skipped |= form > 0  # a form inside a form
+                forms += 1
+                form = form or forms
             if tag not in ("html", "body", "main", "article") and label.strip():
                 by_name |= named(label, BOILERPLATE)
             if tag in MAIN_TAGS or names.get("itemprop") == "articleBody" or (not skipped and not by_name and tag != "body" and main_named(label)):
                 main = True
             if not main and (tag == "header" or any(t.endswith("header") for t in label.split())):  # an article's own header holds its title
                 skipped = True
-            stack.append((tag, skipped, by_name, main))
+            stack.append((tag, skipped, by_name, main, form))
     close()
     return out
 
 
-def _spread(found: list[Block], labels: list[int], main: bool) -> list[int]:
+def _spread(found: list[Block], labels: list[int], main: bool, low: int) -> list[int]:
     """Pass two: each open block takes the label of the nearest decided one; inside a container only its own blocks count."""
     before, last = [-1] * len(found), -1
     for k, x in enumerate(labels):
@@ -264,7 +277,9 @@ def _spread(found: list[Block], labels: list[int], main: bool) -> list[int]:
             final[k] = 1 if main and found[k].main else -1
         elif left < 0 or right >= 0 and (found[k].heading or right - k < k - left):  # a heading goes with what follows it
             final[k] = labels[right]
-        else:  # as near to both: it continues what stands before it
+        elif right - k == k - left and len(found[k].text) >= low:  # as near to both: one of some length is good if either is
+            final[k] = max(labels[left], labels[right])
+        else:  # a shorter one continues what stands before it
             final[k] = labels[left]
     return final
 
@@ -282,8 +297,19 @@ def _longest_run(found: list[Block], usable: list[bool]) -> list[int]:
     return [1 if k in best else -1 for k in range(len(found))]
 
 
+def judge_forms(found: list[Block], rules: Rules) -> list[Block]:
+    """The blocks with those of forms skipped, but for a form that wraps the page: one with more than half of all text in blocks of some length."""
+    solid: dict[int, int] = {}
+    for b in found:
+        if not (b.skipped or b.named or rules.linked(b)) and len(b.text) >= rules.length_low:
+            solid[b.form] = solid.get(b.form, 0) + len(b.text)
+    wraps = {f for f, n in solid.items() if 2 * n > sum(solid.values())}
+    return [b._replace(skipped=True) if b.form and b.form not in wraps else b for b in found]
+
+
 def choose(found: list[Block], rules: Rules) -> list[int]:
     """1 for each block of the article, -1 for each other. What stands in boilerplate containers is no neighbour either."""
+    found = judge_forms(found, rules)
     own = [k for k, b in enumerate(found) if not (b.skipped or b.named)]
     out = [-1] * len(found)
     for k, x in zip(own, _choose([found[k] for k in own], rules), strict=True):
@@ -305,10 +331,10 @@ def _choose(found: list[Block], rules: Rules) -> list[int]:
         labels = [rules.label(b, True, d) if b.main else -1 for b, d in zip(found, density, strict=True)]
         if 1 not in labels:
             labels = [1 if x == 0 else x for x in labels]
-        return _spread(found, labels, True)
+        return _spread(found, labels, True, rules.length_low)
     if 1 not in plain:  # open blocks of some length stand for good ones
         plain = [1 if x == 0 and len(b.text) >= rules.length_low else x for b, x in zip(found, plain, strict=True)]
-    return _spread(found, plain, False) if 1 in plain else _longest_run(found, [not b.links for b in found])
+    return _spread(found, plain, False, rules.length_low) if 1 in plain else _longest_run(found, [not b.links for b in found])
 
 
 def main_text(page: str | None, rules: Rules | None = None) -> str:
