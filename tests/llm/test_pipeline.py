@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hearthline.llm import simhash
-from tests.llm.test_operators import components, plain_base, plain_fingerprint, prose
+from tests.llm.test_operators import plain_base, prose
+from tests.llm.test_resemblance import plain_kept
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def near_copy(text, rng, changes):
+    words = text.split()
+    for _ in range(changes):
+        words[rng.randrange(len(words))] = rng.choice(["river", "anchor", "Paris"])
+    return " ".join(words)
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     rng = random.Random(1)
@@ -27,6 +35,7 @@ def corpus(spark, tmp_path_factory):
             text += " token = 0123456789abcdef0123456789"
         rows.append((i, text))
     rows += [(300 + k, rows[k * 7 + 1][1]) for k in range(10)]
+    rows += [(400 + k, near_copy(rows[k * 11 + 3][1], rng, changes)) for k, changes in enumerate((1, 1, 2, 3, 4, 6, 9, 14))]  # on both sides of 0.8
     at = tmp_path_factory.mktemp("sf")
     spark.createDataFrame([(i, t, ("en", "de", "fr")[i % 3], f"src{i % 5}", len(t)) for i, t in rows], DOCS).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(i, int(i % 8 != 0), 0) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
@@ -47,8 +56,7 @@ def test_stages(spark, corpus):
     good = {i for i in texts if "***" not in texts[i]}
     kept = set(frames["quality"])
     assert len(kept ^ good) <= 3
-    fps = [plain_fingerprint(texts[i]) for i in sorted(kept)]
-    assert set(frames["near_duplicates"]) == set(components(sorted(kept), fps, 2))
+    assert set(frames["near_duplicates"]) == set(plain_kept([(i, texts[i]) for i in sorted(kept)]))
     assert set(frames["decontamination"]) == {i for i in frames["near_duplicates"] if item not in texts[i]}
     assert set(frames["secrets"]) == set(frames["decontamination"])
     for i, r in frames["secrets"].items():
