@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import count_word, first_match, once
@@ -13,6 +13,7 @@ from ..functions.text import norm, norm_text
 from ..functions.urls import root_domain
 from .extract import json_ld_blocks
 from .merge import upsert
+from .numbering import number_rows
 
 # Domains that are excluded and why, country suffixes of foreign domains, and domains that are no portals.
 EXCLUDED = {
@@ -67,13 +68,32 @@ def hits_from_results(results: DataFrame) -> DataFrame:
     return parsed.where("x.link is not null and x.link <> ''").select("query", "engine", "pos", F.col("x.link").alias("url"), text("x.title").alias("title"), text("x.description").alias("snippet"))
 
 
+def _tagged(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("domain", root_domain(F.col("url"))).where("domain is not null and domain <> ''")
+
+
 def by_domain(hits: DataFrame, order: Iterable[str] = ("query", "url")) -> DataFrame:
-    """domain, mention_count, found_via (its hits in order), distinct queries and first_seen of hits(query, engine, url, title); unparseable URLs are left out."""
-    order = list(order)
-    tagged = hits.withColumn("domain", root_domain(F.col("url"))).where("domain is not null and domain <> ''")
-    via = F.struct(*order, *(c for c in ("query", "url", "title", "engine") if c not in order))
-    grouped = tagged.groupBy("domain").agg(F.count("*").alias("mention_count"), F.sort_array(F.collect_list(via)).alias("found_via"), F.array_sort(F.collect_set("query")).alias("queries"), F.min(F.struct(*order)).alias("first_seen"))
-    return grouped
+    """domain, mention_count, its distinct queries and first_seen of hits(query, engine, url, title); unparseable URLs are left out.
+
+    The hits themselves stay rows, which domain_hits numbers: no domain's are gathered. queries are those of the searches made.
+    """
+    return _tagged(hits).groupBy("domain").agg(F.count("*").alias("mention_count"), F.array_sort(F.collect_set("query")).alias("queries"), F.min(F.struct(*order)).alias("first_seen"))
+
+
+def domain_hits(hits: DataFrame, order: Iterable[str] = ("query", "url")) -> DataFrame:
+    """domain, place (from 1, in the order) and query, url, title, engine of each hit. A domain with a third of all hits is as many
+    tasks as it needs: places are counted over ranges of (domain, order)."""
+    rows = _tagged(hits).select("domain", "query", "url", "title", "engine")
+    placed = number_rows(rows, [*order, *(c for c in ("query", "url", "title", "engine") if c not in order)], ["domain"])
+    return placed.select("domain", (F.col("place") + 1).alias("place"), "query", "url", "title", "engine")
+
+
+def with_found_via(candidates: DataFrame, hits: DataFrame) -> DataFrame:
+    """A few candidates, such as those to examine, with found_via: the hits of each (as domain_hits has them) in their order, as one array."""
+    few = hits.join(candidates.select("domain"), "domain", "left_semi")
+    names = [c for c in hits.columns if c != "domain"]
+    nested = few.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("found_via"))
+    return candidates.join(nested, "domain", "left")
 
 
 def domain_rules(spark: SparkSession, implemented: Iterable[str]) -> DataFrame:
@@ -141,6 +161,34 @@ def merge_candidates(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("domain", *(value[c].alias(c) for c in names)).select(*old.columns)
 
 
+def merge_candidate_tables(old: DataFrame, old_hits: DataFrame, new: DataFrame, new_hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates, hits): merge_candidates where each table's hits are rows (domain, place and more) beside it.
+
+    Of a domain in both tables the winner's hits come first, then the other's with URLs that the winner lacks; they are told apart by
+    (domain, url) and numbered by ranges, so a domain's hits need no task, and no array, of their own.
+    """
+    names = [c for c in old.columns if c != "domain"]
+    o, n = old.select("domain", F.struct(*names).alias("o")), new.select("domain", F.struct(*names).alias("n"))
+    both = o.join(n, "domain", "full_outer").withColumn("newer", F.col("n").isNotNull() & (F.col("o").isNull() | (F.col("n.discovered_at") >= F.col("o.discovered_at"))))
+    both = both.withColumns({"w": F.when(F.col("newer"), F.col("n")).otherwise(F.col("o")), "l": F.when(F.col("newer"), F.col("o")).otherwise(F.col("n"))})
+    sides = both.select("domain", "newer")
+    tagged = [h.withColumn("_new", F.lit(k)).join(sides, "domain").withColumn("_lost", F.col("_new") != F.col("newer")).drop("_new", "newer") for k, h in ((False, old_hits), (True, new_hits))]
+    every = tagged[0].unionByName(tagged[1])
+    won, lost = every.where("not _lost"), every.where("_lost")
+    kept = lost.join(won.select("domain", "url").distinct(), ["domain", "url"], "left_anti").select(*every.columns)
+    hits = number_rows(won.unionByName(kept), ["_lost", "place", "url"], ["domain"], "_place").drop("place", "_lost").withColumn("place", F.col("_place") + 1).select(*old_hits.columns)
+    counts = hits.groupBy("domain").agg(F.count("*").alias("_n"))
+    merged = F.col("l").isNotNull()
+    value = {c: F.col(f"w.{c}") for c in names} | {"mention_count": F.when(merged, F.coalesce("_n", F.lit(0)).cast("bigint")).otherwise(F.col("w.mention_count")), "recon": F.coalesce("w.recon", "l.recon")}
+    return both.join(counts, "domain", "left").select("domain", *(value[c].alias(c) for c in names)).select(*old.columns), hits
+
+
+def listing_places(candidates: DataFrame) -> DataFrame:
+    """candidates with place (from 1) in the order of listing_order."""
+    placed = number_rows(candidates, ["status", F.desc("mention_count"), "domain"], name="_place")
+    return placed.select(*candidates.columns, (F.col("_place") + 1).alias("place"))
+
+
 def relevance(body: Column, cities: Iterable[str] = ()) -> Column:
     """0 to 1: whole-word hits of rental words and city names over the root of the word count; 0 for texts under 20 characters."""
     names = [re.sub(r"([^a-z0-9 ])", r"\\\1", w) for w in (*RELEVANT_WORDS, *(norm_text(c) for c in cities if norm_text(c)))]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import root_domain
 from ..operators import discovery, extract
+from ..operators.numbering import number_rows
 from . import data
 from .registry import query
 from .search_queries import NORM
@@ -28,6 +29,21 @@ def hits_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("domain", "mention_count", F.size("queries").cast("bigint").alias("n_queries"), F.col("first_seen.url").alias("first_url"))
 
 
+@query("domain_hits", f"WITH {_HITS} SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY query, url) AS place, query, url FROM hits WHERE domain <> ''")
+def domain_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.domain_hits(_hits(spark, sf_dir)).select("domain", "place", "query", "url")
+
+
+@query("examined_found_via", f"""WITH {_HITS}, g AS (SELECT domain, count(*) AS n, min(query || ' ' || url) AS first_seen, string_agg(query || ' ' || url, ' ' ORDER BY query, url) AS via FROM hits WHERE domain <> '' AND ('.' || domain) NOT LIKE '%.ththth.example.net' AND ('.' || domain) NOT LIKE '%.therha.example.com' GROUP BY domain)
+SELECT domain, via FROM g ORDER BY n DESC, first_seen, domain LIMIT 12""")
+def examined_found_via(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _hits(spark, sf_dir)
+    g = discovery.classify_domains(discovery.by_domain(hits), discovery.domain_rules(spark, IMPLEMENTED)).withColumn("status", F.coalesce("reason", F.lit("new")))
+    chosen = discovery.to_examine(g.withColumn("first_seen", F.concat_ws(" ", "first_seen.query", "first_seen.url")), 12)
+    found = discovery.with_found_via(chosen, discovery.domain_hits(hits))
+    return found.select("domain", F.array_join(F.transform("found_via", lambda h: F.concat_ws(" ", h["query"], h["url"])), " ").alias("via"))
+
+
 # Domains with country suffixes, made from the pages' hosts.
 _SUFFIX = "CASE page_id % 6 WHEN 0 THEN '.com.mx' WHEN 1 THEN '.cl' WHEN 2 THEN '.co' WHEN 3 THEN '' WHEN 4 THEN '.facebook.com' ELSE '.habi.co' END"
 
@@ -111,20 +127,39 @@ def challenge_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MERGED = f"""{_HITS}, o AS (SELECT domain, count(DISTINCT url) AS n, list(DISTINCT url) AS urls FROM hits WHERE domain <> '' AND page_id % 3 < 2 GROUP BY domain), n AS (SELECT domain, count(DISTINCT url) AS n, list(DISTINCT url) AS urls FROM hits WHERE domain <> '' AND page_id % 3 > 0 GROUP BY domain)"""
 
 
-@query("candidates_merged", f"""WITH {_MERGED} SELECT domain, CASE WHEN n.n IS NULL THEN 'old' WHEN o.n IS NULL THEN 'new' WHEN length(domain) % 2 = 0 THEN 'new' ELSE 'old' END AS status,
-CAST(CASE WHEN o.n IS NULL THEN n.n WHEN n.n IS NULL THEN o.n ELSE len(list_distinct(list_concat(o.urls, n.urls))) END AS BIGINT) AS mention_count FROM o FULL JOIN n USING (domain)""")
+_BOTH = "CASE WHEN n.n IS NULL THEN 'old' WHEN o.n IS NULL THEN 'new' WHEN length(domain) % 2 = 0 THEN 'new' ELSE 'old' END"
+
+
+@query("candidates_merged", f"""WITH {_MERGED}, m AS (SELECT domain, {_BOTH} AS status, CAST(CASE WHEN o.n IS NULL THEN n.n WHEN n.n IS NULL THEN o.n ELSE len(list_distinct(list_concat(o.urls, n.urls))) END AS BIGINT) AS mention_count,
+CASE WHEN length(domain) % 3 = 0 AND o.n IS NOT NULL THEN 'unknown' WHEN length(domain) % 3 = 1 AND n.n IS NOT NULL THEN 'co' END AS country FROM o FULL JOIN n USING (domain)) SELECT *, row_number() OVER (ORDER BY status, mention_count DESC, domain) AS place FROM m""")
 def candidates_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged, _ = _merged(spark, sf_dir)
+    return discovery.listing_places(merged).select("domain", "status", "mention_count", F.col("recon.country.verdict").alias("country"), "place")
+
+
+@query("hits_merged", f"""WITH {_MERGED}, u AS (SELECT domain, {_BOTH} AS won, o.urls AS a, n.urls AS b FROM o FULL JOIN n USING (domain)),
+w AS (SELECT domain, unnest(CASE won WHEN 'old' THEN a ELSE b END) AS url, false AS lost FROM u), l AS (SELECT domain, unnest(CASE won WHEN 'old' THEN b ELSE a END) AS url, true AS lost FROM u),
+e AS (SELECT * FROM w UNION ALL SELECT * FROM l ANTI JOIN w USING (domain, url)) SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY lost, url) AS place FROM e""")
+def hits_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)[1].select("domain", "url", "place")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two runs merged; the older one's recon was stored without a country."""
     pages = data.table(spark, sf_dir, "pages").withColumn("domain", root_domain(F.col("url"))).where("domain is not null and domain <> ''")
+    shape = "struct<country:struct<verdict:string,evidence:array<string>>>"
 
-    def run(rows: DataFrame, status: str, at: str) -> DataFrame:
-        via = F.sort_array(F.collect_set(F.struct("url")))
+    def run(rows: DataFrame, status: str, country, length: int) -> tuple[DataFrame, DataFrame]:
+        hits = number_rows(rows.select("domain", "url").distinct(), ["url"], ["domain"])
         t = F.when(F.length("domain") % 2 == 0, F.expr(f"timestamp '2024-01-0{2 if status == 'new' else 1} 00:00:00'")).otherwise(F.expr(f"timestamp '2024-01-0{1 if status == 'new' else 2} 00:00:00'"))
-        recon = F.struct(F.struct(F.lit("unknown").alias("verdict"), F.array().cast("array<string>").alias("evidence")).alias("country"))
-        g = rows.groupBy("domain").agg(via.alias("found_via")).withColumns({"status": F.lit(status), "mention_count": F.size("found_via").cast("bigint"), "recon": F.when(F.length("domain") % 3 == 0, recon), "discovered_at": t})
-        return discovery.backfill_country(g)
-
-    merged = discovery.merge_candidates(run(pages.where("page_id % 3 < 2"), "old", "1"), run(pages.where("page_id % 3 > 0"), "new", "2"))
-    return discovery.listing_order(merged.withColumn("first_seen", F.lit(0))).select("domain", "status", "mention_count")
+        recon = F.struct(country.alias("country")).cast(shape)
+        g = hits.groupBy("domain").agg(F.count("*").alias("mention_count")).withColumns({"status": F.lit(status), "recon": F.when(F.length("domain") % 3 == length, recon), "discovered_at": t})
+        return discovery.backfill_country(g), hits
+
+    none = F.array().cast("array<string>")
+    old = run(pages.where("page_id % 3 < 2"), "old", F.lit(None), 0)
+    new = run(pages.where("page_id % 3 > 0"), "new", F.struct(F.lit("co").alias("verdict"), none.alias("evidence")), 1)
+    return discovery.merge_candidate_tables(*old, *new)
 
 
 @query("search_results_parsed", "SELECT page_id % 7 AS bucket, count(*) AS n FROM pages WHERE page_id % 4 <> 0 AND page_id % 5 <> 0 AND url <> '' GROUP BY 1")

@@ -142,7 +142,15 @@ def test_merge_candidates(spark, seed):
             want[n[0]] = (n[0], a[1], via, len(via), a[4] or b[4], a[5])
         else:
             want[n[0]] = n
-    got = discovery.merge_candidates(spark.createDataFrame(old, CANDIDATE), spark.createDataFrame(new, CANDIDATE)).collect()
+    o, n = spark.createDataFrame(old, CANDIDATE), spark.createDataFrame(new, CANDIDATE)
+    hits = lambda df: df.select("domain", F.posexplode("found_via").alias("place", "x")).select("domain", "place", "x.url")
+    merged, rows = discovery.merge_candidate_tables(o.drop("found_via"), hits(o), n.drop("found_via"), hits(n))
+    by_place = {}
+    for r in sorted(rows.collect(), key=lambda r: r.place):
+        by_place.setdefault(r.domain, []).append((r.place, r.url))
+    assert by_place == {d: list(enumerate((x[0] for x in c[2]), 1)) for d, c in want.items()}
+    assert {r.domain: (r.status, r.mention_count, r.recon is not None, r.discovered_at) for r in merged.collect()} == {d: (c[1], c[3], c[4] is not None, c[5]) for d, c in want.items()}
+    got = discovery.merge_candidates(o, n).collect()
     assert {r.domain: (r.status, [x.url for x in r.found_via], r.mention_count, r.recon is not None, r.discovered_at) for r in got} == {d: (c[1], [x[0] for x in c[2]], c[3], c[4] is not None, c[5]) for d, c in want.items()}
 
 
@@ -155,6 +163,20 @@ def test_hits(spark):
     assert (g.domain, g.mention_count, g.queries) == ("a.co", 2, ["q"])
 
 
+def test_a_domain_of_most_hits(spark):
+    """Its hits are rows of many tasks, and in their order."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hits = spark.range(4000).select(F.lit("q").alias("query"), F.lit("g").alias("engine"), F.concat(F.when(F.col("id") % 4 < 3, "https://hot.co/").otherwise("https://d.co/"), F.format_string("%05d", "id")).alias("url"), F.lit("t").alias("title"))
+        placed = discovery.domain_hits(hits)
+        parts = placed.where("domain = 'hot.co'").groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) >= 3 and max(r["count"] for r in parts) < 2000
+        rows = sorted((r.place, r.url) for r in placed.where("domain = 'hot.co'").collect())
+        assert [p for p, _ in rows] == list(range(1, 3001)) and [u for _, u in rows] == sorted(u for _, u in rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_report(spark):
     top = spark.createDataFrame([(1, "Pance", None, None, 100.0, 2e6, None, 20000.0, None, None, 1.25, 3, None, 4, None, "300", True, ["a", "b"], "a", "u")], f"rank int, barrio string, conjunto string, address string, area_m2 double, price double, admin double, cost_per_m2 double, driving_km double, driving_min double, distance_km double, bedrooms int, bathrooms int, estrato int, agency string, phone string, has_whatsapp boolean, merged_sources array<string>, source string, url string")
     (r,) = report.report_rows(top).collect()
