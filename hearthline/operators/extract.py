@@ -153,6 +153,7 @@ def decoded_link(coded: Column, otherwise: Column) -> Column:
 
 
 _DECODE = json.JSONDecoder().raw_decode
+_OPENING = re.compile(r"(?:[{\[\s:]|\"[^\"{}\[\]]*\")+")
 _CODED = {"&q;": '"', "&l;": "<", "&g;": ">", "&a;": "&"}  # fixed values
 
 
@@ -161,19 +162,21 @@ def coded_state(page: str | None, key: str) -> list[str]:
     plain = re.sub("|".join(_CODED), lambda m: _CODED[m[0]], (page or "").partition(f"{key}&q;:")[2])
     try:
         return [plain[: _DECODE(plain)[1]]] if plain.startswith("{") else []
-    except ValueError:
+    except (ValueError, RecursionError):  # cut off, or nested deeper than the decoder goes
         return []
 
 
 def _holders(value: object, key: str) -> Iterator[dict]:
     """The objects inside a parsed value that hold a text under a key, outer ones first."""
-    if isinstance(value, dict):
-        if isinstance(value.get(key), str) and value[key]:
-            yield value
-        value = list(value.values())
-    if isinstance(value, list):
-        for x in value:
-            yield from _holders(x, key)
+    ahead = [value]
+    while ahead:
+        x = ahead.pop()
+        if isinstance(x, dict):
+            if isinstance(x.get(key), str) and x[key]:
+                yield x
+            x = list(x.values())
+        if isinstance(x, list):
+            ahead.extend(reversed(x))
 
 
 def streamed_objects(page: str | None, id_key: str) -> list[str]:
@@ -191,6 +194,9 @@ def streamed_objects(page: str | None, id_key: str) -> list[str]:
         except ValueError:
             at += 1
             continue
+        except RecursionError:  # nested deeper than the decoder goes: on behind this run of brackets
+            at = _OPENING.match(flight, at).end()
+            continue
         for x in _holders(value, id_key):
             found.setdefault(x[id_key], x)
     return [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in found.values()]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import STATE_NAMES, effective_km, identity_keys, place, review_state, safe_cell, state_name
 from ..functions.text import round_half_up
+from ..staging import staged
 from .merge import upsert
 
 
@@ -23,17 +25,71 @@ def position(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pos", F.struct((-F.unix_micros("ts")).alias("t"), F.col("entry_id").alias("e"), F.col("row_pos").alias("r")))
 
 
+def with_keys(rows: DataFrame) -> DataFrame:
+    """Adds pos and the identity keys of each row."""
+    return position(rows).withColumn("keys", identity_keys(F.col("source"), F.col("source_listing_id"), F.col("url"), F.col("source_links")))
+
+
+def _pairs(keyed: DataFrame) -> DataFrame:
+    return keyed.select("pos", F.explode("keys").alias("key"))
+
+
+def _first(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("key").agg(F.min("pos").alias("first"))
+
+
+def _kept(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    return pairs.join(first, "key").groupBy("pos").agg(F.bool_and(F.col("pos") == F.col("first")).alias("new")).where("new").select("pos")
+
+
 def first_occurrences(rows: DataFrame) -> DataFrame:
     """Rows none of whose identity keys was met before, in the order of pos; rows that are passed over register their keys too.
 
     A row is the first of its kind if it is the first holder of each of its keys, so one minimum by key decides, without a
     loop over rows: keys are exploded, reduced to their first position, and a row stays if all its keys name it.
     """
-    keyed = position(rows).withColumn("keys", identity_keys(F.col("source"), F.col("source_listing_id"), F.col("url"), F.col("source_links")))
-    pairs = keyed.select("pos", F.explode("keys").alias("key"))
-    first = pairs.groupBy("key").agg(F.min("pos").alias("first"))
-    kept = pairs.join(first, "key").groupBy("pos").agg(F.bool_and(F.col("pos") == F.col("first")).alias("new")).where("new")
-    return keyed.join(kept.select("pos"), "pos")
+    keyed = with_keys(rows)
+    pairs = _pairs(keyed)
+    return keyed.join(_kept(pairs, _first(pairs)), "pos")
+
+
+class Occurrences(NamedTuple):
+    """What is kept of histories, to be written between runs: first(key, first: the position that holds a key first) and kept(pos: of
+    the first occurrences)."""
+
+    first: DataFrame
+    kept: DataFrame
+
+
+#: Keys of an update that are broadcast at most; more are joined by a shuffle.
+MAX_TOUCHED = 200_000
+
+
+def occurrences(rows: DataFrame) -> Occurrences:
+    """Of all histories, worked out anew."""
+    pairs = _pairs(with_keys(rows))
+    first = _first(pairs)
+    return Occurrences(first, _kept(pairs, first))
+
+
+def update_occurrences(old: Occurrences, rows: DataFrame, added: DataFrame, removed: Iterable[str]) -> Occurrences:
+    """The occurrences after entries are added and others (by entry_id) removed; rows: those of the histories before that.
+
+    Only keys of added and removed rows get another first position, and only rows that hold one of these are judged anew: what
+    else is kept stays as it is. Rows are scanned for such keys, not shuffled, while these are few enough to broadcast.
+    """
+    removed = list(removed)
+    out = F.col("entry_id").isin(*removed) if removed else F.lit(False)
+    before, new = with_keys(rows), with_keys(added)
+    gone, stay = before.where(out), before.where(~out)
+    touched = staged(_pairs(gone).select("key").union(_pairs(new).select("key")).distinct(), "touched-keys")
+    touched = F.broadcast(touched) if touched.count() <= MAX_TOUCHED else touched
+    pairs = _pairs(stay).unionByName(_pairs(new))
+    first = old.first.join(touched, "key", "left_anti").unionByName(_first(pairs.join(touched, "key", "left_semi")))
+    again = staged(pairs.join(touched, "key", "left_semi").select("pos").distinct(), "touched-rows")
+    judged = _kept(pairs.join(again, "pos", "left_semi"), first)
+    kept = old.kept.join(gone.select("pos"), "pos", "left_anti").join(again, "pos", "left_anti").unionByName(judged)
+    return Occurrences(first, kept)
 
 
 def with_reviews(marked: DataFrame, reviews: DataFrame, by: str = "pos") -> DataFrame:

@@ -192,6 +192,44 @@ def marked_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).select("source", "source_listing_id", "state")
 
 
+_UPDATED = _HIST_CTE.replace("price, area_m2 FROM active)", "price, area_m2 FROM active WHERE CAST(source_listing_id AS BIGINT) % 37 NOT IN (3, 11, 31))")
+
+
+@query("marked_updated", f"WITH {_UPDATED} SELECT source, source_listing_id FROM marked")
+def marked_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of the searches up to e29, brought up to date with the later ones but e31 and without e3 and e11."""
+    from ..staging import staged
+
+    rows, _ = _history(spark, sf_dir)
+    k = F.col("source_listing_id").cast("bigint") % 37
+    before, later = rows.where(k < 30), rows.where((k >= 30) & (k != 31))
+    old = marked.occurrences(before)
+    old = marked.Occurrences(staged(old.first, "first-keys"), staged(old.kept, "first-rows"))
+    now = marked.update_occurrences(old, before, later, ["e3", "e11"])
+    return marked.with_keys(before.unionByName(later)).join(now.kept, "pos").select("source", "source_listing_id")
+
+
+@query("marked_houses", f"""WITH {_HIST_CTE} SELECT 'counts' AS part, s.state AS name, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(['eligible', 'seen', 'none']) AS state) s LEFT JOIN (SELECT state, count(*) AS n FROM marked GROUP BY state) m USING (state)
+UNION ALL SELECT 'chosen', state, count(*) FROM marked WHERE state IN ('eligible', 'seen') GROUP BY state UNION ALL SELECT 'exported', CASE state WHEN 'eligible' THEN 'Elegible' ELSE 'Vista' END, count(*) FROM marked WHERE state IN ('eligible', 'seen') GROUP BY state""")
+def marked_houses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved searches written as JSON lines, read back, and the page of marked houses made of them."""
+    from ..operators.rank import cost_per_m2
+    from ..sources.stored import read_history
+    from ..staging import new_folder
+    from .entries import marked_houses as page
+
+    rows, reviews = _history(spark, sf_dir)
+    fields = ("source", "source_listing_id", "url", "source_links", "barrio", "conjunto", "city", "address", "area_m2", "price", "admin", "cost_per_m2", "bedrooms")
+    ranked = F.sort_array(F.collect_list(F.struct("row_pos", F.struct(*fields).alias("l"))))
+    entries = rows.withColumn("cost_per_m2", cost_per_m2()).groupBy(F.col("entry_id").alias("id"), "ts").agg(F.transform(ranked, lambda x: x["l"]).alias("ranked"))
+    entries = entries.select("id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("ts"), F.lit("scrape").alias("mode"), F.struct(F.lit("here").alias("refLabel")).alias("meta"), F.struct("ranked").alias("result"))
+    at = new_folder(spark, "history")
+    entries.write.json(at)
+    counts, chosen, exported = page(read_history(spark, at), reviews)
+    tally = lambda part, df, name: df.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "name", "n")
+    return counts.select(F.lit("counts").alias("part"), F.col("state").alias("name"), "n").unionByName(tally("chosen", chosen, "state")).unionByName(tally("exported", exported, "Estado"))
+
+
 @query("marked_counts", f"WITH {_HIST_CTE} SELECT s.state, coalesce(n, 0) AS n FROM (SELECT unnest(['eligible', 'seen', 'none']) AS state) s LEFT JOIN (SELECT state, count(*) AS n FROM marked GROUP BY state) m USING (state)")
 def marked_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.state_counts(_marked(spark, sf_dir))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import discovery, marked, merge, verify
 from ..operators.filters import by_state
 from ..operators.rank import RankOptions
+from ..sources.json_portals import enrich
 from ..sources.registry import normalize_all, registry_table, select_sources
 from ..sources.userlist import list_warnings, listings_from_list, read_list
 from .search import SearchResult, rank
@@ -22,17 +23,18 @@ class Ingested(NamedTuple):
     counts: DataFrame
 
 
-def ingest(payloads: DataFrame, snapshot: DataFrame, only: Iterable[str] = (), hard: bool = False, cap: int | None = None, scope: tuple[str, ...] = ("source",), max_pages: int = 0, agencies: DataFrame | None = None) -> Ingested:
+def ingest(payloads: DataFrame, snapshot: DataFrame, only: Iterable[str] = (), hard: bool = False, cap: int | None = None, scope: tuple[str, ...] = ("source",), max_pages: int = 0, agencies: DataFrame | None = None, details: DataFrame | None = None) -> Ingested:
     """Normalise a crawl's payloads and merge them. The last fetch of a page counts as the time its listings were seen.
 
     cap: listings of a source; max_pages: caps sources of detail pages as cap_details does. Both keep the first by id: a table of
-    payloads has no order of arrival.
+    payloads has no order of arrival. details(url and listing columns; see ciencuadras_details): what pages of single adverts add.
     """
     spark = payloads.sparkSession
     at = payloads.groupBy("source").agg(F.max("fetched_at").alias("seen_at"))
     rows = normalize_all(payloads, select_sources(only, hard), agencies).join(F.broadcast(at), "source")  # a row a source
     rows = merge.cap_details(rows, max_pages, ["source_listing_id"]) if max_pages > 0 else rows
     batch = merge.cap_per_source(rows, cap, ["source_listing_id"])
+    batch = enrich(batch, details) if details is not None else batch
     return Ingested(merge.merge_snapshot(snapshot, batch, scope=scope), merge.crawl_diff(snapshot, batch, scope), merge.counts_by_source(batch, registry_table(spark)))
 
 

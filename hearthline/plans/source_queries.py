@@ -247,6 +247,25 @@ def all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_all(every).groupBy("source").agg(F.count("*").alias("n"), F.sum("price").alias("total"), F.count("area_m2").alias("areas"), F.count("bedrooms").alias("bedrooms"))
 
 
+@query("crawl_details", f"""WITH {LISTINGS_CTE}, d AS (SELECT *, CAST(source_listing_id AS BIGINT) % 3 = 0 AS told FROM active)
+SELECT source_listing_id, price, CASE WHEN told THEN admin END AS admin, CASE WHEN told THEN coalesce(estrato % 6 + 1, estrato) ELSE estrato END AS estrato, coalesce(CASE WHEN told THEN agency END, 'A & "B" {{<>}}') AS agency, is_active FROM d""")
+def crawl_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl whose adverts are completed by their own pages, of which every third has one, some fetched twice."""
+    from ..schemas import SNAPSHOT
+    from .entries import ingest
+
+    rows = data.active(spark, sf_dir)
+    told = rows.where("bigint(source_listing_id) % 3 = 0")
+    blob = "to_json(named_struct('generalData', named_struct('adminValue', string(bigint(admin)), 'stratum', string({})), 'dataStrip', named_struct('realStateName', agency)))"
+    coded = lambda e: f"concat('<script>{{&q;detail&q;:', replace(replace({blob.format(e)}, '&', '&a;'), '\"', '&q;'), '}}</script>')"
+    url = "concat('https://www.ciencuadras.com/inmueble/casa-', source_listing_id)"
+    pages = detail_pages(told, "ciencuadras", url, coded("estrato % 6 + 1"))
+    stale = detail_pages(told.where("bigint(source_listing_id) % 2 = 0"), "ciencuadras", url, coded("7 - estrato")).withColumn("fetched_at", F.expr("timestamp '2024-06-01 00:00:00'"))
+    details = json_portals.ciencuadras_details(pages.unionByName(stale))
+    done = ingest(PAYLOADS["ciencuadras"](rows), spark.createDataFrame([], SNAPSHOT), only=["ciencuadras"], details=details)
+    return done.snapshot.select("source_listing_id", "price", "admin", "estrato", "agency", "is_active")
+
+
 @query("user_list", f"""WITH {LISTINGS_CTE}, n AS (SELECT *, row_number() OVER (ORDER BY CAST(source_listing_id AS BIGINT)) AS k FROM active)
 SELECT CASE WHEN CAST(source_listing_id AS BIGINT) % 2 = 0 THEN url ELSE 'row-' || source_listing_id END AS source_listing_id, barrio, city, area_m2, price FROM n WHERE area_m2 IS NOT NULL OR price IS NOT NULL""")
 def user_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,7 +140,7 @@ def naranjoduque(payloads: DataFrame, property_type: str = "casa", cities: tuple
     kind, deal, city = norm(_get("p", "2 TIPO DE INMUEBLE")), norm(_get("p", "1 TIPO DE BÚSQUEDA")), norm(_get("p", "3 CIUDAD"))
     of_kind = F.contains(kind, F.lit("casa")) if property_type == "casa" else F.contains(kind, F.lit("apartamento")) | F.contains(kind, F.lit("apartaestudio"))
     x = x.where((F.contains(deal, F.lit("arriendo")) | F.contains(deal, F.lit("alquiler"))) & of_kind & F.exists(F.array(*map(F.lit, cities)), lambda w: F.contains(city, w)))
-    detail = payloads.select(c("url").alias("link"), strip_tags(c("body")).alias("t")).dropDuplicates(["link"])
+    detail = payloads.groupBy(c("url").alias("link")).agg(F.max_by("body", F.struct("fetched_at", "body")).alias("b_")).select("link", strip_tags(c("b_")).alias("t"))
     x = x.join(detail, "link", "left")
     return _kept(as_listing(
         x, source=F.lit("naranjoduque"), source_listing_id=c("code"), url=c("link"), title=trimmed(F.substring_index("said", "<br", 1)), barrio=shown(F.coalesce(trimmed(_get("p", "5 BARRIO")), trimmed(_get("p", "4 ZONA")))), city=trimmed(_get("p", "3 CIUDAD")),

@@ -63,7 +63,7 @@ def route_payloads(payloads: DataFrame, sources: Iterable[Source] = SOURCES) ->
     wanted = payloads.where(F.col("source").isin(*(s.id for s in sources)))
     path = new_folder(spark, "payloads")
     write_payloads(wanted, path)
-    return spark.read.schema(payloads.schema).parquet(path)
+    return spark.read.schema(payloads.schema).parquet(path).select(*payloads.columns)
 
 
 def normalize_all(payloads: DataFrame, sources: Iterable[Source] = SOURCES, agencies: DataFrame | None = None, apart: bool = False) -> DataFrame:

@@ -193,3 +193,37 @@ def test_candidates_split_and_signature(spark):
     c = spark.createDataFrame([("a", "new"), ("b", "foreign"), ("c", "new")], "domain string, status string")
     assert [sorted(r.domain for r in part.collect()) for part in split_new(c)] == [["a", "c"], ["b"]]
     assert spark.range(1).select(search_signature(F.lit("x"), F.lit(None).cast("string"), F.lit(2))).first()[0] == "x||2"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_kept_occurrences_follow_updates(spark, seed):
+    """Adding and removing entries gives what working all histories anew gives; untouched keys keep their rows."""
+    rng = random.Random(seed)
+    shape = "entry_id string, ts timestamp, row_pos int, source string, source_listing_id string, url string, source_links array<struct<source:string,url:string>>"
+    make = lambda e: [(f"e{e}", datetime(2024, 1, 1 + e % 20), k, "s", str(rng.randrange(60)), rng.choice(["", f"u{rng.randrange(40)}"]), [("x", f"v{rng.randrange(40)}")] * rng.randrange(2)) for k in range(8)]
+    entries = {f"e{e}": make(e) for e in range(14)}
+    frame = lambda names: spark.createDataFrame([r for n in names for r in entries[n]], shape)
+    before, later, removed = [f"e{k}" for k in range(10)], [f"e{k}" for k in range(10, 14)], rng.sample([f"e{k}" for k in range(10)], 3)
+    got = marked.update_occurrences(marked.occurrences(frame(before)), frame(before), frame(later), removed)
+    want = marked.occurrences(frame([n for n in before if n not in removed] + later))
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(got.first) == plain(want.first) and plain(got.kept) == plain(want.kept)
+    nothing = marked.update_occurrences(want, frame([n for n in before if n not in removed] + later), frame(before).limit(0), [])
+    assert plain(nothing.first) == plain(want.first) and plain(nothing.kept) == plain(want.kept)
+
+
+def test_read_history_and_marked_houses(spark, tmp_path):
+    from hearthline.plans.entries import marked_houses
+    from hearthline.sources.stored import read_history
+
+    (tmp_path / "h.json").write_text(
+        '{"id":"a","ts":"2024-01-02T00:00:00Z","sig":"s","mode":"scrape","label":"l","meta":{"refLabel":"Pance"},"result":{"ranked":[{"source":"x","source_listing_id":"1","url":"https://x/1","barrio":"=Sur","price":2.0,"area_m2":1.0,"cost_per_m2":2.0},{"source":"x","source_listing_id":"2","url":"https://x/2"}]}}\n'
+        '{"id":"b","ts":"2024-01-01T00:00:00Z","result":{"ranked":[{"source":"y","source_listing_id":"9","url":"https://x/1"}]}}\n{"id":"c","ts":"2024-01-03T00:00:00Z"}\n'
+    )
+    history = read_history(spark, str(tmp_path))
+    assert {r.id: (r.ref_label, len(r.ranked or [])) for r in history.collect()} == {"a": ("Pance", 2), "b": (None, 1), "c": (None, 0)}
+    reviews = spark.createDataFrame([("u:https://x/1", True, None)], "key string, seen boolean, eligible boolean")
+    counts, chosen, exported = marked_houses(history, reviews)
+    assert {r.state: r.n for r in counts.collect()} == {"eligible": 0, "seen": 1, "none": 1}
+    assert [(r.entry_id, r.source_listing_id) for r in chosen.collect()] == [("a", "1")] and exported.first()["Barrio/Conjunto"] == "'=Sur"
+    assert chosen.select("state").first()[0] == "seen" and marked_houses(history, reviews, [])[1].count() == 0

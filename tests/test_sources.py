@@ -185,3 +185,51 @@ def test_payloads_are_kept_by_source(spark, tmp_path):
     again = read_payloads(spark, f"{tmp_path}/p")
     assert sorted((r.source, r.url, r.body) for r in again.collect()) == [("bienco", "u", "a"), ("mitula", "v", "b")]
     assert again.where("source = 'mitula'").inputFiles() and "PartitionFilters: [isnotnull(source" in again.where("source = 'mitula'")._jdf.queryExecution().toString()
+
+
+def _payload(spark, *rows):
+    from datetime import datetime
+
+    return spark.createDataFrame([("x", u, "Cali", n, datetime(2024, 1, d), 200, b) for u, n, d, b in rows], "source string, url string, city string, page_no int, fetched_at timestamp, status int, body string")
+
+
+def test_deeply_nested_objects_stop_nothing():
+    from hearthline.operators.extract import coded_state, streamed_objects
+
+    page = lambda text: "<script>self.__next_f.push([1," + __import__("json").dumps(text) + "])</script>"
+    deep = '{"a":' * 50_000 + "1" + "}" * 50_000
+    assert streamed_objects(page(f'{deep} {{"id":"7","x":{{"id":"8"}}}} {{"id":"7","y":1}}'), "id") == ['{"id":"7","x":{"id":"8"}}', '{"id":"8"}']
+    within = '{"b":' * 500 + '{"id":"deep"}' + "}" * 500
+    assert streamed_objects(page(within), "id") == ['{"id":"deep"}']
+    assert coded_state("results&q;:" + "{&q;a&q;:" * 200_000, "results") == [] and coded_state("results&q;:{&q;a&q;:[1]}x", "results") == ['{"a":[1]}']
+
+
+def test_the_first_of_an_advert_on_several_pages(spark):
+    import json
+
+    coded = lambda cards: "results&q;:" + json.dumps({"data": {"results": cards}}).replace('"', "&q;")
+    card = lambda i, price: {"id": i, "url": f"/inmueble/casa-{i}", "city": "Cali", "rentPrice": str(price)}
+    pages = [("u2", 2, 1, coded([card("1", 200), card("2", 300)])), ("u1", 1, 1, coded([card("1", 100), card("1", 150)])), ("u3", 3, 1, coded([card("2", 400)]))]
+    for order in (pages, pages[::-1]):
+        got = json_portals.ciencuadras(_payload(spark, *order).repartition(3))
+        assert sorted((r.source_listing_id, r.price) for r in got.collect()) == [("1", 100.0), ("2", 300.0)]
+
+
+def test_details_of_the_last_fetch(spark):
+    import json
+
+    coded = lambda d: "detail&q;:" + json.dumps(d).replace('"', "&q;")
+    detail = lambda fee: coded({"generalData": {"adminValue": str(fee)}, "dataStrip": {"realStateName": " A "}})
+    found = json_portals.ciencuadras_details(_payload(spark, ("u", 1, 2, detail(20)), ("u", 1, 3, detail(30)), ("u", 1, 1, detail(10)), ("v", 1, 1, "no state")))
+    assert [(r.url, r.admin, r.agency) for r in found.collect()] == [("u", 30.0, "A")]
+    listings = json_portals.ciencuadras(_payload(spark)).limit(0)
+    assert json_portals.enrich(listings, found).columns == listings.columns
+
+
+def test_payloads_are_routed_once(spark):
+    rows = _payload(spark, ("u1", 1, 1, "{}"), ("u2", 1, 1, "{}")).withColumn("source", F.when(F.col("url") == "u1", "bienco").otherwise("elsewhere"))
+    routed = registry.route_payloads(rows)
+    assert routed.columns == rows.columns and [(r.source, r.url) for r in routed.collect()] == [("bienco", "u1")]
+    plan = routed.where("source = 'bienco'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(source" in plan
+    assert registry.normalize_all(rows).count() == 0 and registry.normalize_all(rows.limit(0)).count() == 0
