@@ -219,11 +219,16 @@ def label_near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> Da
     component_id is the smallest doc_id of the rows reachable over links of at most `radius` differing bits, itself included
     (null where all of them are null). Other columns of the input are left out; an empty table gives an empty one.
     """
-    rows = near_components(docs, radius, size)
-    least = rows.groupBy("fp", "root").agg(F.min("doc_id").alias("own"))  # equal fingerprints first: a component has far fewer of them
-    component = least.groupBy("root").agg(F.min("own").alias("component_id"))
-    by_fp = least.join(component, "root").select("fp", "component_id")
-    return rows.select("doc_id", "fp").join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = staged(fingerprints(docs, size).select("doc_id", "fp"), "fingerprints")
+    stars = components(near_links(rows.select("fp").distinct(), radius)).select(F.col("u").alias("f"), F.col("v").alias("root"))
+    own = rows.groupBy("fp").agg(F.min("doc_id").alias("own"))  # equal fingerprints first: a component has far fewer of them
+    own = staged(own.join(stars, F.col("fp") == F.col("f"), "left").select("fp", "own", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    component = own.groupBy("root").agg(F.min("own").alias("component_id"))
+    # Joined on another form of the key, so that both sides are dealt anew: Spark splits a common key only between two fresh exchanges.
+    component = component.select(F.bitwise_not("root").alias("k"), "component_id")
+    by_fp = own.join(component, F.bitwise_not("root") == F.col("k")).select(F.bitwise_not("fp").alias("k"), "component_id")
+    joined = rows.join(by_fp, F.bitwise_not("fp") == F.col("k"))
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
