@@ -229,6 +229,8 @@ def span_rows(batch: pa.RecordBatch, window: int, seed: int) -> pa.RecordBatch:
         h2 = np.r_[contexts(found, g, seed)[heads], found.hashes(alone, width, seed + 2)]
         at = np.r_[begin, alone]
         text = found.text_of(at)
+        if len(at) and int((at - found.offsets[text]).max()) >= 1 << PLACE:
+            raise ValueError(f"a text of more than 2^{PLACE} words")
         place = (ranks[i + text] << PLACE) | (at - found.offsets[text])
         parts.append((h1.view(np.int64), h2.view(np.int64), place, np.r_[end - begin, width].astype(np.int32)))
     return _columns(parts, ["h1", "h2", "place", "n"], [np.int64, np.int64, np.int64, np.int32])
