@@ -4,8 +4,8 @@ Every vector is represented by the order of its nearest pivots and posted in the
 query goes to the files of its own first `probe` pivots; there the footrule distance of the orders ranks what is posted, and what
 ranks as well as the best `share` of a sample of all vectors (and the best k + 1 of a file in any case) is ranked by true distance.
 
-Pivots come from a bounded sample; every vector is indexed. There are as many pivots as keep a file at about FILE vectors, so a
-query meets a bounded number of vectors and the work grows with the table.
+Pivots come from a bounded sample; every vector is indexed. The number of pivots grows with the square root of the table, and
+beyond as fast as keeps a file at about FILE vectors (MOST_SAMPLE at most), so the share of the table that a query visits falls as the table grows.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 from .common import ship, staged
 
+#: Pivots for each square root of the number of vectors.
+DENSITY = 8
 #: Vectors that pivots are drawn from at least and at most; of these, the ones whose orders tell what share a footrule distance is.
 LEAST_SAMPLE, MOST_SAMPLE, GAUGE = 4096, 16_384, 2048
 #: Lengths of vectors that have pivots, the commonest first; the vectors of any other length are one file, compared in pieces.
@@ -37,7 +39,7 @@ class Index(NamedTuple):
     pivots: int = 256
     prefix: int = 64
     post: int = 4
-    probe: int = 128
+    probe: int = 160
     share: float = 0.2
     file: int = 16_384
 
@@ -72,9 +74,15 @@ def shared(order: np.ndarray, posted: np.ndarray, pivots: int) -> np.ndarray:
     return (prefix - np.maximum(place[posted], np.arange(prefix)[None])).sum(1)
 
 
+def how_many(count: int, index: Index) -> int:
+    """Pivots for so many vectors: more for more of them, so that a query's files hold ever less of the table, and at least as many as keep
+    a file at its size."""
+    return max(index.pivots, math.ceil(DENSITY * math.sqrt(count)), math.ceil(count * index.post / index.file))
+
+
 def draw(vectors: DataFrame, n: int, count: int, index: Index) -> Pivots:
     """Pivots of the vectors of length n: the first, by a hash of the value, of a bounded sample."""
-    most = min(MOST_SAMPLE, max(index.pivots, math.ceil(count * index.post / index.file)))
+    most = min(MOST_SAMPLE, how_many(count, index))
     size = max(LEAST_SAMPLE, most)
     low = F.col("v1") < -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * size // max(1, count))  # some four times as many, not each task's first
     rows = vectors.where((F.col("n") == n) & low).orderBy("v1", "v2").limit(size).select("vector").collect()
