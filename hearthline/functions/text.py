@@ -20,14 +20,15 @@ def _accents() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+#: White space of Unicode but the plain space, and the byte order mark; a single plain space needs no replacing.
+_SPACES = r"\t-\r\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+
+
 def norm(s: Column) -> Column:
-    """Without accents, lower-cased, white space collapsed and trimmed; '' for null. Plain ASCII has no accents to look for."""
+    """Without accents, lower-cased, white space collapsed and trimmed; '' for null."""
     letters, bases = _accents()
-    s = F.coalesce(s, F.lit(""))
-    ascii_only = F.octet_length(s) == F.length(s)
-    plain = F.lower(F.regexp_replace(F.translate(s, letters, bases), "[̀-ͯ]", ""))
-    spaced = F.when(ascii_only, F.regexp_replace(F.lower(s), r"[\t-\r]\s*| \s+", " ")).otherwise(F.regexp_replace(plain, "(?U)[\\s﻿]+", " "))
-    return F.btrim(spaced)
+    plain = F.regexp_replace(F.translate(F.coalesce(s, F.lit("")), letters, bases), "[̀-ͯ]", "")
+    return F.btrim(F.regexp_replace(F.lower(plain), f"[{_SPACES}][ {_SPACES}]*| [ {_SPACES}]+", " "))
 
 
 def norm_text(s: str | None) -> str:

@@ -73,3 +73,14 @@ def test_labels(spark):
     assert values(spark, [(True, True), (True, None), (None, False)], "s boolean, e boolean", r=labels.review_state(F.col("s"), F.col("e"))) == [("eligible",), ("seen",), ("none",)]
     got = values(spark, [("a", "1", "u1", [("a", "u1"), ("b", "u2"), ("b", None)]), ("a", "2", "", None)], "s string, i string, u string, l array<struct<source:string,url:string>>", k=labels.identity_keys(*(F.col(c) for c in "siul")))
     assert got == [(["u:u1", "u:u2", "s:a:1"],), (["s:a:2"],)]
+
+
+def test_norm_of_odd_white_space(spark):
+    import random
+
+    from hearthline.functions.text import norm, norm_text
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "É", "ñ", " ", "  ", "\t", "\n", " ", " ", "　", "﻿", "́", "x"]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", norm(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == [norm_text(r.t) for r in got]
