@@ -87,7 +87,7 @@ def rentola(payloads: DataFrame) -> DataFrame:
     x = pages.withColumn("ld", F.from_json("node", schema)).withColumn("slug", _found(F.regexp_replace("url", r"[?#].*$|/+$", ""), r"([^/]+)$")).withColumn("text", strip_tags(F.col("body")))
     c = F.col
     house = c("ld.offers.itemOffered")
-    tail = r"\d{1,3}(?:-\d{3})+-p[0-9a-f]+$"
+    tail = r"\d{1,3}(?:-\d{3})+-p[0-9a-f]+$"  # fixed value: how the site ends its slugs
     ident = F.coalesce(_found(c("slug"), rf"(?i)-(\d+)-{tail}"), _found(c("slug"), r"(?i)-p([0-9a-f]+)$"))
     city = F.lower(_found(c("slug"), r"(?i)-en-(cali|jamundi)\b"))
     barrio = F.replace(_found(c("slug"), rf"(?i)-en-(?:cali|jamundi)-en-(.+?)-\d{{1,7}}-{tail}"), F.lit("-"), F.lit(" "))
@@ -189,6 +189,7 @@ def arriendo(payloads: DataFrame) -> DataFrame:
     x = x.withColumn("seg", F.filter(F.split(F.regexp_replace("url", r"^[a-z]+://[^/]+|[?#].*$", ""), "/"), lambda s: s != ""))
     part = lambda k: F.when(F.size("seg") >= 4, F.element_at("seg", -k))
     ident = F.coalesce(F.upper(_found(part(1), r"(?i)^(AR-\d+)$")), F.upper(_found(strip_tags(c("body")), r"(?i)C[oó]digo del inmueble:\s*(AR-\d+)")))
+    # The names of the page's script variables.
     called = F.from_json(F.regexp_extract("body", r"ARX_PHONE_DATA\s*=\s*window\.ARX_PHONE_DATA\s*\|\|\s*(\{[^}]*\})", 1), "pc string, pw string, hw boolean")
     at = F.from_json(F.regexp_extract("body", r"(?s)arxPropertyLatLng\s*=\s*(\{.*?\});", 1), "lat double, lng double")
     digits = lambda s: F.when(s.rlike(r"\d{7,}"), s)
@@ -213,6 +214,7 @@ def century21(payloads: DataFrame, property_types: tuple[str, ...] = ("casa",),
     """Detail pages by their meta tags; rentals of the wanted types and cities. agencies(url, agency, phone) adds whose they are."""
     c = F.col
     x = payloads.select("url", "body").withColumn("m", meta_tags(c("body"))).withColumn("t", title(c("body")))
+    # Fixed value: the form of the site's titles.
     deal = r"(?i)^(renta|venta)\s+de\s+([a-zñáéíóú]+)\s+en\b"
     rent = (norm(F.regexp_extract("t", deal, 1)) == "renta") & norm(F.regexp_extract("t", deal, 2)).isin(*property_types)
     city = F.coalesce(_get("m", "municipio"), trimmed(_found(c("t"), r"\ben\s+[^,]+,\s*([^,]+),")))
