@@ -69,6 +69,13 @@ def candidates_to_examine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.to_examine(g, 12).select("domain", "mention_count", "status")
 
 
+@query("candidates_split", f"WITH {_CANDIDATES} SELECT domain, status = 'new' AS is_new FROM c")
+def candidates_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = discovery.classify_domains(discovery.by_domain(_hits(spark, sf_dir)), discovery.domain_rules(spark, IMPLEMENTED)).withColumn("status", F.coalesce("reason", F.lit("new")))
+    new, known = discovery.split_new(g)
+    return new.select("domain", F.lit(True).alias("is_new")).unionByName(known.select("domain", F.lit(False).alias("is_new")))
+
+
 @query("page_relevance", f"""WITH t AS (SELECT page_id, {NORM.format("html || CASE WHEN page_id % 2 = 0 THEN ' Arriendo en Cali, canon 900 y arriendo; calidad ' ELSE '' END")} AS x FROM pages)
 SELECT page_id, round(CASE WHEN length(x) < 20 THEN 0 ELSE least(1.0, (len(regexp_extract_all(x, '\\b(arriendo|alquiler|inmobiliaria|arrendar|canon|cali)\\b'))) / sqrt(len(string_split(x, ' '))) / 3) END, 9) AS relevance FROM t""")
 def page_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,3 +221,23 @@ def geocode_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = _cache(rows)
     answers = geocode.worklist(rows, cache, F.expr(NOW)).select("query", F.lit(3.5).alias("lat"), F.lit(-76.5).alias("lng"), F.lit("city").alias("precision"), F.lit("google").alias("provider"), F.lit(None).cast("string").alias("place_id"), F.expr(NOW).alias("created_at"))
     return geocode.refresh_cache(cache, answers).select("query", R6("lat"), "provider")
+
+
+_OTHER = "CASE CAST(source_listing_id AS BIGINT) % 4 WHEN 0 THEN ' PANCE  alto' WHEN 1 THEN 'caney' WHEN 2 THEN '' END"
+
+
+@query("places_overlap", f"WITH {LISTINGS_CTE}, n AS (SELECT source_listing_id, {NORM.format('barrio')} AS a, {NORM.format(_OTHER)} AS b FROM active) SELECT source_listing_id, a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)) AS alike FROM n")
+def places_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.text import overlaps
+
+    return data.active(spark, sf_dir).select("source_listing_id", overlaps(F.col("barrio"), F.expr(_OTHER)).alias("alike"))
+
+
+_TYPES = "CASE CAST(source_listing_id AS BIGINT) % 6 WHEN 0 THEN 'ROOFTOP' WHEN 1 THEN 'RANGE_INTERPOLATED' WHEN 2 THEN 'GEOMETRIC_CENTER' WHEN 3 THEN 'APPROXIMATE' WHEN 4 THEN 'ELSEWHERE' END"
+
+
+@query("location_types", f"WITH {LISTINGS_CTE}, t AS (SELECT {_TYPES} AS kind FROM active) SELECT CASE kind WHEN 'ROOFTOP' THEN 'rooftop' WHEN 'RANGE_INTERPOLATED' THEN 'street' WHEN 'GEOMETRIC_CENTER' THEN 'barrio_centroid' ELSE 'city' END AS precision, count(*) AS n FROM t GROUP BY 1")
+def location_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.geo import precision_of_location_type
+
+    return data.active(spark, sf_dir).groupBy(precision_of_location_type(F.expr(_TYPES)).alias("precision")).agg(F.count("*").alias("n"))

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import html_portals, json_portals
+from ..sources import html_portals, json_portals, registry
 from . import data
 from .data import LISTINGS_CTE
-from .registry import query
+from .registry import query  # of queries; the other registry is of sources
 
 _BARRIO = "CASE WHEN barrio = 'EL CANEY' THEN 'El Caney' ELSE barrio END"
 _SHOWN = f"source_listing_id, {_BARRIO} AS barrio, city, area_m2, bedrooms, price"
@@ -266,6 +266,21 @@ def crawl_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.snapshot.select("source_listing_id", "price", "admin", "estrato", "agency", "is_active")
 
 
+_REGISTERED = ", ".join(f"('{s.id}', '{s.tier}', '{s.domain}')" for s in registry.SOURCES)
+_SOURCE_OF = ", ".join(f"'{s.id}'" for s in registry.SOURCES[:11])
+
+
+@query("sources_counted", f"WITH {LISTINGS_CTE}, r(id, tier, domain) AS (VALUES {_REGISTERED}), c AS (SELECT [{_SOURCE_OF}][1 + CAST(source_listing_id AS BIGINT) % 11] AS id, count(*) AS n FROM active GROUP BY 1) SELECT id, tier, domain, coalesce(n, 0) AS n FROM r LEFT JOIN c USING (id)")
+def sources_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with the adverts of each source; two have none."""
+    from ..operators.merge import counts_by_source
+
+    table = registry.registry_table(spark)
+    rows = data.active(spark, sf_dir).withColumn("source", F.expr(f"array({_SOURCE_OF})[bigint(source_listing_id) % 11]"))
+    counts = counts_by_source(rows, table).withColumnRenamed("source", "id")
+    return table.join(counts, "id").select("id", "tier", "domain", "n")
+
+
 @query("user_list", f"""WITH {LISTINGS_CTE}, n AS (SELECT *, row_number() OVER (ORDER BY CAST(source_listing_id AS BIGINT)) AS k FROM active)
 SELECT CASE WHEN CAST(source_listing_id AS BIGINT) % 2 = 0 THEN url ELSE 'row-' || source_listing_id END AS source_listing_id, barrio, city, area_m2, price FROM n WHERE area_m2 IS NOT NULL OR price IS NOT NULL""")
 def user_list(spark: SparkSession, sf_dir: str) -> DataFrame:
