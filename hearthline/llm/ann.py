@@ -130,13 +130,14 @@ def search(embeddings: DataFrame, k: int = 10, every: int = 100, index: Index |
                 rows = batch.filter(pa.array(length == n))
                 p = pivots.value.get(n)
                 flat = rows.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                found = orders(flat.reshape(rows.num_rows, n), p.at, min(index.prefix, len(p.at))) if p else np.zeros((rows.num_rows, 1), np.int32)
+                far = max(index.prefix, index.probe) if queries else index.prefix
+                found = orders(flat.reshape(rows.num_rows, n), p.at, min(far, len(p.at))) if p else np.zeros((rows.num_rows, 1), np.int32)
                 files = found[:, : index.probe if queries else index.post]
                 again = pa.array(np.repeat(np.arange(rows.num_rows), files.shape[1]))
                 out = rows.take(again)
                 last = out.column(4)
                 if queries:
-                    best = [np.sort(shared(o, p.gauge, len(p.at)))[-max(1, math.ceil(index.share * len(p.gauge)))] for o in found] if p else [0] * rows.num_rows
+                    best = [np.sort(shared(o, p.gauge, len(p.at)))[-max(1, math.ceil(index.share * len(p.gauge)))] for o in found[:, : index.prefix]] if p else [0] * rows.num_rows
                     last = pa.array(best, pa.int64()).take(again)
                 yield pa.RecordBatch.from_arrays([out.column(2), pa.array(files.ravel()), out.column(0), out.column(1), out.column(3), last], ["n", "pivot", "v1", "v2", "vector", "cut" if queries else "ids"])
 
