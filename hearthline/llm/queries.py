@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import search
 from .common import table
-from .decontaminate import LEAK_SQL, leaks
+from .decontaminate import CLASS_SQL, LEAK_SQL, leaks, template_classes
 from .html_text import extract_main_text
 from .merkle import manifest_digests, merkle_sql
 from .mixing import MIX_SQL, mix_sources
@@ -101,6 +101,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=8, run=6)
 
 
+@query("benchmark_classes", CLASS_SQL)
+def benchmark_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items the classes of op8 hold."""
+    return template_classes(table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_secret_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
