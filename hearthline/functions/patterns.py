@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,14 @@ def count_word(text: Column, word: str) -> Column:
 def once(x: Column, f) -> Column:
     """f(x) with x worked out once, however often f uses it, and only where the outcome is asked for."""
     return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with these columns, worked out once a row whatever is made of them.
+
+    The optimizer puts a column's expression into each filter that names it, and those filters as far down as they go, so that a page is
+    searched as often as it is named. What comes out of a generator stays there, and columns of it are read like those of a table.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    made = df.withColumns(columns).select(*kept, F.explode(F.array(F.struct(*columns))).alias("settled_"))
+    return made.select(*kept, *(F.col(f"settled_.{c}") for c in columns))

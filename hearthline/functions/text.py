@@ -27,7 +27,9 @@ _SPACES = r"\t-\r\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF
 def norm(s: Column) -> Column:
     """Without accents, lower-cased, white space collapsed and trimmed; '' for null."""
     letters, bases = _accents()
-    plain = F.regexp_replace(F.translate(F.coalesce(s, F.lit("")), letters, bases), "[̀-ͯ]", "")
+    text = F.coalesce(s, F.lit(""))
+    ascii_ = F.octet_length(text) == F.char_length(text)  # such a text has no accents
+    plain = F.when(ascii_, text).otherwise(F.regexp_replace(F.translate(text, letters, bases), "[̀-ͯ]", ""))
     return F.btrim(F.regexp_replace(F.lower(plain), f"[{_SPACES}][ {_SPACES}]*| [ {_SPACES}]+", " "))
 
 

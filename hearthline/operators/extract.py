@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import once
 from ..functions.text import norm_text
 from ..functions.urls import absolutize
 from ..workers import ship
@@ -54,9 +55,9 @@ def json_ld_nodes(pages: DataFrame, key: str = "url", body: str = "body") -> Dat
 
 
 def _is_type(node: Column, types: tuple[str, ...]) -> Column:
-    t = F.lower(F.get_json_object(node, "$['@type']"))
-    names = F.when(F.startswith(t, F.lit("[")), F.from_json(t, "array<string>")).otherwise(F.array(t))
-    return F.coalesce(F.arrays_overlap(names, F.array(*(F.lit(x.lower()) for x in types))), F.lit(False))
+    wanted = F.array(*(F.lit(x.lower()) for x in types))
+    names = lambda t: F.when(F.startswith(t, F.lit("[")), F.from_json(t, "array<string>")).otherwise(F.array(t))
+    return F.coalesce(once(F.lower(F.get_json_object(node, "$['@type']")), lambda t: F.arrays_overlap(names(t), wanted)), F.lit(False))
 
 
 def first_of_type(nodes: DataFrame, *types: str, key: str = "url") -> DataFrame:
@@ -77,9 +78,9 @@ def meta_tags(body: Column) -> Column:
     tags = F.regexp_extract_all(body, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1))
     attr = lambda t, a: F.concat(F.regexp_extract(t, rf'(?is)\b{a}\s*=\s*"([^"]*)"', 1), F.regexp_extract(t, rf"(?is)\b{a}\s*=\s*'([^']*)'", 1))
     pairs = F.transform(tags, lambda t: F.struct(F.coalesce(F.nullif(attr(t, "name"), F.lit("")), F.nullif(attr(t, "property"), F.lit(""))).alias("key"), unescape(attr(t, "content")).alias("value")))
-    named = F.filter(pairs, lambda p: p["key"].isNotNull())
-    keys = F.array_distinct(F.transform(named, lambda p: p["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(named, lambda p: p["key"] == k), F.lit(0))["value"]))
+    # Tags are read once: a lambda works out anew for each element what it takes from outside, but for another lambda's variable.
+    firsts = lambda keys, values: F.map_from_arrays(F.array_distinct(keys), F.transform(F.array_distinct(keys), lambda k: F.get(values, F.array_position(keys, k).cast("int") - 1)))
+    return once(F.filter(pairs, lambda p: p["key"].isNotNull()), lambda named: firsts(named["key"], named["value"]))
 
 
 def title(body: Column) -> Column:
@@ -145,8 +146,7 @@ def catalogue_blocks(body: Column, marker: str) -> Column:
 
 def decoded_link(coded: Column, otherwise: Column) -> Column:
     """The URL in a base64 text; else another."""
-    clear = F.decode(F.try_to_binary(coded, F.lit("base64")), "UTF-8")
-    return F.when(clear.rlike(r"(?i)^https?://"), clear).otherwise(otherwise)
+    return once(F.decode(F.try_to_binary(coded, F.lit("base64")), "UTF-8"), lambda clear: F.when(clear.rlike(r"(?i)^https?://"), clear).otherwise(otherwise))
 
 
 # What needs a scanner -------------------------------------------------------------------------------------------------
@@ -294,6 +294,10 @@ def labelled_values(page: str | None) -> dict[str, str]:
     return out
 
 
+#: Pages whose finds a worker holds at a time; Arrow's batches are of 10,000 rows however long these are.
+SLICE = 128
+
+
 def map_items(pages: DataFrame, f: Callable[[str | None], list], kind: str, carry: tuple[str, ...] = ("url", "city")) -> DataFrame:
     """carry... and items (an array of a type): what f finds in each page's body, a row a page, whatever its url."""
     names = [*carry, "items"]
@@ -301,9 +305,11 @@ def map_items(pages: DataFrame, f: Callable[[str | None], list], kind: str, carr
     item_type = {"string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[list(x.items()) if isinstance(x, dict) else x for x in f(body)] for body in batch.column(len(carry)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(found, pa.list_(item_type))], names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                found = [[list(x.items()) if isinstance(x, dict) else x for x in f(body)] for body in batch.column(len(carry)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(found, pa.list_(item_type))], names)
 
     ship(pages.sparkSession)
     return pages.select(*carry, F.col("body").cast("string")).mapInArrow(run, schema)

@@ -30,7 +30,8 @@ def pages_of(rows: DataFrame, source: str, item: str, body: str, per_page: int =
 
 
 def detail_pages(rows: DataFrame, source: str, url: str, body: str) -> DataFrame:
-    """One payload a listing."""
+    """One payload a listing. Rows are dealt afresh before they become pages: a file of rows is small where its pages are much work."""
+    rows = rows.repartition("source_listing_id")
     return rows.select(F.lit(source).alias("source"), F.expr(url).alias("url"), "city", F.lit(1).alias("page_no"), F.expr("timestamp '2024-06-30 00:00:00'").alias("fetched_at"), F.lit(200).alias("status"), F.expr(body).alias("body"))
 
 

@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import once, settled
 from ..functions.text import area, estrato, first_int, norm, number, phone, positive, price
 from ..functions.urls import absolutize, safe_site_url
 from ..operators.extract import canonical, cards, catalogue_blocks, decoded_link, first_node, labelled_values, map_items, map_pages, meta_tags, strip_tags, title, zipped
@@ -23,7 +24,7 @@ def _get(m: str, key: str) -> Column:
 
 
 def _found(s: Column, pattern: str, group: int = 1) -> Column:
-    return missing(F.regexp_extract(s, pattern, group))
+    return once(F.regexp_extract(s, pattern, group), missing)
 
 
 # How a street, rather than a district, begins.
@@ -34,10 +35,10 @@ def address_parts(street: Column, city: Column) -> tuple[Column, Column]:
     """(barrio, conjunto) of "[Conjunto X,] [street,] [barrio,] city, region, country"."""
     parts = F.filter(F.transform(F.split(street, ","), lambda p: F.btrim(p)), lambda p: p != "")
     conjunto = F.get(F.filter(parts, lambda p: p.rlike(r"(?i)^conjunto\b")), F.lit(0))
-    known = F.array(F.lit("colombia"), F.lit("col"), F.lit("valle del cauca"), norm(city))
-    inner = F.filter(parts, lambda p: ~F.array_contains(known, norm(p)))
-    last = F.when(F.size(inner) > 0, F.element_at(inner, -1))
-    return F.when(~last.rlike(_STREET), shown(last)), shown(conjunto)
+    known = lambda here: F.array(F.lit("colombia"), F.lit("col"), F.lit("valle del cauca"), here)
+    inner = once(norm(city), lambda here: F.filter(parts, lambda p: ~F.array_contains(known(here), norm(p))))
+    last = F.try_element_at(inner, F.lit(-1))
+    return once(last, lambda p: F.when(~p.rlike(_STREET), shown(p))), shown(conjunto)
 
 
 _ABOUT = "array<struct<name:string,numberOfBedrooms:string,numberOfBathroomsTotal:string,address:struct<streetAddress:string,addressLocality:string>,floorSize:struct<value:string>,geo:struct<latitude:string,longitude:string>>>"
@@ -172,11 +173,11 @@ def mitula(payloads: DataFrame) -> DataFrame:
     c = F.col
     barrio, district = _get("item", "data-neighbourhood"), _get("item", "data-district")
     coded = _get("item", "data-clickdestination")
-    clear = F.decode(F.try_to_binary(coded, F.lit("base64")), "UTF-8")
-    url = F.coalesce(decoded_link(coded, absolutize(clear, F.lit("https://casas.mitula.com.co/"))), c("url"))
+    x = settled(x, clear=F.decode(F.try_to_binary(coded, F.lit("base64")), "UTF-8"))
+    x = settled(x, link=F.coalesce(decoded_link(coded, absolutize(c("clear"), F.lit("https://casas.mitula.com.co/"))), c("url")), ident=F.coalesce(_get("item", "data-listingid"), _get("item", "data-pageviewid")))
     dated = _get("item", ".published-date-and-agency")
     return _kept(as_listing(
-        x, source=F.lit("mitula"), source_listing_id=F.coalesce(_get("item", "data-listingid"), _get("item", "data-pageviewid")), url=url, title=F.coalesce(trimmed(c("ld.name")), missing(F.concat_ws(", ", shown(barrio), shown(district)))), barrio=shown(barrio),
+        x, source=F.lit("mitula"), source_listing_id=c("ident"), url=c("link"), title=F.coalesce(trimmed(c("ld.name")), missing(F.concat_ws(", ", shown(barrio), shown(district)))), barrio=shown(barrio),
         city=_get("item", "data-city"), address=trimmed(c("ld.address.streetAddress")), **located(number(c("ld.geo.latitude")), number(c("ld.geo.longitude"))), area_m2=F.coalesce(area(_get("item", "data-floorarea")), area(c("ld.floorSize.value"))),
         bedrooms=first_int(_get("item", "data-rooms")), bathrooms=first_int(c("ld.numberOfBathroomsTotal")), price=price(_get("item", "data-price")), agency=trimmed(_found(dated, r"en -(.*)$")), raw_json=F.to_json(F.struct("item", "ld")),
     ))
