@@ -56,14 +56,14 @@ def properati(payloads: DataFrame) -> DataFrame:
     """Cards, each with the JSON-LD item of its place; the card's values first."""
     x = _cards_and_items(payloads, "snippet__content")
     c = F.col
-    url = absolutize(_get("item", "href"), F.lit("https://www.properati.com.co/"))
-    name = F.coalesce(_get("item", ".snippet__title"), _get("item", "@title"))
+    x = settled(x.withColumn("href", _get("item", "href")), link=absolutize(c("href"), F.lit("https://www.properati.com.co/")), name=F.coalesce(_get("item", ".snippet__title"), _get("item", "@title")))
+    url, name = c("link"), c("name")
+    x = settled(x, ident=F.coalesce(_found(url, r"/([0-9a-f]{8}-[0-9a-f-]{20,})"), _found(url, r"([^/?#]+)/?(?:[?#].*)?$")))
     street = c("ld.address.streetAddress")
-    in_title = _found(name, r"(?i)\barriendo\s+en\s+(.+)$")
-    in_title = F.when(norm(in_title) != norm(c("city")), shown(in_title))
+    in_title = once(_found(name, r"(?i)\barriendo\s+en\s+(.+)$"), lambda t: F.when(norm(t) != norm(c("city")), shown(t)))
     barrio, conjunto = address_parts(street, c("city"))
     return _kept(as_listing(
-        x.withColumn("page", c("url")), source=F.lit("properati"), source_listing_id=F.coalesce(_found(url, r"/([0-9a-f]{8}-[0-9a-f-]{20,})"), _found(url, r"([^/?#]+)/?(?:[?#].*)?$")), url=url, title=F.coalesce(name, c("ld.name")),
+        x, source=F.lit("properati"), source_listing_id=c("ident"), url=url, title=F.coalesce(name, c("ld.name")),
         barrio=F.coalesce(in_title, barrio), conjunto=conjunto, city=F.coalesce(trimmed(c("ld.address.addressLocality")), shown(c("city"))), address=trimmed(street), **located(number(c("ld.geo.latitude")), number(c("ld.geo.longitude"))),
         area_m2=F.coalesce(area(_get("item", ".area-value")), positive(number(c("ld.floorSize.value")))), bedrooms=F.coalesce(first_int(_get("item", ".bedrooms-value")), first_int(c("ld.numberOfBedrooms"))),
         bathrooms=F.coalesce(first_int(_get("item", ".full-bathrooms-value")), first_int(c("ld.numberOfBathroomsTotal"))), price=price(_get("item", ".snippet__price")), agency=_get("item", ".agency-name"), raw_json=F.to_json(F.struct("item", "ld")),
