@@ -214,13 +214,15 @@ MOST_RENT = 50_000_000
 def century21(payloads: DataFrame, property_types: tuple[str, ...] = ("casa",), cities: tuple[str, ...] = ("cali", "jamundi"), agencies: DataFrame | None = None) -> DataFrame:
     """Detail pages by their meta tags; rentals of the wanted types and cities. agencies(url, agency, phone) adds whose they are."""
     c = F.col
-    x = payloads.select("url", "body").withColumn("m", meta_tags(c("body"))).withColumn("t", title(c("body")))
+    x = settled(payloads.select("url", "body"), m=meta_tags(c("body")), t=title(c("body")), own=safe_site_url(canonical(c("body")), "century21colombia.com")).drop("body")
     # Fixed value: the form of the site's titles.
     deal = r"(?i)^(renta|venta)\s+de\s+([a-zñáéíóú]+)\s+en\b"
     rent = (norm(F.regexp_extract("t", deal, 1)) == "renta") & norm(F.regexp_extract("t", deal, 2)).isin(*property_types)
     city = F.coalesce(_get("m", "municipio"), trimmed(_found(c("t"), r"\ben\s+[^,]+,\s*([^,]+),")))
-    amount = first_int(_get("m", "precio")).cast("double")
-    x = x.where(rent & norm(city).isin(*cities) & (amount.isNull() | (amount <= MOST_RENT)))
+    ident = F.coalesce(_found(c("url"), r"/propiedad/(\d+)_?"), first_int(_get("m", "clave")).cast("string"))
+    x = settled(x.where(rent), place=city, amount=first_int(_get("m", "precio")).cast("double"), ident=ident, link=F.coalesce("own", "url"))
+    amount = c("amount")
+    x = x.where(norm(c("place")).isin(*cities) & (amount.isNull() | (amount <= MOST_RENT)))
     if agencies is not None:
         phones = agencies.where("agency is not null").groupBy(norm(c("agency")).alias("_k")).agg(F.min("phone").alias("_phone"))
         own = agencies.groupBy("url").agg(F.min("agency").alias("_agency"))
@@ -229,7 +231,7 @@ def century21(payloads: DataFrame, property_types: tuple[str, ...] = ("casa",),
         x = x.withColumns({"_agency": F.lit(None).cast("string"), "_phone": F.lit(None).cast("string")})
     size = lambda k: positive(F.replace(_get("m", k), F.lit(","), F.lit(".")).try_cast("double"))
     return _kept(as_listing(
-        x, source=F.lit("century21"), source_listing_id=F.coalesce(_found(c("url"), r"/propiedad/(\d+)_?"), first_int(_get("m", "clave")).cast("string")), url=F.coalesce(safe_site_url(canonical(c("body")), "century21colombia.com"), c("url")), title=_get("m", "og:title"),
-        barrio=shown(_get("m", "colonia")), city=shown(city), area_m2=F.coalesce(size("MC"), size("MT")), bedrooms=first_int(_get("m", "recamaras")), bathrooms=first_int(_get("m", "banio")), parking=first_int(_get("m", "estacionamiento")), price=amount,
+        x, source=F.lit("century21"), source_listing_id=c("ident"), url=c("link"), title=_get("m", "og:title"),
+        barrio=shown(_get("m", "colonia")), city=shown(c("place")), area_m2=F.coalesce(size("MC"), size("MT")), bedrooms=first_int(_get("m", "recamaras")), bathrooms=first_int(_get("m", "banio")), parking=first_int(_get("m", "estacionamiento")), price=amount,
         currency=F.coalesce(_get("m", "moneda"), F.lit("COP")), agency=c("_agency"), phone=c("_phone"), raw_json=F.to_json(F.struct("url", "m")),
     ))
