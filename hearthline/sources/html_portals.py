@@ -186,24 +186,25 @@ def mitula(payloads: DataFrame) -> DataFrame:
 def arriendo(payloads: DataFrame) -> DataFrame:
     """Detail pages: label list, script variables for phone and coordinates, place and id in the slug."""
     c = F.col
-    x = _labels(payloads.select("url", "body", F.col("body").alias("page")), "url", "page").withColumnRenamed("page", "body")
-    x = x.withColumn("seg", F.filter(F.split(F.regexp_replace("url", r"^[a-z]+://[^/]+|[?#].*$", ""), "/"), lambda s: s != ""))
+    x = settled(payloads.select("url", "body"), seg=F.filter(F.split(F.regexp_replace("url", r"^[a-z]+://[^/]+|[?#].*$", ""), "/"), lambda s: s != ""))
     part = lambda k: F.when(F.size("seg") >= 4, F.element_at("seg", -k))
     ident = F.coalesce(F.upper(_found(part(1), r"(?i)^(AR-\d+)$")), F.upper(_found(strip_tags(c("body")), r"(?i)C[oó]digo del inmueble:\s*(AR-\d+)")))
     # The names of the page's script variables.
     called = F.from_json(F.regexp_extract("body", r"ARX_PHONE_DATA\s*=\s*window\.ARX_PHONE_DATA\s*\|\|\s*(\{[^}]*\})", 1), "pc string, pw string, hw boolean")
     at = F.from_json(F.regexp_extract("body", r"(?s)arxPropertyLatLng\s*=\s*(\{.*?\});", 1), "lat double, lng double")
     digits = lambda s: F.when(s.rlike(r"\d{7,}"), s)
-    inner = lambda cls: missing(strip_tags(F.regexp_extract("body", rf'(?is)class="[^"]*\b{cls}\b[^"]*"[^>]*>(.*?)</(?:span|p|div|strong|h1)>', 1)))
-    fee = missing(strip_tags(F.regexp_extract("body", r'(?is)es-price-container.*?<strong[^>]*>(.*?)</strong>', 1)))
-    agency = missing(strip_tags(F.regexp_extract("body", r'(?is)intro-info-agencia.*?<p[^>]*>(.*?)</p>', 1)))
-    wa = digits(called["pw"])
-    x = x.withColumns({"called": called, "at": at})
+    inner = lambda pattern: once(strip_tags(F.regexp_extract("body", pattern, 1)), missing)
+    asked = price(inner(r'(?is)class="[^"]*\bes-price\b[^"]*"[^>]*>(.*?)</(?:span|p|div|strong|h1)>'))
+    fee = inner(r'(?is)es-price-container.*?<strong[^>]*>(.*?)</strong>')
+    agency = inner(r'(?is)intro-info-agencia.*?<p[^>]*>(.*?)</p>')
+    wa = digits(c("called.pw"))
+    said = {"head": inner(r"(?is)<h1[^>]*>(.*?)</h1>"), "asked": asked, "fee": fee, "agency": agency, "called": called, "at": at, "ident": ident}
+    x = _labels(settled(x, **said), "url", "seg", *said)  # read before Python, which then needn't hand the page back
     return _kept(as_listing(
-        x, source=F.lit("arriendo"), source_listing_id=ident, url=c("url"), title=missing(strip_tags(F.regexp_extract("body", r"(?is)<h1[^>]*>(.*?)</h1>", 1))), barrio=F.coalesce(shown(_get("labels", "barrio")), shown(F.replace(part(2), F.lit("-"), F.lit(" ")))),
+        x, source=F.lit("arriendo"), source_listing_id=c("ident"), url=c("url"), title=c("head"), barrio=F.coalesce(shown(_get("labels", "barrio")), shown(F.replace(part(2), F.lit("-"), F.lit(" ")))),
         city=shown(part(3)), lat=c("at.lat"), lng=c("at.lng"), geocode_precision=F.when(c("at.lat").isNotNull() & c("at.lng").isNotNull(), "source"), area_m2=area(_get("labels", "area, m²")), bedrooms=first_int(_get("labels", "habitaciones")),
-        bathrooms=first_int(_get("labels", "banos")), parking=first_int(_get("labels", "parqueaderos")), price=price(inner("es-price")), admin=F.when(~fee.rlike("(?i)no disponible"), price(fee)), estrato=estrato(first_int(_get("labels", "estrato"))),
-        agency=F.when(~agency.rlike("(?i)no asignada"), agency), phone=F.coalesce(wa, digits(called["pc"])), has_whatsapp=F.coalesce(called["hw"] & wa.isNotNull(), F.lit(False)), raw_json=F.to_json(F.struct("url", "labels")),
+        bathrooms=first_int(_get("labels", "banos")), parking=first_int(_get("labels", "parqueaderos")), price=c("asked"), admin=F.when(~c("fee").rlike("(?i)no disponible"), price(c("fee"))), estrato=estrato(first_int(_get("labels", "estrato"))),
+        agency=F.when(~c("agency").rlike("(?i)no asignada"), c("agency")), phone=F.coalesce(wa, digits(c("called.pc"))), has_whatsapp=F.coalesce(c("called.hw") & wa.isNotNull(), F.lit(False)), raw_json=F.to_json(F.struct("url", "labels")),
     ))
 
 
