@@ -154,15 +154,15 @@ def elpaisfincaraiz(payloads: DataFrame) -> DataFrame:
     """Cards whose description holds rooms and an area with dots between thousands."""
     x = map_pages(payloads, partial(cards, card_class="flexArticle"), "map<string,string>")
     c = F.col
-    said = F.coalesce(_get("item", ".description"), F.lit(""))
-    url = absolutize(_get("item", "href"), F.lit("https://fincaraiz.elpais.com.co/"))
-    head = _get("item", ".label-list")
+    x = settled(x, said=F.coalesce(_get("item", ".description"), F.lit("")), head=_get("item", ".label-list"), href=_get("item", "href"))
+    x = settled(x, link=absolutize(c("href"), F.lit("https://fincaraiz.elpais.com.co/")))
+    x = settled(x, ident=_found(c("link"), r"(\d+)(?:[/?#.]|$)"))
+    said, url, head = c("said"), c("link"), c("head")
     where = _found(head, r"(?i)Alquiler\s+en\s+(.+)$")
-    size = _found(said, r"(?i)([\d.,]+)\s*mts?2")
-    size = F.when(F.contains(size, F.lit(",")), F.replace(size, F.lit("."), F.lit(""))).otherwise(size)
+    size = once(_found(said, r"(?i)([\d.,]+)\s*mts?2"), lambda s: F.when(F.contains(s, F.lit(",")), F.replace(s, F.lit("."), F.lit(""))).otherwise(s))
     called = phone(F.coalesce(_get("item", "data-phone"), _get("item", ".wasa"), _get("item", ".call")))
     return _kept(as_listing(
-        x, source=F.lit("elpaisfincaraiz"), source_listing_id=_found(url, r"(\d+)(?:[/?#.]|$)"), url=url, title=head, barrio=F.when(norm(where) != norm(c("city")), shown(where)), city=c("city"), area_m2=area(size),
+        x, source=F.lit("elpaisfincaraiz"), source_listing_id=c("ident"), url=url, title=head, barrio=once(where, lambda w: F.when(norm(w) != norm(c("city")), shown(w))), city=c("city"), area_m2=area(size),
         bedrooms=first_int(_found(said, r"(?i)(\d+)\s*alcoba")), bathrooms=first_int(_found(said, r"(?i)(\d+)\s*ba[ñn]o")), price=price(_get("item", ".price")), phone=called, has_whatsapp=F.try_element_at("item", F.lit(".wasa")).isNotNull(), raw_json=F.to_json("item"),
     ))
 
