@@ -85,15 +85,16 @@ def rentola(payloads: DataFrame) -> DataFrame:
     """Detail pages: JSON-LD of the advert, the slug's city, district and id, and the panel's text."""
     pages = payloads.where(allowed(F.col("url"))).select("url", "body", first_node(F.col("body"), "RealEstateListing").alias("node"))
     schema = "name string, url string, offers struct<price:string,itemOffered:struct<address:struct<streetAddress:string,addressLocality:string>,geo:struct<latitude:string,longitude:string>,floorSize:struct<value:string>,numberOfBedrooms:struct<value:string>,numberOfBathroomsTotal:struct<value:string>,numberOfBathrooms:struct<value:string>>>"
-    x = pages.withColumn("ld", F.from_json("node", schema)).withColumn("slug", _found(F.regexp_replace("url", r"[?#].*$|/+$", ""), r"([^/]+)$")).withColumn("text", strip_tags(F.col("body")))
+    x = pages.withColumn("ld", F.from_json("node", schema))
+    x = settled(x, slug=_found(F.regexp_replace("url", r"[?#].*$|/+$", ""), r"([^/]+)$"), text=strip_tags(F.col("body")))
     c = F.col
     house = c("ld.offers.itemOffered")
     tail = r"\d{1,3}(?:-\d{3})+-p[0-9a-f]+$"  # fixed value: how the site ends its slugs
-    ident = F.coalesce(_found(c("slug"), rf"(?i)-(\d+)-{tail}"), _found(c("slug"), r"(?i)-p([0-9a-f]+)$"))
+    x = settled(x, ident=F.coalesce(_found(c("slug"), rf"(?i)-(\d+)-{tail}"), _found(c("slug"), r"(?i)-p([0-9a-f]+)$")), link=F.coalesce(missing(c("ld.url")), c("url")))
     city = F.lower(_found(c("slug"), r"(?i)-en-(cali|jamundi)\b"))
     barrio = F.replace(_found(c("slug"), rf"(?i)-en-(?:cali|jamundi)-en-(.+?)-\d{{1,7}}-{tail}"), F.lit("-"), F.lit(" "))
     return _kept(as_listing(
-        x, source=F.lit("rentola"), source_listing_id=ident, url=F.coalesce(missing(c("ld.url")), c("url")), title=trimmed(c("ld.name")), barrio=shown(barrio), city=F.coalesce(shown(city), trimmed(house["address"]["addressLocality"])),
+        x, source=F.lit("rentola"), source_listing_id=c("ident"), url=c("link"), title=trimmed(c("ld.name")), barrio=shown(barrio), city=F.coalesce(shown(city), trimmed(house["address"]["addressLocality"])),
         address=trimmed(house["address"]["streetAddress"]), **located(number(house["geo"]["latitude"]), number(house["geo"]["longitude"])), area_m2=F.coalesce(positive(number(house["floorSize"]["value"])), area(_found(c("text"), r"(?i)(\d+(?:[.,]\d+)?)\s*m(?:²|2)"))),
         bedrooms=F.coalesce(first_int(house["numberOfBedrooms"]["value"]), first_int(_found(c("text"), r"(?i)(\d+)\s*(?:habitaci|alcoba|dormitorio)"))), bathrooms=first_int(F.coalesce(house["numberOfBathroomsTotal"]["value"], house["numberOfBathrooms"]["value"])),
         parking=F.when(c("text").rlike(r"(?i)\b(?:parqueadero|estacionamiento|garaje)\b"), 1), price=price(F.regexp_replace(c("ld.offers.price"), r"\.0$", "")), raw_json=F.coalesce("node", F.to_json(F.struct("url", "slug"))),
@@ -108,20 +109,23 @@ def _labels(payloads: DataFrame, *carry: str) -> DataFrame:
 
 def inmoalfaguara(payloads: DataFrame) -> DataFrame:
     """Detail pages: label list, JSON-LD of the house, price in the page's title tag, place in the slug. Agency and phone are the site's."""
-    pages = payloads.select("url", "body", first_node(F.col("body"), "House").alias("node"), strip_tags(F.col("body")).alias("text"), F.coalesce(_get_meta("og:title"), F.lit("")).alias("og"))
-    x = _labels(pages, "url", "node", "text", "og")
+    pages = settled(payloads.select("url", "body"), og=F.coalesce(_get_meta("og:title"), F.lit("")), node=first_node(F.col("body"), "House"))
+    asked = price(F.when(F.contains("og", F.lit("$")), F.substring_index("og", "$", -1)))
+    pages = settled(pages, asked=F.coalesce(asked, price(_found(strip_tags(F.col("body")), r"(?i)Precio de alquiler\s*\$?\s*([\d.,]+)"))))
+    x = _labels(pages, "url", "node", "og", "asked")
     x = x.withColumn("ld", F.from_json("node", "url string, name string, address string, geo struct<latitude:string,longitude:string>, numberOfRooms string, telephone string"))
     x = x.withColumn("toks", F.split(F.coalesce(_found(F.col("url"), r"://[^/]+/(?:[^?#]*/)?([^/?#]+)/[^/?#]+/?$"), F.lit("")), "-"))
     c = F.col
     middle = F.when(F.size("toks") > 3, F.array_join(F.slice("toks", 3, F.size("toks") - 3), " "))
     slug_city = F.when(F.size("toks") >= 3, F.element_at("toks", -1))
     zone = F.coalesce(_get("labels", "zona / barrio"), _get("labels", "barrio"))
+    x = settled(x, ident=F.coalesce(_found(c("url"), r"/(\d+)/?$"), _found(_get("labels", "codigo"), r"(\d+)")), link=F.coalesce(F.when(F.startswith("ld.url", F.lit("http")), c("ld.url")), c("url")))
     return _kept(as_listing(
-        x, source=F.lit("inmoalfaguara"), source_listing_id=F.coalesce(_found(c("url"), r"/(\d+)/?$"), _found(_get("labels", "codigo"), r"(\d+)")), url=F.coalesce(F.when(F.startswith("ld.url", F.lit("http")), c("ld.url")), c("url")),
+        x, source=F.lit("inmoalfaguara"), source_listing_id=c("ident"), url=c("link"),
         title=F.coalesce(trimmed(c("ld.name")), trimmed(F.substring_index("og", " - $", 1))), barrio=F.coalesce(shown(zone), shown(middle)), conjunto=F.when(middle.rlike("conjunto|residencial|condominio"), shown(middle)),
         city=F.coalesce(shown(_get("labels", "ciudad")), shown(slug_city)), address=trimmed(c("ld.address")), **located(number(c("ld.geo.latitude")), number(c("ld.geo.longitude"))),
         area_m2=F.coalesce(*(area(_get("labels", k)) for k in ("area construida", "area privada", "area terreno"))), bedrooms=F.coalesce(first_int(_get("labels", "alcobas")), first_int(c("ld.numberOfRooms"))), bathrooms=first_int(_get("labels", "banos")),
-        parking=first_int(_get("labels", "garaje")), price=F.coalesce(price(F.when(F.contains("og", F.lit("$")), F.substring_index("og", "$", -1))), price(_found(c("text"), r"(?i)Precio de alquiler\s*\$?\s*([\d.,]+)"))),
+        parking=first_int(_get("labels", "garaje")), price=c("asked"),
         admin=price(_get("labels", "administracion")), estrato=estrato(first_int(_get("labels", "estrato"))), agency=F.lit("Inmobiliaria Alfaguara"), phone=phone(c("ld.telephone")), has_whatsapp=F.lit(True), raw_json=F.to_json(F.struct("url", "labels", "og")),
     ))
 
