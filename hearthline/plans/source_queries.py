@@ -239,12 +239,12 @@ _READ = {
 
 @query("all_sources", f"WITH {LISTINGS_CTE} " + " UNION ALL ".join(f"SELECT '{s}' AS source, count(*) AS n, sum(price) + {'count(*) FILTER (price IS NULL)' if s == 'century21' else '0'} AS total, count(area_m2) {'+ count(*) FILTER (area_m2 IS NULL)' if s == 'bienco' else ''} AS areas, count(bedrooms) AS bedrooms FROM active WHERE {w}" for s, w in _READ.items()))
 def all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads of all thirteen sources in one table, read once."""
+    """Payloads of all thirteen sources in one table, read and written once, by normalize_all."""
     from ..sources.registry import normalize_all
     from ..staging import staged
 
-    rows = data.active(spark, sf_dir)
-    every = staged(reduce(DataFrame.unionByName, (f(rows) for f in PAYLOADS.values())), "every-payload")
+    rows = staged(data.active(spark, sf_dir).repartition("source_listing_id"), "every-advert")
+    every = reduce(DataFrame.unionByName, (f(rows) for f in PAYLOADS.values()))
     return normalize_all(every).groupBy("source").agg(F.count("*").alias("n"), F.sum("price").alias("total"), F.count("area_m2").alias("areas"), F.count("bedrooms").alias("bedrooms"))
 
 
