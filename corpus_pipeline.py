@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with a five-word similarity of 0.8 or more: the one of the smallest doc_id.
 
-    At that similarity 64-bit fingerprints differ in ten bits on average, which no block keys reach, so candidates come from bands
-    of minimum hashes instead, and every link is checked on the whole texts (the README has the figures).
+    Candidates are what operator 6 links by SimHash fingerprints, and besides, since at that similarity these differ in ten bits on
+    average, which no block keys reach, texts with an equal band of minimum hashes. Every link is checked on the whole texts.
     """
     return keep_one_of_resembling(docs, least=0.8)
 

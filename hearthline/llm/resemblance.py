@@ -1,7 +1,9 @@
 """Near-duplicates by exact resemblance: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates are texts with an equal band of minimum hashes (BANDS bands of ROWS minima: a pair at exactly 0.8 is passed over with
-a probability of 7e-5, a closer one more rarely). Every link is checked on the two whole texts. A band's texts are first compared
+Candidates are, first, texts that operator 6 links: SimHash fingerprints within two bits of each other. At a similarity of 0.8 most
+fingerprints differ in more bits than block keys reach, so texts with an equal band of minimum hashes come besides (BANDS bands of ROWS
+minima: a pair at exactly 0.8 is passed over by them with a probability of 7e-5, a closer one more rarely). Every link is checked on the
+two whole texts. A band's texts are first compared
 with its least one only, and what that links counts as one. Where a band still holds several components, the texts outside its
 largest one are compared with all others: in pieces, by counting common shingles over inverted lists, so that a task holds two
 pieces and passes on a forest of its links, never pairs.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, map_arrow, release, ship, staged
 from .graph import components
-from .simhash import keep_first
+from .simhash import fingerprints, keep_first, near_links
 
 #: Words of a shingle; similarity of a link; bands, and minima of a band.
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 24, 5
@@ -165,13 +167,26 @@ def _across(docs: DataFrame, open_: DataFrame, least: float) -> DataFrame:
     return grouped.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second").mapInArrow(partial(_compare, least=least), "u bigint, v bigint")
 
 
+def fingerprint_pairs(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
+    """Pairs (u, v) of text hashes, as many as texts at most for each block key, that connect all texts whose SimHash fingerprints are linked
+    by operator 6. docs: doc_id, text."""
+    prints = staged(fingerprints(docs, size).select("text_hash", "fp").distinct(), "fingerprints")
+    hubs = staged(prints.groupBy("fp").agg(F.min("text_hash").alias("hub")), "fingerprint-hubs")
+    # On another form of the key, so that both sides are dealt anew and Spark can split a fingerprint that many texts have.
+    equal = prints.join(hubs.select(F.bitwise_not("fp").alias("k"), "hub"), F.bitwise_not("fp") == F.col("k")).where("text_hash <> hub").select(F.col("hub").alias("u"), F.col("text_hash").alias("v"))
+    first, second = hubs.select(F.col("fp").alias("u"), F.col("hub").alias("a")), hubs.select(F.col("fp").alias("v"), F.col("hub").alias("b"))
+    near = near_links(hubs.select("fp"), radius).join(first, "u").join(second, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return equal.unionByName(near)
+
+
 def resemblance_links(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(u, v): for each text hash that is linked, the least one of its component. docs: text, text_hash."""
+    """(u, v): for each text hash that is linked, the least one of its component. docs: doc_id, text, text_hash."""
     keyed = _keyed(docs)
     shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("hub")).where("m > 1").select(F.bitwise_not("key").alias("k"), "hub")
     keyed = staged(keyed.select("node", "key", F.bitwise_not("key").alias("k")).join(shared, "k").select("node", "key", "hub"), "shared-bands")
     release(docs.sparkSession)
-    pairs = keyed.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    pairs = keyed.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    pairs = pairs.unionByName(fingerprint_pairs(docs)).distinct()
     stars = components(_verified(docs, staged(pairs, "pairs"), least))
     label = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
     labelled = keyed.drop("hub").join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
