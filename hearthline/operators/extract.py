@@ -25,8 +25,9 @@ _SCRIPT = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]
 
 
 def json_ld_blocks(body: Column) -> Column:
-    """The texts of a page's JSON-LD scripts."""
-    return F.regexp_extract_all(body, F.lit(_SCRIPT), F.lit(1))
+    """The texts of a page's JSON-LD scripts. The pattern is tried only where the type that it needs stands."""
+    without = ~F.contains(F.lower(body), F.lit("application/ld+json"))
+    return F.when(without, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(body, F.lit(_SCRIPT), F.lit(1)))
 
 
 def _listed(raw: Column) -> Column:
@@ -154,12 +155,14 @@ def decoded_link(coded: Column, otherwise: Column) -> Column:
 
 _DECODE = json.JSONDecoder().raw_decode
 _OPENING = re.compile(r"(?:[{\[\s:]|\"[^\"{}\[\]]*\")+")
-_CODED = {"&q;": '"', "&l;": "<", "&g;": ">", "&a;": "&"}  # fixed values
+_CODED = {"&q;": '"', "&l;": "<", "&g;": ">", "&a;": "&"}  # fixed values; & last, as what it makes isn't a code
 
 
 def coded_state(page: str | None, key: str) -> list[str]:
     """The object after a key in a state blob whose quotes and brackets are coded as in _CODED."""
-    plain = re.sub("|".join(_CODED), lambda m: _CODED[m[0]], (page or "").partition(f"{key}&q;:")[2])
+    plain = (page or "").partition(f"{key}&q;:")[2]
+    for code, char in _CODED.items():
+        plain = plain.replace(code, char)
     try:
         return [plain[: _DECODE(plain)[1]]] if plain.startswith("{") else []
     except (ValueError, RecursionError):  # cut off, or nested deeper than the decoder goes

@@ -233,3 +233,20 @@ def test_payloads_are_routed_once(spark):
     plan = routed.where("source = 'bienco'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(source" in plan
     assert registry.normalize_all(rows).count() == 0 and registry.normalize_all(rows.limit(0)).count() == 0
+
+
+def test_estate_words_and_scripts_are_looked_for_once(spark):
+    """A text is normalised once for all words of an estate, and a page without JSON-LD isn't searched for its scripts."""
+    from pyspark.sql import functions as F
+
+    from hearthline.operators.extract import coded_state, json_ld_blocks
+    from hearthline.sources.json_portals import _conjunto
+
+    df = spark.createDataFrame([("Unidad  RÍO",), ("casa",), (None,), ("URBANIZACIÓN x",)], "a string")
+    out = df.select(_conjunto(F.col("a")).alias("c"))
+    assert [r.c for r in out.collect()] == ["Unidad  Río", None, None, "Urbanización X"]
+    assert "exists(" not in out._jdf.queryExecution().analyzed().toString()
+    page = '<SCRIPT type="Application/LD+Json">{"a":1}</script>'
+    pages = spark.createDataFrame([(page,), ("<script>1</script>",), (None,)], "b string").select(json_ld_blocks(F.col("b")).alias("x"))
+    assert [r.x for r in pages.collect()] == [['{"a":1}'], [], None]
+    assert coded_state("&q;k&q;:{&q;a&q;:&q;&a;q; &a;a; &l;&g; &x;&q;} more", "k") == ['{"a":"&q; &a; <> &x;"}']
