@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import STATE_NAMES, effective_km, identity_keys, place, review_state, safe_cell, state_name
@@ -26,31 +26,49 @@ def position(rows: DataFrame) -> DataFrame:
 
 
 def with_keys(rows: DataFrame) -> DataFrame:
-    """Adds pos and the identity keys of each row."""
-    return position(rows).withColumn("keys", identity_keys(F.col("source"), F.col("source_listing_id"), F.col("url"), F.col("source_links")))
+    """Adds pos and the identity keys of each row. Rows at one place (of entries that share id and time) are told apart by their keys."""
+    keyed = position(rows).withColumn("keys", identity_keys(F.col("source"), F.col("source_listing_id"), F.col("url"), F.col("source_links")))
+    return keyed.withColumn("pos", F.col("pos").withField("k", F.xxhash64("keys")))
 
 
 def _pairs(keyed: DataFrame) -> DataFrame:
-    return keyed.select("pos", F.explode("keys").alias("key"))
+    return keyed.select("pos", F.size("keys").alias("n"), F.explode("keys").alias("key"))
 
 
 def _first(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("key").agg(F.min("pos").alias("first"))
+    """key, first: the position that holds it first, n: how many keys that row has."""
+    return pairs.groupBy("key").agg(F.min(F.struct("pos", "n")).alias("f")).select("key", F.col("f.pos").alias("first"), F.col("f.n").alias("n"))
+
+
+def _holders(first: DataFrame, **marks: Column) -> DataFrame:
+    """pos of the rows that hold all their keys first, with aggregates over these keys; only one row a key is dealt by position."""
+    whole = first.groupBy(F.col("first").alias("pos")).agg(F.count("*").alias("_held"), F.min("n").alias("_n"), *(c.alias(name) for name, c in marks.items()))
+    return whole.where("_held = _n").drop("_held", "_n")
 
 
 def _kept(pairs: DataFrame, first: DataFrame) -> DataFrame:
-    return pairs.join(first, "key").groupBy("pos").agg(F.bool_and(F.col("pos") == F.col("first")).alias("new")).where("new").select("pos")
+    return pairs.join(first.select("key", "first"), "key").groupBy("pos").agg(F.bool_and(F.col("pos") == F.col("first")).alias("new")).where("new").select("pos")
 
 
 def first_occurrences(rows: DataFrame) -> DataFrame:
     """Rows none of whose identity keys was met before, in the order of pos; rows that are passed over register their keys too.
 
     A row is the first of its kind if it is the first holder of each of its keys, so one minimum by key decides, without a
-    loop over rows: keys are exploded, reduced to their first position, and a row stays if all its keys name it.
+    loop over rows: keys are exploded, reduced to their first position, and a row stays if as many keys name it as it has.
     """
     keyed = with_keys(rows)
-    pairs = _pairs(keyed)
-    return keyed.join(_kept(pairs, _first(pairs)), "pos")
+    return keyed.join(_holders(_first(_pairs(keyed))), "pos")
+
+
+def first_marked(rows: DataFrame, reviews: DataFrame) -> DataFrame:
+    """with_reviews(first_occurrences(rows), reviews), with reviews looked up once for each key: all keys of a first row name it."""
+    return _first_marked(with_keys(rows), reviews)
+
+
+def _first_marked(keyed: DataFrame, reviews: DataFrame) -> DataFrame:
+    by_key = reviews.groupBy("key").agg(F.bool_or("seen").alias("seen"), F.bool_or("eligible").alias("eligible"))
+    first = _first(_pairs(keyed)).join(by_key, "key", "left")
+    return _with_state(keyed.join(_holders(first, seen=F.bool_or("seen"), eligible=F.bool_or("eligible")), "pos"))
 
 
 class Occurrences(NamedTuple):
@@ -61,43 +79,52 @@ class Occurrences(NamedTuple):
     kept: DataFrame
 
 
-#: Keys of an update that are broadcast at most; more are joined by a shuffle.
+#: Keys of an update's rows that are broadcast at most; with more, everything is worked out anew.
 MAX_TOUCHED = 200_000
 
 
 def occurrences(rows: DataFrame) -> Occurrences:
-    """Of all histories, worked out anew."""
-    pairs = _pairs(with_keys(rows))
-    first = _first(pairs)
-    return Occurrences(first, _kept(pairs, first))
+    """Of all histories, worked out anew. First positions are written once, and what is kept is read off them."""
+    return _occurrences(with_keys(rows))
+
+
+def _occurrences(keyed: DataFrame) -> Occurrences:
+    first = staged(_first(_pairs(keyed)), "first-positions")
+    return Occurrences(first.select("key", "first"), _holders(first))
 
 
 def update_occurrences(old: Occurrences, rows: DataFrame, added: DataFrame, removed: Iterable[str]) -> Occurrences:
     """The occurrences after entries are added and others (by entry_id) removed; rows: those of the histories before that.
 
     Only keys of added and removed rows get another first position, and only rows that hold one of these are judged anew: what
-    else is kept stays as it is. Rows are scanned for such keys, not shuffled, while these are few enough to broadcast.
+    else is kept stays as it is. Rows are scanned for such keys, not shuffled. An update with more keys than can be broadcast would
+    deal all rows by key and by position more than once, so everything is worked out anew then, which does so once.
     """
     removed = list(removed)
     out = F.col("entry_id").isin(*removed) if removed else F.lit(False)
     before, new = with_keys(rows), with_keys(added)
     gone, stay = before.where(out), before.where(~out)
-    touched = staged(_pairs(gone).select("key").union(_pairs(new).select("key")).distinct(), "touched-keys")
-    touched = F.broadcast(touched) if touched.count() <= MAX_TOUCHED else touched
+    sizes = gone.select("keys").unionByName(new.select("keys")).agg(F.sum(F.size("keys").cast("bigint"))).first()[0]
+    if (sizes or 0) > MAX_TOUCHED:
+        return _occurrences(stay.select("pos", "keys").unionByName(new.select("pos", "keys")))
+    touched = F.broadcast(staged(_pairs(gone).select("key").union(_pairs(new).select("key")).distinct(), "touched-keys"))
     pairs = _pairs(stay).unionByName(_pairs(new))
-    first = old.first.join(touched, "key", "left_anti").unionByName(_first(pairs.join(touched, "key", "left_semi")))
+    first = old.first.join(touched, "key", "left_anti").unionByName(_first(pairs.join(touched, "key", "left_semi")).drop("n"))
     again = staged(pairs.join(touched, "key", "left_semi").select("pos").distinct(), "touched-rows")
     judged = _kept(pairs.join(again, "pos", "left_semi"), first)
     kept = old.kept.join(gone.select("pos"), "pos", "left_anti").join(again, "pos", "left_anti").unionByName(judged)
     return Occurrences(first, kept)
 
 
+def _with_state(found: DataFrame) -> DataFrame:
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return found.withColumns({"seen": yes("seen"), "eligible": yes("eligible"), "state": review_state(F.col("seen"), F.col("eligible"))})
+
+
 def with_reviews(marked: DataFrame, reviews: DataFrame, by: str = "pos") -> DataFrame:
     """Adds seen, eligible and state: marked if any key is."""
     hit = marked.select(by, F.explode("keys").alias("key")).join(reviews, "key").groupBy(by).agg(F.bool_or("seen").alias("seen"), F.bool_or("eligible").alias("eligible"))
-    joined = marked.join(hit, by, "left")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return joined.withColumns({"seen": yes("seen"), "eligible": yes("eligible"), "state": review_state(F.col("seen"), F.col("eligible"))})
+    return _with_state(marked.join(hit, by, "left"))
 
 
 def state_counts(marked: DataFrame) -> DataFrame:
@@ -148,7 +175,7 @@ def latest_of_mode(history: DataFrame, mode: str) -> DataFrame:
 
 def marked(history: DataFrame, reviews: DataFrame, states: Iterable[str] | None = None) -> DataFrame:
     """Every house of all searches once, as its newest search shows it, with its review state; optionally only some states."""
-    found = with_reviews(first_occurrences(history_rows(history)), reviews)
+    found = first_marked(history_rows(history), reviews)
     if states is None:
         return found
     wanted = list(states)

@@ -184,7 +184,7 @@ def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, reviews = _history(spark, sf_dir)
-    return marked.with_reviews(marked.first_occurrences(rows), reviews)
+    return marked.first_marked(rows, reviews)
 
 
 @query("marked_first_occurrences", f"WITH {_HIST_CTE} SELECT source, source_listing_id, state FROM marked")
