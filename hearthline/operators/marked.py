@@ -174,8 +174,11 @@ def latest_of_mode(history: DataFrame, mode: str) -> DataFrame:
 
 
 def marked(history: DataFrame, reviews: DataFrame, states: Iterable[str] | None = None) -> DataFrame:
-    """Every house of all searches once, as its newest search shows it, with its review state; optionally only some states."""
-    found = first_marked(history_rows(history), reviews)
+    """Every house of all searches once, as its newest search shows it, with its review state; optionally only some states.
+
+    Entries are read once, into rows that are written to the shared folder: an entry is long and is parsed as a whole.
+    """
+    found = _first_marked(staged(with_keys(history_rows(history)), "history-rows"), reviews)
     if states is None:
         return found
     wanted = list(states)

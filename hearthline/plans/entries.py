@@ -14,6 +14,7 @@ from ..operators.rank import RankOptions
 from ..sources.json_portals import enrich
 from ..sources.registry import normalize_all, registry_table, select_sources
 from ..sources.userlist import list_warnings, listings_from_list, read_list
+from ..staging import staged
 from .search import SearchResult, rank
 
 
@@ -64,7 +65,7 @@ discover = discovery.discover
 
 
 def marked_houses(history: DataFrame, reviews: DataFrame, states: Iterable[str] = ("eligible", "seen")) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(counts by state, marked houses of the states, their export rows)."""
-    every = marked.marked(history, reviews)
+    """(counts by state, marked houses of the states, their export rows); the houses are worked out once and written to the shared folder."""
+    every = staged(marked.marked(history, reviews), "marked-houses")
     chosen = by_state(every, states)
     return marked.state_counts(every), chosen, marked.export_rows(chosen)

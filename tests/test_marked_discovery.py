@@ -253,3 +253,15 @@ def test_first_marked(spark):
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     twice = rows_of(spark, [[("1", "a", []), ("2", "a", []), ("3", "b", [])]]).withColumn("row_pos", F.lit(0))
     assert sorted(r.source_listing_id for r in marked.first_occurrences(twice).collect()) in (["1", "3"], ["2", "3"])
+
+
+def test_marked_houses_read_entries_once(spark, tmp_path):
+    """Counts, houses and export rows come from one written table, not from the entries again."""
+    from hearthline.plans.entries import marked_houses
+    from hearthline.sources.stored import read_history
+
+    (tmp_path / "h.json").write_text('{"id":"a","ts":"2024-01-02T00:00:00Z","result":{"ranked":[{"source":"x","source_listing_id":"1","url":"https://x/1"}]}}\n')
+    reviews = spark.createDataFrame([("u:https://x/1", True, None)], "key string, seen boolean, eligible boolean")
+    found = marked_houses(read_history(spark, str(tmp_path)), reviews)
+    assert [df.count() for df in found] == [3, 1, 1]
+    assert all("json" not in df._jdf.queryExecution().executedPlan().toString() for df in found)
