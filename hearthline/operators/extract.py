@@ -9,14 +9,15 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, partial, reduce
+from html import unescape as unescape_all
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import once
+from ..functions.patterns import holds_any, once
 from ..functions.text import norm_text
 from ..functions.urls import absolutize
 from ..workers import ship
@@ -26,15 +27,16 @@ _SCRIPT = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]
 
 def json_ld_blocks(body: Column) -> Column:
     """The texts of a page's JSON-LD scripts. The pattern is tried only where the type that it needs stands."""
-    without = ~F.contains(F.lower(body), F.lit("application/ld+json"))
-    return F.when(without, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(body, F.lit(_SCRIPT), F.lit(1)))
+    mark = F.lit("application/ld+json")
+    with_ = F.contains(body, mark) | (F.contains(body, F.lit("+")) & F.contains(F.lower(body), mark))  # few pages are lower-cased
+    return F.when(~with_, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(body, F.lit(_SCRIPT), F.lit(1)))
 
 
 def _listed(raw: Column) -> Column:
     """The JSON texts in a script: the elements of an array, objects that stand one after another, or the whole."""
     items = F.from_json(raw, "array<string>")
     split = F.transform(F.split(raw, r"\}\s*\{"), lambda p: F.concat(F.when(F.startswith(F.ltrim(p), F.lit("{")), "").otherwise("{"), p, F.when(F.endswith(F.rtrim(p), F.lit("}")), "").otherwise("}")))
-    several = (F.size(split) > 1) & F.forall(split, lambda p: F.try_parse_json(p).isNotNull())  # valid JSON has no }{ but in texts
+    several = raw.rlike(r"\}\s*\{") & F.forall(split, lambda p: F.try_parse_json(p).isNotNull())  # valid JSON has no }{ but in texts
     return F.when(F.startswith(F.ltrim(raw), F.lit("[")), F.coalesce(items, F.array(raw))).when(several, split).otherwise(F.array(raw))
 
 
@@ -45,7 +47,9 @@ def page_nodes(body: Column) -> Column:
 
 def first_node(body: Column, *types: str) -> Column:
     """The first node of a type on a page, among its nodes and one level down in their @graph; null without one."""
-    graph = lambda n: F.coalesce(F.from_json(F.get_json_object(n, "$['@graph']"), "array<string>"), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    # A key is spelled out, or with escapes; a node without either isn't read for it.
+    graph = lambda n: F.when(holds_any(n, ("@graph", "\\u")), F.coalesce(F.from_json(F.get_json_object(n, "$['@graph']"), "array<string>"), none)).otherwise(none)
     every = F.flatten(F.transform(page_nodes(body), lambda n: F.concat(F.array(n), graph(n))))
     return F.get(F.filter(every, lambda n: _is_type(n, types)), F.lit(0))
 
@@ -77,7 +81,8 @@ def next_data(body: Column) -> Column:
 def meta_tags(body: Column) -> Column:
     """map of name or property to content; the first of a name wins."""
     tags = F.regexp_extract_all(body, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1))
-    attr = lambda t, a: F.concat(F.regexp_extract(t, rf'(?is)\b{a}\s*=\s*"([^"]*)"', 1), F.regexp_extract(t, rf"(?is)\b{a}\s*=\s*'([^']*)'", 1))
+    single = lambda t, a: F.when(F.contains(t, F.lit("'")), F.regexp_extract(t, rf"(?is)\b{a}\s*=\s*'([^']*)'", 1)).otherwise("")
+    attr = lambda t, a: F.concat(F.regexp_extract(t, rf'(?is)\b{a}\s*=\s*"([^"]*)"', 1), single(t, a))
     pairs = F.transform(tags, lambda t: F.struct(F.coalesce(F.nullif(attr(t, "name"), F.lit("")), F.nullif(attr(t, "property"), F.lit(""))).alias("key"), unescape(attr(t, "content")).alias("value")))
     # Tags are read once: a lambda works out anew for each element what it takes from outside, but for another lambda's variable.
     firsts = lambda keys, values: F.map_from_arrays(F.array_distinct(keys), F.transform(F.array_distinct(keys), lambda k: F.get(values, F.array_position(keys, k).cast("int") - 1)))
@@ -94,16 +99,22 @@ def canonical(body: Column) -> Column:
 
 
 def unescape(s: Column) -> Column:
-    """The usual character references as characters."""
-    # References by name.
-    for a, b in (("&nbsp;", " "), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(a), F.lit(b))
-    return s
+    """The usual character references as characters; they are looked for only in a text with an &."""
+
+    def decoded(t: Column) -> Column:
+        out = t
+        # References by name.
+        for a, b in (("&nbsp;", " "), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+
+    return once(s, decoded)
 
 
 def strip_tags(body: Column) -> Column:
     """Text without scripts, styles, comments and tags; references decoded, white space collapsed."""
-    plain = F.regexp_replace(body, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    hiding = ("<s", "<S", "<!--")  # every match of the pattern holds one
+    plain = once(body, lambda b: F.when(holds_any(b, hiding), F.regexp_replace(b, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")).otherwise(b))
     return F.btrim(F.regexp_replace(unescape(F.regexp_replace(plain, r"<[^>]*>", " ")), r"\s+", " "))
 
 
@@ -205,6 +216,50 @@ def streamed_objects(page: str | None, id_key: str) -> list[str]:
     return [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in found.values()]
 
 
+#: What most pages are made of: text, end tags, start tags with attributes in double quotes and without references; the last group is anything else.
+_TOKEN = re.compile(r'([^<]+)|</([a-z][a-z0-9]*)>|<([a-z][a-z0-9]*)((?:[ \n\t]+[a-z][a-z0-9-]*="[^"&]*")*)[ \n\t]*(/?)>|(<)')
+_ATTRIBUTE = re.compile(r'([a-z][a-z0-9-]*)="([^"]*)"')
+# Elements whose content is no markup, for the parser of this Python, and of others.
+_RAW = frozenset(HTMLParser.CDATA_CONTENT_ELEMENTS)
+_RAW_TOO = frozenset("textarea title plaintext iframe noembed noframes noscript xmp".split()) - _RAW
+
+
+def _read_plain(parser: HTMLParser, page: str) -> bool:
+    """Give a page's tokens to the parser's handlers as its feed() does, but several times faster; false where the page holds
+    something else than _TOKEN's, for which the parser itself is needed, from the start."""
+    raw = None
+    for m in _TOKEN.finditer(page):
+        kind = m.lastindex
+        if kind == 1:
+            text = m[1]
+            parser.handle_data(unescape_all(text) if raw is None and "&" in text else text)
+        elif kind == 2:
+            if raw is not None and m[2] != raw:
+                return False
+            raw = None
+            parser.handle_endtag(m[2])
+        elif kind == 5 and raw is None and m[3] not in _RAW_TOO:
+            tag, attrs = m[3], m[4]
+            parser.handle_starttag(tag, _ATTRIBUTE.findall(attrs) if attrs else [])
+            if m[5]:
+                parser.handle_endtag(tag)
+            elif tag in _RAW:
+                raw = tag
+        else:
+            return False
+    return raw is None
+
+
+def _parsed(make: Callable[[], HTMLParser], page: str | None) -> HTMLParser:
+    """A parser that has read a page."""
+    parser = make()
+    if not _read_plain(parser, page or ""):
+        parser = make()
+        parser.feed(page)
+        parser.close()
+    return parser
+
+
 class _Cards(HTMLParser):
     """Elements of a class as maps: their attributes, and the text of each classed element inside."""
 
@@ -216,8 +271,10 @@ class _Cards(HTMLParser):
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
     def handle_starttag(self, tag, attrs):
+        if self.card is None and not attrs:
+            return
         named = {k: v or "" for k, v in attrs}
-        classes = named.get("class", "").split()
+        classes = named["class"].split() if "class" in named else ()
         if self.card is None and self.card_class in classes:
             self.card, self.depth, self.open = {f"@{k}": v for k, v in named.items()}, 0, []
         if self.card is not None:
@@ -231,11 +288,14 @@ class _Cards(HTMLParser):
                 self.open.append((tag, classes, []))
 
     def handle_data(self, data):
-        for _, _, parts in self.open if self.card is not None else ():
-            parts.append(data)
+        if self.card is not None:
+            for _, _, parts in self.open:
+                parts.append(data)
 
     def handle_endtag(self, tag):
-        if self.card is None or tag in self.VOID or not any(t == tag for t, _, _ in self.open):
+        if self.card is None or tag in self.VOID:
+            return
+        if not self.open or self.open[-1][0] != tag and not any(t == tag for t, _, _ in self.open):
             return
         while self.open:
             t, classes, parts = self.open.pop()
@@ -249,10 +309,7 @@ class _Cards(HTMLParser):
 
 
 def cards(page: str | None, card_class: str) -> list[dict[str, str]]:
-    parser = _Cards(card_class)
-    parser.feed(page or "")
-    parser.close()
-    return parser.cards
+    return _parsed(partial(_Cards, card_class), page).cards
 
 
 class _Items(HTMLParser):
@@ -280,20 +337,20 @@ class _Items(HTMLParser):
             self.parts.append(data)
 
 
+_norm_label = lru_cache(4096)(norm_text)  # a site has few labels
+
+
 def labelled_values(page: str | None) -> dict[str, str]:
     """Normalised label to value of items such as "Label: value" or <b>Label</b> value; the first of a label wins."""
-    parser = _Items()
-    parser.feed(page or "")
-    parser.close()
     out: dict[str, str] = {}
-    for item in parser.items:
+    for item in _parsed(_Items, page).items:
         text = " ".join(item.replace("\x00", " ").split())
         label, mark, value = text.partition(":")
         if not mark:
             parts = [" ".join(p.split()) for p in item.split("\x00") if p.split()]
             label, value = (parts[0], " ".join(parts[1:])) if len(parts) > 1 else ("", "")
-        if norm_text(label) and value.strip():
-            out.setdefault(norm_text(label), value.strip())
+        if (name := _norm_label(label)) and (value := value.strip()):
+            out.setdefault(name, value)
     return out
 
 
@@ -304,18 +361,20 @@ SLICE = 128
 def map_items(pages: DataFrame, f: Callable[[str | None], list], kind: str, carry: tuple[str, ...] = ("url", "city")) -> DataFrame:
     """carry... and items (an array of a type): what f finds in each page's body, a row a page, whatever its url."""
     names = [*carry, "items"]
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in carry) + f", items array<{kind}>"
+    at_body = carry.index("body") if "body" in carry else len(carry)
+    sent = pages.withColumn("body", F.col("body").cast("string")).select(*dict.fromkeys((*carry, "body")))
+    schema = ", ".join(f"`{c}` {sent.schema[c].dataType.simpleString()}" for c in carry) + f", items array<{kind}>"
     item_type = {"string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                found = [[list(x.items()) if isinstance(x, dict) else x for x in f(body)] for body in batch.column(len(carry)).to_pylist()]
+                found = [[list(x.items()) if isinstance(x, dict) else x for x in f(body)] for body in batch.column(at_body).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(found, pa.list_(item_type))], names)
 
     ship(pages.sparkSession)
-    return pages.select(*carry, F.col("body").cast("string")).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def map_pages(pages: DataFrame, f: Callable[[str | None], list], kind: str, carry: tuple[str, ...] = ("url", "city")) -> DataFrame:

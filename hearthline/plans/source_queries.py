@@ -22,9 +22,11 @@ def oracle(columns: str = _SHOWN, where: str = "true") -> str:
 
 
 def pages_of(rows: DataFrame, source: str, item: str, body: str, per_page: int = 25) -> DataFrame:
-    """Payloads of up to per_page listings: `item` is SQL of one, `body` SQL over items, their list."""
+    """Payloads of up to per_page listings: `item` is SQL of one, `body` SQL over items, their list. Rows are dealt by page before they
+    become items, which are longer."""
     n = F.col("source_listing_id").cast("bigint")
-    grouped = rows.withColumn("page", F.floor(n / per_page).cast("int")).withColumn("city_", F.col("city")).groupBy("page", "city_").agg(F.sort_array(F.collect_list(F.struct("source_listing_id", F.expr(item).alias("i")))).alias("l"))
+    dealt = rows.withColumn("page", F.floor(n / per_page).cast("int")).withColumn("city_", F.col("city")).repartition("page", "city_")
+    grouped = dealt.groupBy("page", "city_").agg(F.sort_array(F.collect_list(F.struct("source_listing_id", F.expr(item).alias("i")))).alias("l"))
     grouped = grouped.withColumn("items", F.transform("l", lambda x: x["i"]))
     return grouped.select(F.lit(source).alias("source"), F.concat(F.lit(f"https://{source}.example/"), F.col("page").cast("string"), F.lit("/"), F.col("city_")).alias("url"), F.col("city_").alias("city"), F.col("page").alias("page_no"), F.expr("timestamp '2024-06-30 00:00:00'").alias("fetched_at"), F.lit(200).alias("status"), F.expr(body).alias("body"))
 

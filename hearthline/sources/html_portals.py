@@ -86,8 +86,9 @@ def rentola(payloads: DataFrame) -> DataFrame:
     pages = payloads.where(allowed(F.col("url"))).select("url", "body", first_node(F.col("body"), "RealEstateListing").alias("node"))
     schema = "name string, url string, offers struct<price:string,itemOffered:struct<address:struct<streetAddress:string,addressLocality:string>,geo:struct<latitude:string,longitude:string>,floorSize:struct<value:string>,numberOfBedrooms:struct<value:string>,numberOfBathroomsTotal:struct<value:string>,numberOfBathrooms:struct<value:string>>>"
     x = pages.withColumn("ld", F.from_json("node", schema))
-    x = settled(x, slug=_found(F.regexp_replace("url", r"[?#].*$|/+$", ""), r"([^/]+)$"), text=strip_tags(F.col("body")))
+    x = settled(x, slug=_found(F.regexp_replace("url", r"[?#].*$|/+$", ""), r"([^/]+)$"))
     c = F.col
+    text = strip_tags(c("body"))  # not settled, as most adverts ask for it once, or never
     house = c("ld.offers.itemOffered")
     tail = r"\d{1,3}(?:-\d{3})+-p[0-9a-f]+$"  # fixed value: how the site ends its slugs
     x = settled(x, ident=F.coalesce(_found(c("slug"), rf"(?i)-(\d+)-{tail}"), _found(c("slug"), r"(?i)-p([0-9a-f]+)$")), link=F.coalesce(missing(c("ld.url")), c("url")))
@@ -95,9 +96,9 @@ def rentola(payloads: DataFrame) -> DataFrame:
     barrio = F.replace(_found(c("slug"), rf"(?i)-en-(?:cali|jamundi)-en-(.+?)-\d{{1,7}}-{tail}"), F.lit("-"), F.lit(" "))
     return _kept(as_listing(
         x, source=F.lit("rentola"), source_listing_id=c("ident"), url=c("link"), title=trimmed(c("ld.name")), barrio=shown(barrio), city=F.coalesce(shown(city), trimmed(house["address"]["addressLocality"])),
-        address=trimmed(house["address"]["streetAddress"]), **located(number(house["geo"]["latitude"]), number(house["geo"]["longitude"])), area_m2=F.coalesce(positive(number(house["floorSize"]["value"])), area(_found(c("text"), r"(?i)(\d+(?:[.,]\d+)?)\s*m(?:²|2)"))),
-        bedrooms=F.coalesce(first_int(house["numberOfBedrooms"]["value"]), first_int(_found(c("text"), r"(?i)(\d+)\s*(?:habitaci|alcoba|dormitorio)"))), bathrooms=first_int(F.coalesce(house["numberOfBathroomsTotal"]["value"], house["numberOfBathrooms"]["value"])),
-        parking=F.when(c("text").rlike(r"(?i)\b(?:parqueadero|estacionamiento|garaje)\b"), 1), price=price(F.regexp_replace(c("ld.offers.price"), r"\.0$", "")), raw_json=F.coalesce("node", F.to_json(F.struct("url", "slug"))),
+        address=trimmed(house["address"]["streetAddress"]), **located(number(house["geo"]["latitude"]), number(house["geo"]["longitude"])), area_m2=F.coalesce(positive(number(house["floorSize"]["value"])), area(_found(text, r"(?i)(\d+(?:[.,]\d+)?)\s*m(?:²|2)"))),
+        bedrooms=F.coalesce(first_int(house["numberOfBedrooms"]["value"]), first_int(_found(text, r"(?i)(\d+)\s*(?:habitaci|alcoba|dormitorio)"))), bathrooms=first_int(F.coalesce(house["numberOfBathroomsTotal"]["value"], house["numberOfBathrooms"]["value"])),
+        parking=F.when(text.rlike(r"(?i)\b(?:parqueadero|estacionamiento|garaje)\b"), 1), price=price(F.regexp_replace(c("ld.offers.price"), r"\.0$", "")), raw_json=F.coalesce("node", F.to_json(F.struct("url", "slug"))),
     ))
 
 
@@ -140,13 +141,15 @@ def naranjoduque(payloads: DataFrame, property_type: str = "casa", cities: tuple
     base = F.lit("https://www.inmobiliarianaranjoduque.com/")
     blocks = payloads.select(F.explode(catalogue_blocks(c("body"), 'id_user:"CÓDIGO')).alias("b"))
     props = F.from_json(F.regexp_extract("b", r"properties:(\{.*?\})\s*,\s*schemaOrg", 1), "map<string,string>")
-    x = blocks.withColumn("p", props).where("p is not null").withColumn("code", _found(c("b"), r'id_user:"CÓDIGO\s*(\d+)')).withColumn("said", F.regexp_extract("b", r'description:"((?:[^"\\]|\\.)*)"', 1))
-    x = x.withColumn("link", absolutize(_found(c("b"), r'href="<!--base_url_placeholder-->([^"]+?)"'), base)).withColumn("offer", F.when(F.regexp_extract("b", r'"@type":"Offer"[^}]*priceCurrency:"([A-Z]+)",price:"([^"]+)"', 1) == "COP", F.regexp_extract("b", r'"@type":"Offer"[^}]*priceCurrency:"([A-Z]+)",price:"([^"]+)"', 2)))
-    kind, deal, city = norm(_get("p", "2 TIPO DE INMUEBLE")), norm(_get("p", "1 TIPO DE BÚSQUEDA")), norm(_get("p", "3 CIUDAD"))
+    x = settled(settled(blocks, p=props).where("p is not null"), kind=norm(_get("p", "2 TIPO DE INMUEBLE")), deal=norm(_get("p", "1 TIPO DE BÚSQUEDA")), place=norm(_get("p", "3 CIUDAD")))
+    kind, deal, city = c("kind"), c("deal"), c("place")
     of_kind = F.contains(kind, F.lit("casa")) if property_type == "casa" else F.contains(kind, F.lit("apartamento")) | F.contains(kind, F.lit("apartaestudio"))
     x = x.where((F.contains(deal, F.lit("arriendo")) | F.contains(deal, F.lit("alquiler"))) & of_kind & F.exists(F.array(*map(F.lit, cities)), lambda w: F.contains(city, w)))
-    detail = payloads.groupBy(c("url").alias("link")).agg(F.max_by("body", F.struct("fetched_at", "body")).alias("b_")).select("link", strip_tags(c("b_")).alias("t"))
-    x = x.join(detail, "link", "left")
+    offer = r'"@type":"Offer"[^}]*priceCurrency:"([A-Z]+)",price:"([^"]+)"'
+    x = settled(x, code=_found(c("b"), r'id_user:"CÓDIGO\s*(\d+)'), link=absolutize(_found(c("b"), r'href="<!--base_url_placeholder-->([^"]+?)"'), base))
+    x = x.withColumn("said", F.regexp_extract("b", r'description:"((?:[^"\\]|\\.)*)"', 1)).withColumn("offer", F.when(F.regexp_extract("b", offer, 1) == "COP", F.regexp_extract("b", offer, 2)))
+    detail = payloads.groupBy(c("url").alias("link")).agg(F.max_by("body", F.struct("fetched_at", "body")).alias("b_"))
+    x = x.join(detail, "link", "left").withColumn("t", strip_tags(c("b_")))  # only of adverts that are kept
     return _kept(as_listing(
         x, source=F.lit("naranjoduque"), source_listing_id=c("code"), url=c("link"), title=trimmed(F.substring_index("said", "<br", 1)), barrio=shown(F.coalesce(trimmed(_get("p", "5 BARRIO")), trimmed(_get("p", "4 ZONA")))), city=trimmed(_get("p", "3 CIUDAD")),
         area_m2=area(_found(c("t"), r"(\d+(?:[.,]\d+)?)\s*m²")), bedrooms=first_int(_get("p", "6 ALCOBAS")), bathrooms=first_int(_found(c("said"), r"Baños\s*:?\s*(\d+)")), price=F.coalesce(price(c("offer")), price(_found(c("t"), r"(?:Valor|Canon|Precio)\s*:?\s*\$?\s*([\d.,]+)"))),
@@ -190,7 +193,6 @@ def mitula(payloads: DataFrame) -> DataFrame:
 def arriendo(payloads: DataFrame) -> DataFrame:
     """Detail pages: label list, script variables for phone and coordinates, place and id in the slug."""
     c = F.col
-    x = settled(payloads.select("url", "body"), seg=F.filter(F.split(F.regexp_replace("url", r"^[a-z]+://[^/]+|[?#].*$", ""), "/"), lambda s: s != ""))
     part = lambda k: F.when(F.size("seg") >= 4, F.element_at("seg", -k))
     ident = F.coalesce(F.upper(_found(part(1), r"(?i)^(AR-\d+)$")), F.upper(_found(strip_tags(c("body")), r"(?i)C[oó]digo del inmueble:\s*(AR-\d+)")))
     # The names of the page's script variables.
@@ -202,12 +204,14 @@ def arriendo(payloads: DataFrame) -> DataFrame:
     fee = inner(r'(?is)es-price-container.*?<strong[^>]*>(.*?)</strong>')
     agency = inner(r'(?is)intro-info-agencia.*?<p[^>]*>(.*?)</p>')
     wa = digits(c("called.pw"))
-    said = {"head": inner(r"(?is)<h1[^>]*>(.*?)</h1>"), "asked": asked, "fee": fee, "agency": agency, "called": called, "at": at, "ident": ident}
-    x = _labels(settled(x, **said), "url", "seg", *said)  # read before Python, which then needn't hand the page back
+    # What is asked of the page behind Python is searched for only where a query takes it; the page is handed back for that.
+    x = _labels(payloads.select("url", "body"), "url", "body")
+    x = x.withColumn("seg", F.filter(F.split(F.regexp_replace("url", r"^[a-z]+://[^/]+|[?#].*$", ""), "/"), lambda s: s != ""))
+    x = settled(x, ident=ident).withColumns({"called": called, "at": at, "fee": fee, "agency": agency})
     return _kept(as_listing(
-        x, source=F.lit("arriendo"), source_listing_id=c("ident"), url=c("url"), title=c("head"), barrio=F.coalesce(shown(_get("labels", "barrio")), shown(F.replace(part(2), F.lit("-"), F.lit(" ")))),
+        x, source=F.lit("arriendo"), source_listing_id=c("ident"), url=c("url"), title=inner(r"(?is)<h1[^>]*>(.*?)</h1>"), barrio=F.coalesce(shown(_get("labels", "barrio")), shown(F.replace(part(2), F.lit("-"), F.lit(" ")))),
         city=shown(part(3)), lat=c("at.lat"), lng=c("at.lng"), geocode_precision=F.when(c("at.lat").isNotNull() & c("at.lng").isNotNull(), "source"), area_m2=area(_get("labels", "area, m²")), bedrooms=first_int(_get("labels", "habitaciones")),
-        bathrooms=first_int(_get("labels", "banos")), parking=first_int(_get("labels", "parqueaderos")), price=c("asked"), admin=F.when(~c("fee").rlike("(?i)no disponible"), price(c("fee"))), estrato=estrato(first_int(_get("labels", "estrato"))),
+        bathrooms=first_int(_get("labels", "banos")), parking=first_int(_get("labels", "parqueaderos")), price=asked, admin=F.when(~c("fee").rlike("(?i)no disponible"), price(c("fee"))), estrato=estrato(first_int(_get("labels", "estrato"))),
         agency=F.when(~c("agency").rlike("(?i)no asignada"), c("agency")), phone=F.coalesce(wa, digits(c("called.pc"))), has_whatsapp=F.coalesce(c("called.hw") & wa.isNotNull(), F.lit(False)), raw_json=F.to_json(F.struct("url", "labels")),
     ))
 
@@ -219,13 +223,14 @@ MOST_RENT = 50_000_000
 def century21(payloads: DataFrame, property_types: tuple[str, ...] = ("casa",), cities: tuple[str, ...] = ("cali", "jamundi"), agencies: DataFrame | None = None) -> DataFrame:
     """Detail pages by their meta tags; rentals of the wanted types and cities. agencies(url, agency, phone) adds whose they are."""
     c = F.col
-    x = settled(payloads.select("url", "body"), m=meta_tags(c("body")), t=title(c("body")), own=safe_site_url(canonical(c("body")), "century21colombia.com")).drop("body")
     # Fixed value: the form of the site's titles.
     deal = r"(?i)^(renta|venta)\s+de\s+([a-zñáéíóú]+)\s+en\b"
     rent = (norm(F.regexp_extract("t", deal, 1)) == "renta") & norm(F.regexp_extract("t", deal, 2)).isin(*property_types)
+    x = settled(payloads.select("url", "body"), t=title(c("body"))).where(rent)  # only of these the tags are read
+    x = settled(x, m=meta_tags(c("body")), own=safe_site_url(canonical(c("body")), "century21colombia.com")).drop("body")
     city = F.coalesce(_get("m", "municipio"), trimmed(_found(c("t"), r"\ben\s+[^,]+,\s*([^,]+),")))
     ident = F.coalesce(_found(c("url"), r"/propiedad/(\d+)_?"), first_int(_get("m", "clave")).cast("string"))
-    x = settled(x.where(rent), place=city, amount=first_int(_get("m", "precio")).cast("double"), ident=ident, link=F.coalesce("own", "url"))
+    x = settled(x, place=city, amount=first_int(_get("m", "precio")).cast("double"), ident=ident, link=F.coalesce("own", "url"))
     amount = c("amount")
     x = x.where(norm(c("place")).isin(*cities) & (amount.isNull() | (amount <= MOST_RENT)))
     if agencies is not None:

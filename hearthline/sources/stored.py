@@ -26,9 +26,14 @@ def read_payloads(spark: SparkSession, path: str, form: str = "parquet") -> Data
     return spark.read.schema(PAYLOAD).format(form).load(path)
 
 
+#: Pages in a file of payloads at most. Pages of a site are alike and pack to little: a file of all of them is one task's, though
+#: what they are made into is many tasks' work.
+FILE_PAGES = 20_000
+
+
 def write_payloads(payloads: DataFrame, path: str) -> None:
-    """Payloads cut by source, so that a source's normaliser reads its own part only."""
-    payloads.write.partitionBy("source").option("compression", "zstd").parquet(path)
+    """Payloads cut by source, so that a source's normaliser reads its own part only, in files of FILE_PAGES."""
+    payloads.write.partitionBy("source").option("compression", "zstd").option("maxRecordsPerFile", FILE_PAGES).parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
