@@ -139,7 +139,10 @@ def naranjoduque(payloads: DataFrame, property_type: str = "casa", cities: tuple
     """A catalogue script cut at each advert, joined with the adverts' detail pages among the payloads for area and estrato. Rentals only."""
     c = F.col
     base = F.lit("https://www.inmobiliarianaranjoduque.com/")
-    blocks = payloads.select(F.explode(catalogue_blocks(c("body"), 'id_user:"CÓDIGO')).alias("b"))
+    marker = 'id_user:"CÓDIGO'
+    # Catalogue pages are dealt afresh: their files, the largest among many small ones, are read by the same few tasks.
+    catalogue = payloads.where(F.contains("body", F.lit(marker))).select("url", "body").repartition("url")
+    blocks = catalogue.select(F.explode(catalogue_blocks(c("body"), marker)).alias("b"))
     props = F.from_json(F.regexp_extract("b", r"properties:(\{.*?\})\s*,\s*schemaOrg", 1), "map<string,string>")
     x = settled(settled(blocks, p=props).where("p is not null"), kind=norm(_get("p", "2 TIPO DE INMUEBLE")), deal=norm(_get("p", "1 TIPO DE BÚSQUEDA")), place=norm(_get("p", "3 CIUDAD")))
     kind, deal, city = c("kind"), c("deal"), c("place")

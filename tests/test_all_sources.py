@@ -100,3 +100,9 @@ def test_pages_of_adverts(spark):
     rows = spark.createDataFrame([(str(n), "Cali" if n % 2 else "Palmira") for n in (7, 3, 26, 1, 2)], "source_listing_id string, city string")
     got = sorted((r.page_no, r.city, r.body) for r in pages_of(rows, "x", "source_listing_id", "array_join(items, ' ')").collect())
     assert got == [(0, "Cali", "1 3 7"), (0, "Palmira", "2"), (1, "Palmira", "26")]
+
+
+def test_catalogue_pages_are_dealt_afresh(spark):
+    """Catalogue pages lie in a few files next to many of details: what is cut out of them is as many tasks' work as there are cores."""
+    plan = next(s.normalize for s in registry.SOURCES if s.id == "naranjoduque")(spark.createDataFrame([], PAYLOAD))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [url" in plan
